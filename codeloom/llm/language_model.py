@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ FREQUENT, ENDINGS = 111, 48
 CLASSES = FREQUENT + ENDINGS + 1
 END = CLASSES - 1
 #: Words whose counts every worker holds. Counts of all others are joined in.
-HELD = 1 << 17
+HELD = 1 << 16
 #: Words that a worker keeps beside those, and distinct words that it counts before it passes them on.
 KEPT = 1 << 18
 
@@ -112,6 +113,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return per_batch(docs.select("text"), "word string, c long", count).groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
+def frequent(counts: DataFrame, most: int) -> pa.Table:
+    """(word, c): the words from the least count on from which there are ``most`` or fewer, by sixteenths of a power of
+    two. Only a histogram of the counts and these words reach the driver."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        held += r.n
+        if held > most:
+            break
+        least = r.step
+    return counts.where(step >= least if least is not None else F.lit(False)).select("word", "c").toArrow()
+
+
 @dataclass
 class Lexicon:
     """What every worker holds of the counts; its size is bounded by HELD and CLASSES."""
@@ -123,7 +137,8 @@ class Lexicon:
 
     @classmethod
     def of(cls, counts: DataFrame) -> Lexicon:
-        top = [(r.word, r.c) for r in counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(HELD).collect()]
+        rows = frequent(counts.where("word <> ''"), HELD)
+        top = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
         first = {w.encode(): k for k, (w, _) in enumerate(top[:FREQUENT])}
         held = {w.encode(): c * CLASSES + first.get(w.encode(), -1) for w, c in top}
         held = {w: x if w in first else x + 1 + ending_class(w) for w, x in held.items()}
@@ -167,7 +182,7 @@ def context_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         cell, n = np.unique(np.concatenate(parts), return_counts=True) if parts else ([], [])
         return {"cell": cell, "n": n}
 
-    return per_batch(docs.select("text"), "cell long, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
+    return per_batch(docs.select("text"), "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinear]:
@@ -175,8 +190,10 @@ def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinea
     cubed numbers reach the driver, whatever the size of the corpus."""
     counts = cut(word_counts(training))
     lexicon = Lexicon.of(counts)
-    found = context_counts(training, lexicon).toPandas().sort_values("cell")
-    return counts, lexicon, train(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64), **settings)
+    found = context_counts(training, lexicon).toArrow()
+    cells, n = found["cell"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(cells)
+    return counts, lexicon, train(cells[order].astype(np.int64), n[order].astype(np.float64), **settings)
 
 
 def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBilinear) -> DataFrame:

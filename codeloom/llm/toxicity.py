@@ -49,7 +49,7 @@ class Machine:
         return self.bias + float(self.weight[at] @ x + 0.5 * (total @ total - (xv * xv).sum()))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], term: np.ndarray, dim: int = 6, rounds: int = 30, batch: int = 128, rate: float = 0.08, decay: float = 2e-4, seed: int = 5) -> Machine:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], term: np.ndarray, dim: int = 6, rounds: int = 60, batch: int = 128, rate: float = 0.1, decay: float = 2e-5, seed: int = 5) -> Machine:
     """Fits the machine with AdaGrad on the logistic loss. rows: places in ``term``, values, label. Without both labels
     the machine gives the smoothed share of label 1."""
     rng, k = np.random.default_rng(seed), len(term)
