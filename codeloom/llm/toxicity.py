@@ -14,6 +14,8 @@ from .common import cut, labelled_ids, per_batch, words
 
 #: Hashed terms, and how many of them the machine keeps: those whose presence tells most about the label.
 SPACE, TERMS = 1 << 24, 1536
+#: The least log likelihood ratio of a term that is kept; by chance one term in some thousands reaches it.
+LEAST_GAIN = 5.0
 #: Labelled documents that training reads at most, in order of a hash of their ids.
 LABELLED = 12_000
 #: Words that a worker remembers the terms of.
@@ -79,7 +81,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], term: np.ndarray, dim:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, held: int = 1, bound: int = LABELLED) -> Machine:
     """Learns from at most ``bound`` labelled rows outside the held-out fold (crc32(doc_id as text) mod ``of`` is
-    ``held``). Terms are ranked by the likelihood ratio of their presence and the label; the TERMS best are kept."""
+    ``held``). Terms are ranked by the likelihood ratio of their presence and the label; of those that
+    stand with label 1 more than by chance, the TERMS best are kept."""
     ids = labelled_ids(labels, label, of, held, bound)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by ``bound``
 
@@ -105,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, h
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     share, rest = max(all_pos / max(all_n, 1), 1e-9), max(1 - all_pos / max(all_n, 1), 1e-9)
     gain = part(pos, n * share) + part(n - pos, n * rest) + part(all_pos - pos, (all_n - n + 1e-9) * share) + part(all_n - n - all_pos + pos, (all_n - n + 1e-9) * rest)
-    best = seen.select("term", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(TERMS)
+    best = seen.where(pos > n * share).select("term", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(TERMS)
     term = np.sort(np.array([r.term for r in best.collect()], np.int32))
     inside = F.filter("found", lambda f: f["term"].isin([int(t) for t in term])) if len(term) else F.array().cast("array<struct<term: int, n: int>>")
     got = rows.select("doc_id", "label", inside.alias("found")).orderBy("doc_id", "label").collect()
