@@ -106,8 +106,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
 
 def resample(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows that share a doc_id share their copies, and rows
-    without doc_id share theirs: the first of them is repeated as often as the mix takes all of them."""
-    taken = mix(docs, **settings).groupBy(F.col("doc_id").alias("taken_id")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    """The rows of ``docs``, each as often as the mix takes it. Of rows that share a doc_id the first is repeated as often
+    as the mix takes all of them. Rows without a doc_id have no name to be taken by; they stay, once."""
+    named = docs.where("doc_id is not null")
+    taken = mix(named, **settings).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    once = named.dropDuplicates(["doc_id"]).join(taken, "doc_id")
+    repeated = once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return repeated.unionByName(docs.where("doc_id is null"))
