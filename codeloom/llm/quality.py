@@ -15,7 +15,7 @@ from .common import LOWER, labelled_ids, per_batch
 #: Features: one for each residue of a hash.
 SPACE = 1 << 18
 #: Labelled documents that training reads at most, in order of a hash of their ids.
-LABELLED = 12_000
+LABELLED = 4_000
 #: Words that a worker remembers the hashes of.
 KEPT = 1 << 18
 REPEATED, CAPITALS = 0, 1
@@ -95,12 +95,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5,
 
     def made(b: dict) -> dict:
         found = [features(t) for t in b["text"]]
-        return {"label": b["label"], "at": [f[0] for f in found], "x": [f[1] for f in found], "doc_id": b["doc_id"]}
+        return {"doc_id": b["doc_id"], "label": b["label"], "at": [at.tobytes() for at, _ in found], "x": [x.tobytes() for _, x in found]}
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by ``bound``
-    rows = per_batch(chosen, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, at array<int>, x array<float>", made).toArrow()
-    order = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return train([(np.asarray(a, np.int32), np.asarray(x, np.float32), y) for a, x, y in zip(order["at"].to_pylist(), order["x"].to_pylist(), order["label"].to_pylist(), strict=True)])
+    rows = per_batch(chosen, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, at binary, x binary", made).toArrow()
+    keys = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), strict=True))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    at, x = (rows[c].combine_chunks() for c in ("at", "x"))
+    return train([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(x[i].as_buffer(), np.float32), keys[i][1]) for i in order])
 
 
 def score_texts(texts: list[str | None], dense: np.ndarray, bias: float) -> np.ndarray:
