@@ -47,10 +47,10 @@ def pieces(text: str) -> list[str]:
 
 
 def chunks(text: str) -> tuple[str, list[str]] | None:
-    """(what stands before the first blank, what follows each blank), or None where a blank precedes white space. A
+    """(what stands before the first blank, what follows each blank), or None where a blank precedes white space or the end. A
     match can only begin at a blank or stand between two, so the pieces of a text are those of its first part and those
-    of a blank and each other part; only runs of white space that begin with a blank break that rule."""
-    if splitter()[1].search(text):
+    of a blank and each other part; only white space with a blank that no word follows breaks that rule."""
+    if text.endswith(" ") or splitter()[1].search(text):
         return None
     first, *rest = text.split(" ")
     return first, rest
