@@ -18,7 +18,17 @@ HIGH_RISK_TERMS = (
 MEDIUM_RISK_TERMS = ("factory", "provider", "adapter", "bridge", "service", "worker")
 HANDLER_PREFIXES = ("handle_", "on_", "register_", "emit_", "listen_", "dispatch_")
 
-_name, _path, _qualified = F.col("name"), F.col("file_path"), F.col("qualified_name")
+
+def _name() -> Column:
+    return F.col("name")
+
+
+def _path() -> Column:
+    return F.col("file_path")
+
+
+def _qualified() -> Column:
+    return F.col("qualified_name")
 
 
 def any_of(text: Column, terms) -> Column:
@@ -34,10 +44,11 @@ def is_exported() -> Column:
 
 
 def is_test_symbol() -> Column:
-    return any_of(F.lower(F.concat_ws(" ", _path, _qualified)), TEST_PATH_TERMS) | _name.startswith("test_") | _name.endswith("_test")
+    return any_of(F.lower(F.concat_ws(" ", _path(), _qualified())), TEST_PATH_TERMS) | _name().startswith("test_") | _name().endswith("_test")
 
 
-def is_probably_test_file(path: Column = _path) -> Column:
+def is_probably_test_file(path: Column | None = None) -> Column:
+    path = _path() if path is None else path
     return any_of(path, ("/tests/", "test/", "_test.")) | path.endswith(".spec.ts") | path.endswith(".test.ts")
 
 
@@ -49,15 +60,15 @@ def symbol_role() -> Column:
 
 
 def _fingerprint() -> Column:
-    return F.lower(F.concat_ws(" ", _path, _name, _qualified))
+    return F.lower(F.concat_ws(" ", _path(), _name(), _qualified()))
 
 
 def looks_like_handler() -> Column:
-    return reduce(lambda a, b: a | b, (_name.startswith(p) for p in HANDLER_PREFIXES))
+    return reduce(lambda a, b: a | b, (_name().startswith(p) for p in HANDLER_PREFIXES))
 
 
 def looks_like_store() -> Column:
-    return _name.startswith("use") & _name.endswith("Store")
+    return _name().startswith("use") & _name().endswith("Store")
 
 
 def dynamic_risk() -> Column:
@@ -121,8 +132,8 @@ def search_terms() -> Column:
     parts = F.transform(F.split("signature", r"[(),:]"), lambda x: F.trim(x))
     first = F.element_at(F.filter(parts, lambda x: ~x.isin("", "fn", "&self")), 1)
     first = F.when(F.size(F.filter(parts, lambda x: ~x.isin("", "fn", "&self"))) > 0, first)
-    bare = F.when(_name.startswith("handle_"), F.regexp_replace(_name, "^(handle_)+", ""))
-    return F.array_distinct(F.array_compact(F.array(_name, _qualified, first, bare)))
+    bare = F.when(_name().startswith("handle_"), F.regexp_replace(_name(), "^(handle_)+", ""))
+    return F.array_distinct(F.array_compact(F.array(_name(), _qualified(), first, bare)))
 
 
 def verification_plan(has_neighbours: Column) -> Column:
@@ -147,12 +158,14 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.char_length(text) / 4).cast("long")
 
 
-def group_key(path: Column = _path) -> Column:
+def group_key(path: Column | None = None) -> Column:
+    path = _path() if path is None else path
     return F.split(path, "/")[0]
 
 
-def rust_module_path(path: Column = _path) -> Column:
+def rust_module_path(path: Column | None = None) -> Column:
     """``src/a/b.rs`` and ``src/a/b/mod.rs`` are crate::a::b; the roots are crate."""
+    path = _path() if path is None else path
     inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^(.*/)?src/", ""), r"\.rs$", ""), "(^|/)(mod|lib|main)$", "")
     return F.when(inner == "", "crate").otherwise(F.concat(F.lit("crate::"), F.replace(inner, F.lit("/"), F.lit("::"))))
 

@@ -90,8 +90,10 @@ def scene_scores(question: Column, symbols: Column, files: Column, previous: Col
     }
 
 
-def infer_scene(question: Column, symbols: Column = F.lit(0), files: Column = F.lit(0), previous: Column = F.lit(None).cast("string")) -> Column:
+def infer_scene(question: Column, symbols: Column | None = None, files: Column | None = None, previous: Column | None = None) -> Column:
     """struct(scene, confidence): the scene with most points, ties in the order of SCENES."""
+    symbols, files = (F.lit(0) if c is None else c for c in (symbols, files))
+    previous = F.lit(None).cast("string") if previous is None else previous
     scores = scene_scores(question, symbols, files, previous)
     ranked = F.array_sort(F.array(*(F.struct((-scores[s]).alias("points"), F.lit(k).alias("k"), F.lit(s).alias("scene")) for k, s in enumerate(SCENES))))
     gap = ranked[1]["points"] - ranked[0]["points"]
