@@ -234,7 +234,7 @@ def parse_lexed(path: str, text: str, language: str) -> Parsed:
     column_of = lambda at: at - plain.rfind("\n", 0, at)
     for pattern, how in spec.imports:
         for m in re.finditer(pattern, text, re.M):
-            if plain[m.start(1) - 1 : m.start(1)] != "" and plain[m.start() : m.end()].strip():
+            if plain[m.start() : m.end()].strip():
                 for source, kind, alias in _imports(how, m[1]):
                     out.imported(source, line_of(m.start(1)), kind, alias)
     taken, found = [], []
@@ -364,15 +364,17 @@ def extract(files: DataFrame) -> DataFrame:
     """One row for each file (path, language, text) with what was found in it. Files are dealt to tasks by their path, as
     a few folders may hold the large ones."""
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
             made = [(r, parse(r["path"], r["text"], r["language"])) for r in rows]
             data = [{"path": r["path"], "language": r["language"], "symbols": p.symbols, "dependencies": p.dependencies, "imports": p.imports, "error_count": p.error_count} for r, p in made]
-            from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import StructType
-
-            yield pa.RecordBatch.from_pylist(data, to_arrow_schema(StructType.fromDDL(PARSED)))
+            yield pa.RecordBatch.from_pylist(data, schema)
 
     return files.select("path", "language", "text").where("language is not null").repartition("path").mapInArrow(run, PARSED)
 
