@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence
 from ..graph import CodeGraph
+from ..storage import cut
 
 SYMBOL_LIMIT, EDGE_LIMIT = (120, 24, 240), (260, 24, 640)  # default, least, most
 
@@ -85,6 +86,7 @@ def overview(graph: CodeGraph, symbol_limit: int | None = None, edge_limit: int
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "key"))
     entries = near.select(F.col("b").alias("id"), "turn", place.alias("place")).where(F.col("place") <= n).unionByName(top.select("id", F.col("rank").alias("turn"), F.lit(0).alias("place")))
     chosen = entries.groupBy("id").agg(F.min(F.struct("turn", "place")).alias("at")).orderBy("at.turn", "at.place").limit(n).select("id")
+    chosen = cut(chosen)  # n rows; both ends of the edges and the nodes read them, and none plans the ranking again
     nodes = every.join(chosen, "id", "left_semi").withColumn("group_key", F.split("file_path", "/")[0])
     ends = lambda e, c: e.join(chosen.withColumnRenamed("id", c), c, "left_semi")
     edges = ends(ends(collapsed(inner), "from_symbol"), "to_symbol").orderBy(F.desc("weight"), "from_symbol", "to_symbol").limit(m)
