@@ -13,6 +13,9 @@ from .common import cut, per_batch, words
 #: Cells with more members than this are split into cells of single bits.
 DENSE = 24
 
+#: Bands and their least hashes, and the members of a bucket that are compared pair by pair.
+BANDS, ROWS, BUCKET = 20, 6, 64
+
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """64 bits, each set if set in over half the XXH64 of the shingles, repeats included. Null and wordless texts: 0."""
@@ -126,10 +129,140 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return own.join(named, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component the row with its smallest doc_id stays, once. Rows
-    without a doc_id have no name to be dropped by; they stay."""
-    found = near_duplicates(docs.where("doc_id is not null"), shingle)
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """64-bit hashes of the shingles of a text in order, repeats included; fewer words make one shingle, none make none."""
+    w = words(text)
+    if not w:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    reach = min(shingle, len(w))
+    mixed = np.full(len(w) - reach + 1, reach, np.uint64)
+    for k in range(reach):
+        mixed = (mixed ^ h[k : len(h) - reach + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted arrays of distinct hashes; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _sketched(batch: dict, shingle: int) -> dict:
+    """Of every text: the set's identity, its fingerprint, the hashes of its bands and eight bits of each least hash."""
+    factors = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], np.uint64)
+    out = {"doc_id": batch["doc_id"], "key": [], "bits": [], "bands": [], "sketch": []}
+    for text in batch["text"]:
+        grams = shingle_hashes(text, shingle)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(grams), 1 << 14):
+            ones += np.unpackbits(grams[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        held = np.unique(grams)
+        least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(held), 2048):
+            least = np.minimum(least, (held[at : at + 2048, None] * factors).min(0))
+        out["key"].append(xxhash.xxh3_128_digest(held.tobytes()))
+        out["bits"].append(np.packbits(ones * 2 > max(1, len(grams)), bitorder="little").view(np.int64)[0])
+        out["bands"].append([int(np.int64(np.uint64(xxhash.xxh64_intdigest(b.tobytes())))) for b in least.reshape(BANDS, ROWS)] if len(held) else [])
+        out["sketch"].append(((least * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)).astype(np.uint8).tobytes())
+    return out
+
+
+def _forest(least: float):
+    """Members of a bucket, as lists of (doc_id, sketch): a spanning forest of the likeliest pairs by their sketches,
+    without those below ``least``."""
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for members in batch.column("members").to_pylist():
+                m = sorted({(r["doc_id"], r["sketch"]) for r in members})
+                s = np.frombuffer(b"".join(r[1] for r in m), np.uint8).reshape(len(m), -1)
+                alike = (s[:, None, :] == s[None, :, :]).mean(2)
+                # Prim's method, from each tree's first member.
+                best, by, out = np.full(len(m), -1.0), np.zeros(len(m), int), np.ones(len(m), bool)
+                for _ in range(len(m)):
+                    at = int(np.argmax(np.where(out, best, -2.0)))
+                    if best[at] >= least and m[at][0] != m[by[at]][0]:
+                        u.append(max(m[at][0], m[by[at]][0]))
+                        v.append(min(m[at][0], m[by[at]][0]))
+                    out[at] = False
+                    nearer = alike[at] > best
+                    best[nearer], by[nearer] = alike[at][nearer], at
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u > v) of ``sets`` that may be alike: fingerprints within two bits, and least hashes that agree in a band."""
+    firsts = sets.groupBy("bits").agg(F.min("doc_id").alias("first"))
+    alike = sets.join(firsts, "bits").where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    near = links(firsts.select("bits")).join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
+    near = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+    entered = sets.select("doc_id", "sketch", F.posexplode("bands").alias("band", "value"))
+    held = entered.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = entered.join(held, ["band", "value"])
+    wide = cut(
+        both.where(F.col("n") > BUCKET).select("doc_id", "sketch", "band", "value", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("turn"))
+        .withColumn("more", F.expr(f"substring(sketch, 1 + {ROWS} * ((band + turn) % {BANDS}), 2)"))
+    )
+    by = ["band", "value", "turn", "more"]
+    sizes = wide.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    finer = wide.join(sizes, by)
+    member = F.collect_list(F.struct("doc_id", "sketch")).alias("members")
+    small = both.where(F.col("n") <= BUCKET).groupBy("band", "value").agg(member).select("members")
+    small = small.union(finer.where(F.col("n") <= BUCKET).groupBy(by).agg(member).select("members"))
+    star = finer.where(F.col("n") > BUCKET).where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    return alike.union(near).union(star).union(small.mapInArrow(_forest(similarity - 0.15), "u long, v long")).distinct()
+
+
+def _confirmed(shingle: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            u, v, known = [], [], (None, None)
+            for one, other, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "a", "b")), strict=True):
+                if known[0] != other:
+                    known = (other, np.unique(shingle_hashes(b, shingle)))
+                if jaccard(np.unique(shingle_hashes(a, shingle)), known[1]) >= similarity:
+                    u.append(one)
+                    v.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` with a doc_id: rows whose sets of word shingles have a Jaccard
+    similarity of ``similarity`` or more are linked; component_id is the smallest doc_id reachable.
+
+    Rows of equal sets are one from the start. Candidates are the pairs of fingerprints (of the same shingles) within two
+    bits, by ``links``, and, as a fingerprint of two texts at 0.8 differs in some seven bits, the pairs whose least
+    hashes agree in one of BANDS bands of ROWS: at 0.8 that misses 0.2 %, above far less. Each candidate is verified on
+    the whole texts. Buckets of up to BUCKET members give a spanning forest by sketches of their least hashes; fuller
+    ones are parted by two more hashes, in four ways, and what is still fuller is linked to its smallest member.
+    Null and wordless texts are alike; fewer words than ``shingle`` are one shingle.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    own = cut(per_batch(texts, "doc_id long, key binary, bits long, bands array<long>, sketch binary", lambda b: _sketched(b, shingle)))
+    sets = cut(own.groupBy("key").agg(F.min_by(F.struct("doc_id", "bits", "bands", "sketch"), "doc_id").alias("s")).select("key", "s.*"))
+    pairs = cut(_candidates(sets, similarity))
+    wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
+    whole = cut(texts.join(wanted, "doc_id", "left_semi"))
+    told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
+    roots = components(told.mapInArrow(_confirmed(shingle, similarity), "u long, v long").distinct())
+    named = sets.join(roots, sets.doc_id == roots.node, "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
+    return own.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component of ``similar`` the row with its smallest doc_id stays,
+    once. Rows without a doc_id have no name to be dropped by; they stay."""
+    found = similar(docs, shingle, similarity)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -93,10 +93,73 @@ def test_simhash_links_are_those_of_all_pairs(spark):
     assert all(got.get(b, b) == bits[w] for b, w in zip(roots, want, strict=True))
 
 
+def brute_similar(texts, shingle=5, similarity=0.8):
+    """Component ids of all pairs at ``similarity`` or more, by the sets themselves."""
+    ids, holders, sets = sorted(texts), {}, {}
+    for i in ids:
+        w = words(texts[i])
+        sets[i] = {b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+        for g in sets[i]:
+            holders.setdefault(g, []).append(i)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    bare = [i for i in ids if not sets[i]]
+    pairs = [(bare[0], i) for i in bare[1:]]
+    for i in ids:
+        shared = Counter(j for g in sets[i] for j in holders[g] if j < i)
+        pairs += [(i, j) for j, n in shared.items() if n / (len(sets[i]) + len(sets[j]) - n) >= similarity]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_similar_is_what_all_pairs_give(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute_similar({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_similar_of_large_groups_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 240)]
+        for _ in range(60):  # a few words changed
+            w = list(base)
+            for at in rng.integers(0, 240, 2):
+                w[at] = f"x{rng.integers(0, 10**9)}"
+            rows.append(" ".join(w))
+        for _ in range(30):  # a shared passage, but different documents
+            rows.append(" ".join(base[:120] + [f"y{x}" for x in rng.integers(0, 10**9, 120)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == brute_similar(dict(enumerate(rows)))
+
+
+def test_similar_rarely_misses_a_pair_at_the_threshold(spark):
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(150):  # 11 of 100 five-word shingles changed on either side at most
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 104)]
+        rows.append(" ".join(base))
+        base[30], base[60] = "edit", "again"
+        rows.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    linked = sum(r.component_id != r.doc_id for r in simhash.similar(docs).collect())
+    assert linked >= 147
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)[:2] == [0, 3] and kept.where("doc_id is null").count() == 1
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    assert kept.where("doc_id is null").count() == 1 and simhash.keep_one(empty(spark)).isEmpty()
 
 
 def test_language_model(spark):
