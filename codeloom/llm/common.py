@@ -14,6 +14,8 @@ from ..storage import cut as cut
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A word: what ``bytes.split()`` gives, which splits at just these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch, about, that become Python objects at once.
+SLICE = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +27,22 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE bytes each."""
+    rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def per_batch(df: DataFrame, schema: str, work: Callable[[dict], Iterator[dict] | dict]) -> DataFrame:
-    """mapInArrow with dicts of Python lists in, and dicts of lists or arrays out."""
+    """mapInArrow with dicts of Python lists in, a slice of a batch each, and dicts of lists or arrays out."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = work({k: batch.column(k).to_pylist() for k in batch.schema.names})
             for one in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([pa.array(one[f.name], f.type) for f in out], schema=out)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, labelled_ids, per_batch
+from .common import LOWER, labelled_ids, per_batch, slices
 
 #: Features: one for each residue of a hash.
 SPACE = 1 << 18
@@ -131,7 +131,7 @@ def keep(docs: DataFrame, weights: Weights, threshold: float = 0.3) -> DataFrame
     dense: list = []
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             if not dense:
                 dense.append(shared.value.dense())
             import pyarrow as pa

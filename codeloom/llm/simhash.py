@@ -178,8 +178,8 @@ def _forest(least: float):
     def run(batches):
         for batch in batches:
             u, v = [], []
-            for members in batch.column("members").to_pylist():
-                m = sorted({(r["doc_id"], r["sketch"]) for r in members})
+            for members in batch.column("members"):  # one bucket's rows at a time
+                m = sorted({(r["doc_id"], r["sketch"]) for r in members.as_py()})
                 s = np.frombuffer(b"".join(r[1] for r in m), np.uint8).reshape(len(m), -1)
                 alike = (s[:, None, :] == s[None, :, :]).mean(2)
                 # Prim's method, from each tree's first member.
@@ -225,10 +225,10 @@ def _confirmed(shingle: int, similarity: float):
     def run(batches):
         for batch in batches:
             u, v, known = [], [], (None, None)
-            for one, other, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "a", "b")), strict=True):
+            for one, other, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
                 if known[0] != other:
-                    known = (other, np.unique(shingle_hashes(b, shingle)))
-                if jaccard(np.unique(shingle_hashes(a, shingle)), known[1]) >= similarity:
+                    known = (other, np.unique(shingle_hashes(b.as_py(), shingle)))
+                if jaccard(np.unique(shingle_hashes(a.as_py(), shingle)), known[1]) >= similarity:
                     u.append(one)
                     v.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])

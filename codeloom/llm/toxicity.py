@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, labelled_ids, per_batch, words
+from .common import cut, labelled_ids, per_batch, slices, words
 
 #: Hashed terms, and how many of them the machine keeps: those whose presence tells most about the label.
 SPACE, TERMS = 1 << 24, 1536
@@ -160,7 +160,7 @@ def keep(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             yield batch.filter(pa.array([_scorer(shared, ready).score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
