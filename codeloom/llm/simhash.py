@@ -204,9 +204,10 @@ def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
     near = links(firsts.select("bits")).join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
     near = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
-    entered = sets.select("doc_id", "sketch", F.posexplode("bands").alias("band", "value"))
+    # Few rows share a bucket: the sketches travel with those alone.
+    entered = sets.select("doc_id", F.posexplode("bands").alias("band", "value"))
     held = entered.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = entered.join(held, ["band", "value"])
+    both = entered.join(held, ["band", "value"]).join(sets.select("doc_id", "sketch"), "doc_id")
     wide = cut(
         both.where(F.col("n") > BUCKET).select("doc_id", "sketch", "band", "value", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("turn"))
         .withColumn("more", F.expr(f"substring(sketch, 1 + {ROWS} * ((band + turn) % {BANDS}), 2)"))
