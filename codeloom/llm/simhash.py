@@ -13,8 +13,9 @@ from .common import cut, per_batch, words
 #: Cells with more members than this are split into cells of single bits.
 DENSE = 24
 
-#: Bands and their least hashes, and the members of a bucket that are compared pair by pair.
+#: Bands and their least hashes, the members of a bucket that one forest takes, and those of a part of a fuller bucket.
 BANDS, ROWS, BUCKET = 20, 6, 64
+PARTS = 8  # times BUCKET
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -171,6 +172,18 @@ def _sketched(batch: dict, shingle: int) -> dict:
     return out
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the sketch bytes agree, of each row of ``a`` with each of ``b``."""
+    made = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        made += x[:, None] == y[None, :]
+    return made
+
+
+def _sketches(members: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["sketch"] for r in members), np.uint8).reshape(len(members), BANDS * ROWS)
+
+
 def _forest(least: float):
     """Members of a bucket, as lists of (doc_id, sketch): a spanning forest of the likeliest pairs by their sketches,
     without those below ``least``."""
@@ -179,16 +192,16 @@ def _forest(least: float):
         for batch in batches:
             u, v = [], []
             for members in batch.column("members"):  # one bucket's rows at a time
-                m = sorted({(r["doc_id"], r["sketch"]) for r in members.as_py()})
-                s = np.frombuffer(b"".join(r[1] for r in m), np.uint8).reshape(len(m), -1)
-                alike = (s[:, None, :] == s[None, :, :]).mean(2)
+                m = sorted(members.as_py(), key=lambda r: r["doc_id"])
+                s = _sketches(m)
+                alike = _agreement(s, s) / s.shape[1]
                 # Prim's method, from each tree's first member.
                 best, by, out = np.full(len(m), -1.0), np.zeros(len(m), int), np.ones(len(m), bool)
                 for _ in range(len(m)):
                     at = int(np.argmax(np.where(out, best, -2.0)))
-                    if best[at] >= least and m[at][0] != m[by[at]][0]:
-                        u.append(max(m[at][0], m[by[at]][0]))
-                        v.append(min(m[at][0], m[by[at]][0]))
+                    if best[at] >= least and at != by[at]:
+                        u.append(max(m[at]["doc_id"], m[by[at]]["doc_id"]))
+                        v.append(min(m[at]["doc_id"], m[by[at]]["doc_id"]))
                     out[at] = False
                     nearer = alike[at] > best
                     best[nearer], by[nearer] = alike[at][nearer], at
@@ -197,29 +210,83 @@ def _forest(least: float):
     return run
 
 
-def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u > v) of ``sets`` that may be alike: fingerprints within two bits, and least hashes that agree in a band."""
+def _across(least: float, every: bool):
+    """Blocks of two parts, as lists of (doc_id, sketch, component, part): the pairs of unlike components across the
+    parts that agree in ``least`` of their sketches; unless ``every``, only the likeliest of each member."""
+
+    def run(batches):
+        for batch in batches:
+            for one, other, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members"), strict=True):
+                m = members.as_py()
+                left, right = ([r for r in m if r["part"] == part] for part in (one, other))
+                if not left or not right:
+                    continue
+                ids, roots = (([np.array([r[k] for r in side], np.int64) for side in (left, right)]) for k in ("doc_id", "component"))
+                s, t = _sketches(left), _sketches(right)
+                for at in range(0, len(left), 256):
+                    some = slice(at, at + 256)
+                    alike = _agreement(s[some], t)
+                    alike[(roots[0][some, None] == roots[1][None, :]) | (alike < least * s.shape[1])] = 0
+                    if every:
+                        i, j = np.nonzero(alike)
+                    else:
+                        i, j = np.arange(len(alike)), alike.argmax(1)
+                        i, j = np.append(i, alike.argmax(0)), np.append(j, np.arange(len(right)))
+                        i, j = i[alike[i, j] > 0], j[alike[i, j] > 0]
+                    x, y = ids[0][some][i], ids[1][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
+
+    return run
+
+
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(band, value, doc_id, n): the buckets of least hashes that agree in a band, with their n members, two at least."""
+    entered = sets.select("doc_id", F.posexplode("bands").alias("band", "value"))
+    held = entered.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut(entered.join(held, ["band", "value"]))
+
+
+def _candidates(sets: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u > v) of ``sets`` to begin with: fingerprints within two bits, and of each bucket, or each part of a
+    fuller one, a forest."""
     firsts = sets.groupBy("bits").agg(F.min("doc_id").alias("first"))
     alike = sets.join(firsts, "bits").where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     near = links(firsts.select("bits")).join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
     near = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-
+    parts = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") / (PARTS * BUCKET))).otherwise(1)
+    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("doc_id", "band"), parts))
     # Few rows share a bucket: the sketches travel with those alone.
-    entered = sets.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    held = entered.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = entered.join(held, ["band", "value"]).join(sets.select("doc_id", "sketch"), "doc_id")
-    wide = cut(
-        both.where(F.col("n") > BUCKET).select("doc_id", "sketch", "band", "value", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("turn"))
-        .withColumn("more", F.expr(f"substring(sketch, 1 + {ROWS} * ((band + turn) % {BANDS}), 2)"))
-    )
-    by = ["band", "value", "turn", "more"]
-    sizes = wide.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    finer = wide.join(sizes, by)
-    member = F.collect_list(F.struct("doc_id", "sketch")).alias("members")
-    small = both.where(F.col("n") <= BUCKET).groupBy("band", "value").agg(member).select("members")
-    small = small.union(finer.where(F.col("n") <= BUCKET).groupBy(by).agg(member).select("members"))
-    star = finer.where(F.col("n") > BUCKET).where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    return alike.union(near).union(star).union(small.mapInArrow(_forest(similarity - 0.15), "u long, v long")).distinct()
+    members = dealt.join(sets.select("doc_id", "sketch"), "doc_id").groupBy("band", "value", "part").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members"))
+    return alike.union(near).union(members.select("members").mapInArrow(_forest(similarity - 0.15), "u long, v long")).distinct()
+
+
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` that hold more than one component, with each row's component and the bucket's largest."""
+    rooted = buckets.join(roots, buckets.doc_id == roots.node, "left").select(*buckets.columns, F.coalesce("root", "doc_id").alias("component"))
+    sizes = rooted.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("band", "value").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    return cut(rooted.join(main, ["band", "value"]).select(*rooted.columns, F.col("main.component").alias("main"), F.col("main.size").alias("size")))
+
+
+def _hubs(opened: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (u > v): each member of a bucket with that of the most links, where their components differ."""
+    degrees = edges.select("u").union(edges.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
+    most = opened.join(degrees, opened.doc_id == degrees.u).groupBy("band", "value").agg(F.max(F.struct("degree", "doc_id", "component")).alias("hub"))
+    held = opened.join(most, ["band", "value"]).where("component <> hub.component")
+    return held.select(F.greatest("doc_id", "hub.doc_id").alias("u"), F.least("doc_id", "hub.doc_id").alias("v")).distinct()
+
+
+def _unlinked(opened: DataFrame, sets: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Pairs (u > v) of a bucket's unlike components, by blocks: the members outside its largest component, in parts,
+    meet one another and that component's parts. Pairs within the largest component are never made."""
+    few, many = F.ceil((F.col("n") - F.col("size")) / (PARTS * BUCKET)), F.ceil(F.col("size") / (PARTS * BUCKET))
+    turn = lambda of: F.pmod(F.xxhash64("doc_id", "band"), of)
+    sided = opened.withColumns({"few": few, "many": many}).withColumn("part", F.when(F.col("component") == F.col("main"), -1 - turn(F.col("many"))).otherwise(turn(F.col("few"))))
+    blocks = F.expr("""if(part < 0, transform(sequence(0L, few - 1), i -> struct(i as a, part as b)),
+        concat(transform(sequence(1L, many), k -> struct(part as a, -k as b)), transform(sequence(0L, few - 1), j -> struct(least(part, j) as a, greatest(part, j) as b))))""")
+    dealt = sided.join(sets.select("doc_id", "sketch"), "doc_id").select("band", "value", "doc_id", "sketch", "component", "part", F.inline(blocks))
+    members = dealt.groupBy("band", "value", "a", "b").agg(F.collect_list(F.struct("doc_id", "sketch", "component", "part")).alias("members"))
+    return members.select("a", "b", "members").mapInArrow(_across(similarity - 0.15, every), "u long, v long").distinct()
 
 
 def _confirmed(shingle: int, similarity: float):
@@ -244,18 +311,35 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     Rows of equal sets are one from the start. Candidates are the pairs of fingerprints (of the same shingles) within two
     bits, by ``links``, and, as a fingerprint of two texts at 0.8 differs in some seven bits, the pairs whose least
     hashes agree in one of BANDS bands of ROWS: at 0.8 that misses 0.2 %, above far less. Each candidate is verified on
-    the whole texts. Buckets of up to BUCKET members give a spanning forest by sketches of their least hashes; fuller
-    ones are parted by two more hashes, in four ways, and what is still fuller is linked to its smallest member.
+    the whole texts. Buckets of up to BUCKET members, and parts of fuller ones, begin with a spanning forest by sketches of
+    their least hashes. Of fuller buckets that still hold several components, every member then meets the one with the
+    most links, next each member its likeliest partner in another component, and last all pairs of different
+    components that the sketches allow are verified, so that a bucket's size takes no pair away.
     Null and wordless texts are alike; fewer words than ``shingle`` are one shingle.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     own = cut(per_batch(texts, "doc_id long, key binary, bits long, bands array<long>, sketch binary", lambda b: _sketched(b, shingle)))
     sets = cut(own.groupBy("key").agg(F.min_by(F.struct("doc_id", "bits", "bands", "sketch"), "doc_id").alias("s")).select("key", "s.*"))
-    pairs = cut(_candidates(sets, similarity))
-    wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
-    whole = cut(texts.join(wanted, "doc_id", "left_semi"))
-    told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
-    roots = components(told.mapInArrow(_confirmed(shingle, similarity), "u long, v long").distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
+        whole = cut(texts.join(wanted, "doc_id", "left_semi"))
+        told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
+        return cut(told.mapInArrow(_confirmed(shingle, similarity), "u long, v long").distinct())
+
+    buckets = _buckets(sets)
+    tried = cut(_candidates(sets, buckets, similarity))
+    edges = verified(tried)
+    roots, opened = cut(components(edges)), buckets.where(F.col("n") > BUCKET)
+    for more in (lambda o: _hubs(o, edges), lambda o: _unlinked(o, sets, similarity, False), lambda o: _unlinked(o, sets, similarity, True)):
+        opened = _open(opened.select("band", "value", "doc_id", "n"), roots)
+        pairs = cut(more(opened).join(tried, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        found = verified(pairs)
+        tried, edges = tried.union(pairs), edges.union(found)
+        if not found.isEmpty():
+            roots = cut(components(edges))
     named = sets.join(roots, sets.doc_id == roots.node, "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
     return own.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
