@@ -239,19 +239,21 @@ def _across(least: float, every: bool):
     return run
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(band, value, doc_id, n): the buckets of least hashes that agree in a band, with their n members, two at least."""
-    entered = sets.select("doc_id", F.posexplode("bands").alias("band", "value"))
+def _buckets(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """(band, value, doc_id, n): the buckets of least hashes that agree in a band, and under band -1 those of fingerprints
+    that ``near`` connects or that are equal, with their n members, two at least."""
+    grid = sets.join(components(near), F.col("bits") == F.col("node"), "left").select("doc_id", F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"))
+    entered = sets.select("doc_id", F.posexplode("bands").alias("band", "value")).union(grid)
     held = entered.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return cut(entered.join(held, ["band", "value"]))
 
 
-def _candidates(sets: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+def _candidates(sets: DataFrame, near: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u > v) of ``sets`` to begin with: fingerprints within two bits, and of each bucket, or each part of a
     fuller one, a forest."""
     firsts = sets.groupBy("bits").agg(F.min("doc_id").alias("first"))
     alike = sets.join(firsts, "bits").where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    near = links(firsts.select("bits")).join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
+    near = near.join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
     near = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     parts = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") / (PARTS * BUCKET))).otherwise(1)
     dealt = buckets.withColumn("part", F.pmod(F.xxhash64("doc_id", "band"), parts))
@@ -312,9 +314,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     bits, by ``links``, and, as a fingerprint of two texts at 0.8 differs in some seven bits, the pairs whose least
     hashes agree in one of BANDS bands of ROWS: at 0.8 that misses 0.2 %, above far less. Each candidate is verified on
     the whole texts. Buckets of up to BUCKET members, and parts of fuller ones, begin with a spanning forest by sketches of
-    their least hashes. Of fuller buckets that still hold several components, every member then meets the one with the
-    most links, next each member its likeliest partner in another component, and last all pairs of different
-    components that the sketches allow are verified, so that a bucket's size takes no pair away.
+    their least hashes. Of buckets that still hold several components, every member then meets the one with the most
+    links, next each member its likeliest partner in another component, and last all pairs of different components that
+    the sketches allow are verified, so that neither a bucket's size nor a forest's choice takes a pair away. Fingerprints
+    that are equal or connected make buckets as well.
     Null and wordless texts are alike; fewer words than ``shingle`` are one shingle.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
@@ -327,10 +330,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
         return cut(told.mapInArrow(_confirmed(shingle, similarity), "u long, v long").distinct())
 
-    buckets = _buckets(sets)
-    tried = cut(_candidates(sets, buckets, similarity))
+    near = cut(links(sets.select("bits").distinct()))
+    buckets = _buckets(sets, near)
+    tried = cut(_candidates(sets, near, buckets, similarity))
     edges = verified(tried)
-    roots, opened = cut(components(edges)), buckets.where(F.col("n") > BUCKET)
+    roots, opened = cut(components(edges)), buckets
     for more in (lambda o: _hubs(o, edges), lambda o: _unlinked(o, sets, similarity, False), lambda o: _unlinked(o, sets, similarity, True)):
         opened = _open(opened.select("band", "value", "doc_id", "n"), roots)
         pairs = cut(more(opened).join(tried, ["u", "v"], "left_anti"))

@@ -157,6 +157,24 @@ def test_similar_of_large_groups_that_only_their_original_links(spark):
     assert sum(c == 0 for c in got.values()) >= 698
 
 
+def test_similar_tries_the_pairs_that_a_forest_displaced(spark, monkeypatch):
+    """Texts near the threshold in one small bucket: a forest's failed edges hide true pairs."""
+    rng, rows = np.random.default_rng(12), []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+        for _ in range(20):
+            w = list(base)
+            for at in rng.choice(190, 3, replace=False):
+                w[int(at)] = f"x{rng.integers(0, 10**9)}"
+            rows.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    # Every least hash in one bucket: what remains to be missed is the forest's part alone.
+    sketched = simhash._sketched
+    monkeypatch.setattr(simhash, "_sketched", lambda b, k: (m := sketched(b, k)) | {"bands": [[i // 20] for i in b["doc_id"]]})
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == brute_similar(dict(enumerate(rows)))
+
+
 def test_similar_rarely_misses_a_pair_at_the_threshold(spark):
     rng, rows = np.random.default_rng(6), []
     for _ in range(150):  # 11 of 100 five-word shingles changed on either side at most
