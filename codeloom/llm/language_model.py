@@ -20,6 +20,10 @@ CLASSES = FREQUENT + ENDINGS + 1
 END = CLASSES - 1
 #: Words whose counts every worker holds. Counts of all others are joined in.
 HELD = 1 << 16
+#: Width of the vectors by which a word's share of its class follows the class before it, and their prior's precision.
+WIDTH, PRECISION = 12, 10.0
+#: Bits of a held word's place.
+PLACE = HELD.bit_length()
 #: Words that a worker keeps beside those, and distinct words that it counts before it passes them on.
 KEPT = 1 << 18
 
@@ -39,6 +43,8 @@ class LogBilinear:
     context: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    before: np.ndarray | None = None  # of each class as the one before, its vector in words' shares of their classes
+    log_shares: np.ndarray | None = None  # of each class and the one before it, the log of the shares' sum
 
     def log_normalisers(self) -> np.ndarray:
         """The natural log of the softmax's denominator for every context, by batched matrix products."""
@@ -123,14 +129,15 @@ def frequent(counts: DataFrame, most: int) -> pa.Table:
         if held > most:
             break
         least = r.step
-    return counts.where(step >= least if least is not None else F.lit(False)).select("word", "c").toArrow()
+    return counts.where(step >= least if least is not None else F.lit(False)).select("word", "c", *(["vector"] if "vector" in counts.columns else [])).toArrow()
 
 
 @dataclass
 class Lexicon:
     """What every worker holds of the counts; its size is bounded by HELD and CLASSES."""
 
-    held: dict[bytes, int]  # count * CLASSES + class
+    held: dict[bytes, int]  # (count * CLASSES + class) * 2 * HELD + place of its vector
+    vectors: np.ndarray
     total: int
     distinct: int
     in_class: np.ndarray  # of each class, the counts and the number of words that stand in it
@@ -141,17 +148,23 @@ class Lexicon:
         top = sorted(zip(rows["word"].to_pylist(), rows["c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
         first = {w.encode(): k for k, (w, _) in enumerate(top[:FREQUENT])}
         held = {w.encode(): c * CLASSES + first.get(w.encode(), -1) for w, c in top}
-        held = {w: x if w in first else x + 1 + ending_class(w) for w, x in held.items()}
+        held = {w: ((x if w in first else x + 1 + ending_class(w)) << PLACE) + k for k, (w, x) in enumerate(held.items())}
+        vectors = np.zeros((len(top), WIDTH), np.float32)
+        if "vector" in rows.column_names:
+            at = {w: k for k, (w, _) in enumerate(top)}
+            for w, v in zip(rows["word"].to_pylist(), rows["vector"].to_pylist(), strict=True):
+                if v is not None:
+                    vectors[at[w]] = v
         grouped = counts.where(~F.col("word").isin("", *(w.decode() for w in first))).groupBy(_ending_class(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
         in_class = np.zeros((2, CLASSES))
         for r in grouped:
             in_class[:, r.k] = r.c, r.n
         total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-        return cls(held, total[0] or 0, total[1], in_class)
+        return cls(held, vectors, total[0] or 0, total[1], in_class)
 
 
 class _Classes:
-    """Packed counts and classes of words in a worker."""
+    """Packed counts, classes and places of words in a worker."""
 
     def __init__(self, lexicon: Lexicon):
         self.held, self.missed = lexicon.held, {}
@@ -177,7 +190,7 @@ def context_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         classes, parts = _Classes(held.value), []
         for text in b["text"]:
             packed = classes.of(words(text))
-            k = np.concatenate([[END, END], np.where(packed < 0, -1 - packed, packed % CLASSES), [END]]).astype(np.int64)
+            k = np.concatenate([[END, END], np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES), [END]]).astype(np.int64)
             parts.append((k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:])
         cell, n = np.unique(np.concatenate(parts), return_counts=True) if parts else ([], [])
         return {"cell": cell, "n": n}
@@ -185,15 +198,100 @@ def context_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return per_batch(docs.select("text"), "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def following(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(word, after): of each word that shares its class, how often it follows each class, as (v, n), over all texts."""
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def count(b: dict) -> Iterator[dict]:
+        classes, c = _Classes(held.value), Counter()
+
+        def made() -> dict:
+            return {"word": [w.decode() for w, _ in c], "v": [v for _, v in c], "n": list(c.values())}
+
+        for text in b["text"]:
+            w = words(text)
+            packed = classes.of(w)
+            k = np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES)
+            before = np.append(END, k[:-1])
+            c.update((w[i], v) for i, v in zip(np.flatnonzero(k >= FREQUENT).tolist(), before[k >= FREQUENT].tolist(), strict=True))
+            if len(c) > KEPT:
+                yield made()
+                c.clear()
+        yield made()
+
+    pairs = per_batch(docs.select("text"), "word string, v int, n long", count).groupBy("word", "v").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("word").agg(F.collect_list(F.struct("v", "n")).alias("after"))
+
+
+def word_vectors(after: DataFrame, before: np.ndarray, expected: np.ndarray) -> DataFrame:
+    """(word, vector) for every row of ``after``: the vector r under which the word's share of its class changes by
+    exp(r . before[v]) after class v. It maximises the Poisson likelihood of the word's counts, of which ``expected`` is
+    the share of each v in its class, with a normal prior; each word is a convex problem of its own, solved by Newton's steps."""
+    outer = (before[:, :, None] * before[:, None, :]).reshape(CLASSES, -1)
+
+    def solve(b: dict) -> Iterator[dict]:
+        for at in range(0, len(b["word"]), 2048):
+            w, rows = b["word"][at : at + 2048], b["after"][at : at + 2048]
+            n = np.zeros((len(w), CLASSES))
+            for i, found in enumerate(rows):
+                for x in found:
+                    n[i, x["v"]] = x["n"]
+            due = n.sum(1)[:, None] * expected[[ending_class(x.encode()) for x in w]]
+            r = np.zeros((len(w), WIDTH))
+            for _ in range(5):
+                rate = due * np.exp((r @ before.T).clip(-8, 8))
+                slope = (n - rate) @ before - PRECISION * r
+                curve = (rate @ outer).reshape(-1, WIDTH, WIDTH) + PRECISION * np.eye(WIDTH)
+                r += np.linalg.solve(curve, slope[:, :, None])[:, :, 0].clip(-1, 1)
+            yield {"word": w, "vector": r.astype(np.float32).tolist()}
+
+    return per_batch(after, "word string, vector array<float>", solve)
+
+
+def log_shares(counts: DataFrame, before: np.ndarray, in_class: np.ndarray) -> np.ndarray:
+    """The log of the sum, over the words of each class, of their shares after each class. What no text of training has
+    stands for one word that no class before it changes."""
+
+    def add(b: dict) -> dict:
+        total = np.zeros((CLASSES, CLASSES))
+        for at in range(0, len(b["word"]), 4096):
+            r = np.array(b["vector"][at : at + 4096], np.float32).reshape(-1, WIDTH)
+            k = np.array([ending_class(x.encode()) for x in b["word"][at : at + 4096]], np.int64)
+            e = (np.array(b["c"][at : at + 4096])[:, None] + 1.0) * np.exp(r.astype(float) @ before.T)
+            np.add.at(total, k, e)
+        return {"k": np.arange(CLASSES), "total": total.tolist()}
+
+    parts = per_batch(counts.where("vector is not null").select("word", "c", "vector"), "k int, total array<double>", add)
+    summed = parts.select("k", F.posexplode("total").alias("v", "x")).groupBy("k", "v").agg(F.sum("x").alias("x")).toArrow()
+    total = np.ones((CLASSES, CLASSES))
+    np.add.at(total, (summed["k"].to_numpy(), summed["v"].to_numpy()), summed["x"].to_numpy())
+    made = np.log(total) - np.log(in_class.sum(0) + 1)[:, None]
+    made[:FREQUENT] = made[END] = 0
+    return made
+
+
 def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinear]:
     """Counts all words of ``training`` and all class contexts, and trains the model on the latter: at most CLASSES
-    cubed numbers reach the driver, whatever the size of the corpus."""
+    cubed numbers reach the driver, whatever the size of the corpus. Every word that shares its class then gets a vector,
+    a row of the counts, from all its occurrences: the vectors are as many as the words and stay with the workers."""
     counts = cut(word_counts(training))
     lexicon = Lexicon.of(counts)
     found = context_counts(training, lexicon).toArrow()
     cells, n = found["cell"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(cells)
-    return counts, lexicon, train(cells[order].astype(np.int64), n[order].astype(np.float64), **settings)
+    model = train(cells[order].astype(np.int64), n[order].astype(np.float64), **settings)
+    seen = np.zeros((CLASSES, CLASSES))  # class, class before it
+    np.add.at(seen, (cells % CLASSES, cells // CLASSES % CLASSES), n)
+    # The vectors of the classes before, without their mean and of unit variance, in their widest directions.
+    weight = seen[FREQUENT:END].sum(0) / max(1.0, seen[FREQUENT:END].sum())
+    centred = model.context[1] - weight @ model.context[1]
+    _, size, axes = np.linalg.svd(centred * np.sqrt(weight)[:, None], full_matrices=False)
+    model.before = centred @ axes[:WIDTH].T / np.maximum(size[:WIDTH], 1e-3)
+    model.before = model.before / np.maximum(1.0, np.linalg.norm(model.before, axis=1, keepdims=True) / np.sqrt(4 * WIDTH))
+    vectors = word_vectors(following(training, lexicon), model.before, seen / np.maximum(1.0, seen.sum(1, keepdims=True)))
+    counts = cut(counts.join(vectors, "word", "left"))
+    model.log_shares = log_shares(counts, model.before, lexicon.in_class)
+    return counts, Lexicon.of(counts), model
 
 
 def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBilinear) -> DataFrame:
@@ -201,7 +299,7 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBiline
 
     base_score is the add-one unigram log10 probability. score is the model's: of each token's class after the two
     classes before it, times the share of the word in its class, add-one over the class's words and one for all words
-    that training lacks. Counts that the workers don't hold are joined by word; those words are rare, so that no join
+    that training lacks, as the word's vector changes it after the class before. Counts and vectors that the workers don't hold are joined by word; those words are rare, so that no join
     key is hot. Null and empty texts are one end. Without training tokens, base_score is 0 and the model uniform.
     """
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, model, {r.word: r.c for r in counts.where("word = ''").collect()}.get("", 0)))
@@ -216,9 +314,9 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBiline
         made: dict = {k: [] for k in ("doc_id", "n", "known", "base", "model", "rare")}
         for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
             w = words(text)
-            packed = np.append(classes.of(w), ends * CLASSES + END)
-            k = np.where(packed < 0, -1 - packed, packed % CLASSES)
-            c = np.where(packed < 0, 0, packed // CLASSES)
+            packed = np.append(classes.of(w), (ends * CLASSES + END) << PLACE)
+            k = np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES)
+            c = np.where(packed < 0, 0, (packed >> PLACE) // CLASSES)
             logs = np.log10(c + 1.0)
             before = np.concatenate([[END, END], k])
             p = model.log_probabilities(before[:-2], before[1:-1], k, normalisers).sum(dtype=np.float64) / np.log(10)
@@ -227,19 +325,26 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBiline
             made["n"].append(len(k))
             made["known"].append(int((c > 0).sum()))
             made["base"].append(float(logs.sum() - len(k) * base_all))
-            made["model"].append(float(p + logs[tail].sum() - shares[k[tail]].sum()))
-            rare = Counter(w[i] for i in np.flatnonzero(packed < 0).tolist())
-            made["rare"].append([{"word": x.decode(), "n": n} for x, n in rare.items()])
+            v = before[1:-1]
+            known = tail & (packed >= 0)
+            bent = np.einsum("ij,ij->", lexicon.vectors[packed[known] & ((1 << PLACE) - 1)], model.before[v[known]]) - model.log_shares[k[tail], v[tail]].sum()
+            made["model"].append(float(p + logs[tail].sum() - shares[k[tail]].sum() + bent / np.log(10)))
+            rare = Counter((w[i], int(v[i])) for i in np.flatnonzero(packed < 0).tolist())
+            made["rare"].append([{"word": x.decode(), "v": v, "n": n} for (x, v), n in rare.items()])
         yield made
 
     passed = cut(
-        per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, known long, base double, model double, rare array<struct<word: string, n: long>>", run)
+        per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, known long, base double, model double, rare array<struct<word: string, v: int, n: long>>", run)
         .withColumn("row", F.monotonically_increasing_id())
     )
-    rare = passed.select("row", F.inline("rare")).join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"))
-    gain, more = F.coalesce("gain", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    before = docs.sparkSession.createDataFrame([(v, x) for v, x in enumerate(model.before.astype(float).tolist())], "v int, x array<double>")
+    rare = passed.select("row", F.inline("rare")).join(counts, "word").join(F.broadcast(before), "v")
+    bent = sum((F.col("vector")[i] * F.col("x")[i] for i in range(WIDTH)), F.lit(0.0))
+    rare = rare.groupBy("row").agg(
+        F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"), F.sum(F.col("n") * F.coalesce(bent, F.lit(0.0)) / float(np.log(10))).alias("bent")
+    )
+    gain, more, bent = F.coalesce("gain", F.lit(0.0)), F.coalesce("more", F.lit(0)), F.coalesce("bent", F.lit(0.0))
     return passed.drop("rare").join(rare, "row", "left").select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + more).alias("n_known"), F.lit(lexicon.total).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("model") + gain).alias("score"),
+        (F.col("base") + gain).alias("base_score"), (F.col("model") + gain + bent).alias("score"),
     )

@@ -222,6 +222,30 @@ def test_language_model(spark):
     assert language_model.score(empty(spark), counts, lexicon, model).isEmpty()
 
 
+def test_language_model_tells_words_of_one_class_apart_by_context(spark):
+    """Rare words that share their ending, each after another frequent word: the class alone can't tell which follows."""
+    rng, texts = np.random.default_rng(4), []
+    for _ in range(400):
+        w = []
+        for _ in range(60):
+            k = int(rng.integers(0, 20))
+            w += [f"lead{k}", f"r{k}x{int(rng.integers(0, 30))}zz"]
+        texts.append(" ".join(w))
+    texts += [f"fill{k} " * 100 for k in range(91)]  # with these, none of the rare words has a class of its own
+    fitted = language_model.fit(documents(spark, texts))
+    _, lexicon, model = fitted
+    two = [" ".join(f"lead{k} r{(k + off) % 20}x{j}zz" for k in range(20) for j in range(30)) for off in (0, 7)]
+    right, wrong = (r.score / r.n_tokens for r in language_model.score(spark.createDataFrame(list(enumerate(two)), "doc_id long, text string"), *fitted).orderBy("doc_id").collect())
+    assert right > wrong + 0.1
+    # The words of a class and what training lacks share all of its probability after any class.
+    k = language_model.ending_class(b"r0x0zz")
+    c = np.array([x >> language_model.PLACE for x in lexicon.held.values()])
+    at = np.array([x & ((1 << language_model.PLACE) - 1) for x in lexicon.held.values()])
+    own = c % language_model.CLASSES == k
+    share = ((c[own] // language_model.CLASSES + 1)[:, None] * np.exp(lexicon.vectors[at[own]] @ model.before.T)).sum(0) + 1
+    assert np.allclose(share / (lexicon.in_class.sum(0)[k] + 1), np.exp(model.log_shares[k]), rtol=1e-3)
+
+
 @pytest.mark.parametrize("module, of, held, label, threshold, keeps", [(quality, 5, 0, "quality", 0.3, "predicted = 1"), (toxicity, 3, 1, "toxic", 0.7, "predicted = 0")])
 def test_classifiers(spark, module, of, held, label, threshold, keeps):
     sf = "/root/testdata/sf0.01"
