@@ -8,25 +8,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own for a master in this very process; on a cluster a
+    folder of one machine would lose or split the data, so an error tells to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: no lineage, and a lost executor loses nothing."""
+    """Writes df as a table in the shared folder and reads it back: no lineage, and a lost executor loses nothing. The
+    table stays until ``release`` or the interpreter's end."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codeloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(since: int = 0) -> None:
+    """Deletes the tables that ``cut`` has written, the first ``since`` excepted: what a long session calls between its
+    jobs, once their results are written."""
+    while len(_written) > since:
+        _remove(*_written.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
