@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut as cut
@@ -16,6 +16,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch, about, that become Python objects at once.
 SLICE = 1 << 22
+#: Entries of each of a worker's caches, and the longest key that a cache keeps: together they bound its bytes.
+KEPT, LONGEST = 1 << 18, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,13 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks in front as make it no column's."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about SLICE bytes each."""
     rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
@@ -45,7 +54,7 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[dict], Iterator[dict]
         for batch in (part for whole in batches for part in slices(whole)):
             made = work({k: batch.column(k).to_pylist() for k in batch.schema.names})
             for one in [made] if isinstance(made, dict) else made:
-                yield pa.RecordBatch.from_arrays([pa.array(one[f.name], f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([one[f.name].cast(f.type) if isinstance(one[f.name], pa.Array) else pa.array(one[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -57,6 +66,14 @@ def words(text: str | None) -> list[bytes]:
 
 def labelled_ids(labels: DataFrame, label: str, of: int, held: int, bound: int) -> DataFrame:
     """At most ``bound`` labelled (doc_id, label) rows outside the held-out fold, in order of a hash of doc_id: never a
-    matter of where a row stands. Rows with a null doc_id or label teach nothing."""
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    matter of where a row stands. Rows with a null doc_id or label teach nothing; repeated ones teach once; of a document
+    with several labels each is learnt."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").distinct()
     return rows.where(remainder(F.col("doc_id"), of) != held).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
+
+
+def within(rows: DataFrame, size: Column, bound: int) -> DataFrame:
+    """The first of labelled ``rows`` (doc_id, label, ...), in order of a hash of doc_id, whose sizes together stay within
+    ``bound``. The rows are as few as ``labelled_ids`` gives."""
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_held", F.sum(size).over(order)).where(F.col("_held") <= bound).drop("_held")

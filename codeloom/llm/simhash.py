@@ -5,16 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, words
+from .common import cut, fresh, per_batch, words
 
 #: Cells with more members than this are split into cells of single bits.
 DENSE = 24
 
 #: Bands and their least hashes, the members of a bucket that one forest takes, and those of a part of a fuller bucket.
-BANDS, ROWS, BUCKET = 20, 6, 64
+#: A pair at a similarity of 0.8 shares no band with probability (1 - 0.8^5)^40, one in ten millions; above far less.
+BANDS, ROWS, BUCKET = 40, 5, 64
 PARTS = 8  # times BUCKET
 
 
@@ -155,7 +156,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _sketched(batch: dict, shingle: int) -> dict:
     """Of every text: the set's identity, its fingerprint, the hashes of its bands and eight bits of each least hash."""
     factors = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], np.uint64)
-    out = {"doc_id": batch["doc_id"], "key": [], "bits": [], "bands": [], "sketch": []}
+    out = {"doc_id": batch["doc_id"], "text_id": batch["text_id"], "key": [], "bits": [], "bands": [], "sketch": []}
     for text in batch["text"]:
         grams = shingle_hashes(text, shingle)
         ones = np.zeros(64, np.int64)
@@ -185,14 +186,14 @@ def _sketches(members: list[dict]) -> np.ndarray:
 
 
 def _forest(least: float):
-    """Members of a bucket, as lists of (doc_id, sketch): a spanning forest of the likeliest pairs by their sketches,
+    """Members of a bucket, as lists of (id, sketch): a spanning forest of the likeliest pairs by their sketches,
     without those below ``least``."""
 
     def run(batches):
         for batch in batches:
             u, v = [], []
             for members in batch.column("members"):  # one bucket's rows at a time
-                m = sorted(members.as_py(), key=lambda r: r["doc_id"])
+                m = sorted(members.as_py(), key=lambda r: r["id"])
                 s = _sketches(m)
                 alike = _agreement(s, s) / s.shape[1]
                 # Prim's method, from each tree's first member.
@@ -200,8 +201,8 @@ def _forest(least: float):
                 for _ in range(len(m)):
                     at = int(np.argmax(np.where(out, best, -2.0)))
                     if best[at] >= least and at != by[at]:
-                        u.append(max(m[at]["doc_id"], m[by[at]]["doc_id"]))
-                        v.append(min(m[at]["doc_id"], m[by[at]]["doc_id"]))
+                        u.append(max(m[at]["id"], m[by[at]]["id"]))
+                        v.append(min(m[at]["id"], m[by[at]]["id"]))
                     out[at] = False
                     nearer = alike[at] > best
                     best[nearer], by[nearer] = alike[at][nearer], at
@@ -211,7 +212,7 @@ def _forest(least: float):
 
 
 def _across(least: float, every: bool):
-    """Blocks of two parts, as lists of (doc_id, sketch, component, part): the pairs of unlike components across the
+    """Blocks of two parts, as lists of (id, sketch, component, part): the pairs of unlike components across the
     parts that agree in ``least`` of their sketches; unless ``every``, only the likeliest of each member."""
 
     def run(batches):
@@ -221,7 +222,7 @@ def _across(least: float, every: bool):
                 left, right = ([r for r in m if r["part"] == part] for part in (one, other))
                 if not left or not right:
                     continue
-                ids, roots = (([np.array([r[k] for r in side], np.int64) for side in (left, right)]) for k in ("doc_id", "component"))
+                ids, roots = (([np.array([r[k] for r in side], np.int64) for side in (left, right)]) for k in ("id", "component"))
                 s, t = _sketches(left), _sketches(right)
                 for at in range(0, len(left), 256):
                     some = slice(at, at + 256)
@@ -240,31 +241,31 @@ def _across(least: float, every: bool):
 
 
 def _buckets(sets: DataFrame, near: DataFrame) -> DataFrame:
-    """(band, value, doc_id, n): the buckets of least hashes that agree in a band, and under band -1 those of fingerprints
-    that ``near`` connects or that are equal, with their n members, two at least."""
-    grid = sets.join(components(near), F.col("bits") == F.col("node"), "left").select("doc_id", F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"))
-    entered = sets.select("doc_id", F.posexplode("bands").alias("band", "value")).union(grid)
-    held = entered.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut(entered.join(held, ["band", "value"]))
+    """(band, value, id, n): the buckets of least hashes that agree in a band, and under band -1 those of fingerprints
+    that ``near`` connects or that are equal, with their n members, two at least. The entries move once: a window counts
+    a bucket where it lies, and spills what a full one holds."""
+    grid = sets.join(components(near), F.col("bits") == F.col("node"), "left").select("id", F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"))
+    entered = sets.select("id", F.posexplode("bands").alias("band", "value")).union(grid)
+    return cut(entered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "value"))).where("n > 1"))
 
 
 def _candidates(sets: DataFrame, near: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u > v) of ``sets`` to begin with: fingerprints within two bits, and of each bucket, or each part of a
     fuller one, a forest."""
-    firsts = sets.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    alike = sets.join(firsts, "bits").where("doc_id > first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    firsts = sets.groupBy("bits").agg(F.min("id").alias("first"))
+    alike = sets.join(firsts, "bits").where("id > first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     near = near.join(firsts.toDF("u", "a"), "u").join(firsts.toDF("v", "b"), "v")
     near = near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     parts = F.when(F.col("n") > BUCKET, F.ceil(F.col("n") / (PARTS * BUCKET))).otherwise(1)
-    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("doc_id", "band"), parts))
+    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("id", "band"), parts))
     # Few rows share a bucket: the sketches travel with those alone.
-    members = dealt.join(sets.select("doc_id", "sketch"), "doc_id").groupBy("band", "value", "part").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members"))
+    members = dealt.join(sets.select("id", "sketch"), "id").groupBy("band", "value", "part").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
     return alike.union(near).union(members.select("members").mapInArrow(_forest(similarity - 0.15), "u long, v long")).distinct()
 
 
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of ``buckets`` that hold more than one component, with each row's component and the bucket's largest."""
-    rooted = buckets.join(roots, buckets.doc_id == roots.node, "left").select(*buckets.columns, F.coalesce("root", "doc_id").alias("component"))
+    rooted = buckets.join(roots, buckets.id == roots.node, "left").select(*buckets.columns, F.coalesce("root", "id").alias("component"))
     sizes = rooted.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("band", "value").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("held")).where("held > 1")
     return cut(rooted.join(main, ["band", "value"]).select(*rooted.columns, F.col("main.component").alias("main"), F.col("main.size").alias("size")))
@@ -273,21 +274,21 @@ def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def _hubs(opened: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (u > v): each member of a bucket with that of the most links, where their components differ."""
     degrees = edges.select("u").union(edges.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("degree"))
-    most = opened.join(degrees, opened.doc_id == degrees.u).groupBy("band", "value").agg(F.max(F.struct("degree", "doc_id", "component")).alias("hub"))
+    most = opened.join(degrees, opened.id == degrees.u).groupBy("band", "value").agg(F.max(F.struct("degree", "id", "component")).alias("hub"))
     held = opened.join(most, ["band", "value"]).where("component <> hub.component")
-    return held.select(F.greatest("doc_id", "hub.doc_id").alias("u"), F.least("doc_id", "hub.doc_id").alias("v")).distinct()
+    return held.select(F.greatest("id", "hub.id").alias("u"), F.least("id", "hub.id").alias("v")).distinct()
 
 
 def _unlinked(opened: DataFrame, sets: DataFrame, similarity: float, every: bool) -> DataFrame:
     """Pairs (u > v) of a bucket's unlike components, by blocks: the members outside its largest component, in parts,
     meet one another and that component's parts. Pairs within the largest component are never made."""
     few, many = F.ceil((F.col("n") - F.col("size")) / (PARTS * BUCKET)), F.ceil(F.col("size") / (PARTS * BUCKET))
-    turn = lambda of: F.pmod(F.xxhash64("doc_id", "band"), of)
+    turn = lambda of: F.pmod(F.xxhash64("id", "band"), of)
     sided = opened.withColumns({"few": few, "many": many}).withColumn("part", F.when(F.col("component") == F.col("main"), -1 - turn(F.col("many"))).otherwise(turn(F.col("few"))))
     blocks = F.expr("""if(part < 0, transform(sequence(0L, few - 1), i -> struct(i as a, part as b)),
         concat(transform(sequence(1L, many), k -> struct(part as a, -k as b)), transform(sequence(0L, few - 1), j -> struct(least(part, j) as a, greatest(part, j) as b))))""")
-    dealt = sided.join(sets.select("doc_id", "sketch"), "doc_id").select("band", "value", "doc_id", "sketch", "component", "part", F.inline(blocks))
-    members = dealt.groupBy("band", "value", "a", "b").agg(F.collect_list(F.struct("doc_id", "sketch", "component", "part")).alias("members"))
+    dealt = sided.join(sets.select("id", "sketch"), "id").select("band", "value", "id", "sketch", "component", "part", F.inline(blocks))
+    members = dealt.groupBy("band", "value", "a", "b").agg(F.collect_list(F.struct("id", "sketch", "component", "part")).alias("members"))
     return members.select("a", "b", "members").mapInArrow(_across(similarity - 0.15, every), "u long, v long").distinct()
 
 
@@ -306,27 +307,26 @@ def _confirmed(shingle: int, similarity: float):
     return run
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` with a doc_id: rows whose sets of word shingles have a Jaccard
-    similarity of ``similarity`` or more are linked; component_id is the smallest doc_id reachable.
+def _text_id(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
-    Rows of equal sets are one from the start. Candidates are the pairs of fingerprints (of the same shingles) within two
-    bits, by ``links``, and, as a fingerprint of two texts at 0.8 differs in some seven bits, the pairs whose least
-    hashes agree in one of BANDS bands of ROWS: at 0.8 that misses 0.2 %, above far less. Each candidate is verified on
-    the whole texts. Buckets of up to BUCKET members, and parts of fuller ones, begin with a spanning forest by sketches of
-    their least hashes. Of buckets that still hold several components, every member then meets the one with the most
-    links, next each member its likeliest partner in another component, and last all pairs of different components that
-    the sketches allow are verified, so that neither a bucket's size nor a forest's choice takes a pair away. Fingerprints
-    that are equal or connected make buckets as well.
-    Null and wordless texts are alike; fewer words than ``shingle`` are one shingle.
-    """
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    own = cut(per_batch(texts, "doc_id long, key binary, bits long, bands array<long>, sketch binary", lambda b: _sketched(b, shingle)))
-    sets = cut(own.groupBy("key").agg(F.min_by(F.struct("doc_id", "bits", "bands", "sketch"), "doc_id").alias("s")).select("key", "s.*"))
+
+def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(own, sets) of the rows with a doc_id: own (doc_id, text_id, key), one for each row, and sets (key, first), one for
+    each distinct set of shingles, with the smallest (doc_id, text_id) of its component.
+
+    A row is told by doc_id and text: rows that share the former alone are rows of their own. What is linked are distinct
+    sets, under numbers that they are given when they are written."""
+    texts = docs.where("doc_id is not null").select("doc_id", "text", _text_id(F.col("text")).alias("text_id"))
+    kind = dict(docs.dtypes)["doc_id"]
+    own = cut(per_batch(texts, f"doc_id {kind}, text_id string, key binary, bits long, bands array<long>, sketch binary", lambda b: _sketched(b, shingle)))
+    each = own.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_id", "bits", "bands", "sketch"), F.struct("doc_id", "text_id")).alias("s"))
+    sets = cut(each.select(F.monotonically_increasing_id().alias("id"), "key", "s.*"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id")
-        whole = cut(texts.join(wanted, "doc_id", "left_semi"))
+        wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
+        names = sets.join(wanted, "id", "left_semi").select("id", "doc_id", "text_id")
+        whole = cut(texts.join(names, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]).select("id", "text"))
         told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
         return cut(told.mapInArrow(_confirmed(shingle, similarity), "u long, v long").distinct())
 
@@ -336,7 +336,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     edges = verified(tried)
     roots, opened = cut(components(edges)), buckets
     for more in (lambda o: _hubs(o, edges), lambda o: _unlinked(o, sets, similarity, False), lambda o: _unlinked(o, sets, similarity, True)):
-        opened = _open(opened.select("band", "value", "doc_id", "n"), roots)
+        opened = _open(opened.select("band", "value", "id", "n"), roots)
         pairs = cut(more(opened).join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
@@ -344,14 +344,36 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         tried, edges = tried.union(pairs), edges.union(found)
         if not found.isEmpty():
             roots = cut(components(edges))
-    named = sets.join(roots, sets.doc_id == roots.node, "left").select("key", F.coalesce("root", "doc_id").alias("component_id"))
-    return own.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    rooted = sets.join(roots, sets.id == roots.node, "left").select("key", F.struct("doc_id", "text_id").alias("own"), F.coalesce("root", "id").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("own").alias("first"))
+    return own.select("doc_id", "text_id", "key"), rooted.join(firsts, "root").select("key", "first")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` with a doc_id of any type: rows whose sets of word shingles have a
+    Jaccard similarity of ``similarity`` or more are linked; component_id is the smallest doc_id reachable.
+
+    Rows of equal sets are one from the start. Candidates are the pairs of fingerprints (of the same shingles) within two
+    bits, by ``links``, and, as a fingerprint of two texts at 0.8 differs in some seven bits, the pairs whose least
+    hashes agree in one of BANDS bands of ROWS. Each candidate is verified on the whole texts. Buckets of up to BUCKET
+    members, and parts of fuller ones, begin with a spanning forest by sketches of their least hashes. Of buckets that
+    still hold several components, every member then meets the one with the most links, next each member its likeliest
+    partner in another component, and last all pairs of different components that the sketches allow (65 % agreement of
+    200 bytes at 0.8, over five standard deviations below what is expected) are verified, so that neither a bucket's size
+    nor a forest's choice takes a pair away. Fingerprints that are equal or connected make buckets as well.
+    Null and wordless texts are alike; fewer words than ``shingle`` are one shingle. Repeated rows are returned each, and
+    rows that share a doc_id but not a text are each judged by their own.
+    """
+    own, sets = _grouped(docs, shingle, similarity)
+    return own.join(sets, "key").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component of ``similar`` the row with its smallest doc_id stays,
-    once. Rows without a doc_id have no name to be dropped by; they stay."""
-    found = similar(docs, shingle, similarity)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    once; of rows that share that doc_id, the one whose text has the least MD5. Of different texts that share a doc_id and
+    are not alike, each stays. Rows without a doc_id have no name to be dropped by; they stay."""
+    _, sets = _grouped(docs, shingle, similarity)
+    kept = sets.select("first.doc_id", F.col("first.text_id").alias(fresh(docs, "text_id"))).distinct()
+    named = docs.where("doc_id is not null").withColumn(fresh(docs, "text_id"), _text_id(F.col("text")))
+    once = named.join(kept, ["doc_id", fresh(docs, "text_id")], "left_semi").dropDuplicates(["doc_id", fresh(docs, "text_id")])
+    return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
