@@ -4,22 +4,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard and queries of a block, about. A task holds one of each.
-SHARD, BLOCK = 2048, 1024
+from .common import cut
 
+#: Components of a shard's rows and queries of a block, about. A task holds one of each: 2^22 components are 32 MB.
+SHARD, BLOCK = 1 << 22, 256
+#: Rows that open a shard, whose scores give each query its first threshold.
+OPENING = 256
+#: What stands for a null id: it sorts last.
+NO_ID = (1 << 63) - 1
 
-def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
-    made = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        made[i, : len(v)] = v
+
+def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of any lengths as the rows of a matrix, padded with zeros."""
+    lists = vectors.combine_chunks()
+    size = lists.value_lengths().to_numpy()
+    made = np.zeros((len(size), width), np.int64)
+    made[np.arange(width) < size[:, None]] = lists.flatten().to_numpy()
     return made
 
 
-def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row id, score) of each query's k best rows, ties to the smaller id, a query's own id left out.
+def search_shard(query_places: np.ndarray, queries: np.ndarray, ids: np.ndarray, places: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, row's id, score) of each query's k best rows, ties to the smaller id, the row at the query's own
+    place left out.
 
     A dimension is a term, and its posting the shard's values in it. Shifted by the term's lower bound, contributions
     are at least zero. The terms with the smallest ranges are non-essential as long as their ranges together stay below
@@ -30,14 +40,14 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
     exact = np.float32 if np.abs(rows).max(initial=1) * float(np.abs(queries).max(initial=1)) * rows.shape[1] < 2**24 else np.int64
     postings, weights = np.ascontiguousarray(rows.T.astype(exact)), queries.astype(exact)
     high, low = postings.max(1), postings.min(1)
-    seeds = min(len(rows), max(4 * k, 256))
+    seeds = min(len(rows), max(4 * k, OPENING))
     opening = weights @ postings[:, :seeds]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, q in enumerate(weights):
         upper, lower = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
         ranges = upper - lower
         order = np.argsort(-ranges, kind="stable")
-        first = opening[i][ids[:seeds] != query_ids[i]]
+        first = opening[i][places[:seeds] != query_places[i]]
         threshold = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None
         if threshold is None:
             found, scores = np.arange(len(rows)), q @ postings
@@ -57,45 +67,55 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
                 at += len(part)
                 held = scores + left[min(at, len(order))] >= threshold
                 found, scores = found[held], scores[held]
-        other = ids[found] != query_ids[i]
+        other = places[found] != query_places[i]
         found, scores = found[other], scores[other]
+        if len(found) > 4 * k:  # all that reach the k-th best score, ties included
+            held = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            found, scores = found[held], scores[held]
         best = np.lexsort((ids[found], -scores))[:k]
-        out.append((np.full(len(best), query_ids[i]), ids[found][best], scores[best].astype(np.int64)))
+        out.append((np.full(len(best), query_places[i]), ids[found][best], scores[best].astype(np.int64)))
     join = lambda n: np.concatenate([x[n] for x in out]) if out else np.zeros(0, np.int64)
     return join(0), join(1), join(2)
 
 
 def quantised(table: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v): each component as floor(scale * x), x as double. Rows whose id or vector is null, or whose vector holds a
-    null or a non-finite component, are left out. Of rows that share an id, the one with the least vector takes part."""
+    """(place, id, v): each component as floor(scale * x), x as double, and the row's number in the shared folder. Rows
+    whose vector is null or holds a null or a non-finite component are left out; a null id becomes NO_ID."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     sound = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = table.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & sound)
-    return rows.groupBy("id").agg(F.min(F.transform("x", lambda c: F.floor(c * scale))).alias("v"))
+    rows = table.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("x").isNotNull() & sound)
+    return cut(rows.select(F.monotonically_increasing_id().alias("place"), F.coalesce("id", F.lit(NO_ID)).alias("id"), F.transform("x", lambda c: F.floor(c * scale)).alias("v")))
 
 
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by ``every``, the k rows with the highest inner products,
-    ties to the smaller id; all rows where there are fewer. Shorter vectors count as padded with zeros.
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k other rows with the highest
+    inner products, ties to the smaller id, null last; all rows where there are fewer. Shorter vectors count as padded
+    with zeros. Rows that share an id are candidates each, and queries each, of which no row is its own candidate. A
+    score beyond a long is undefined.
 
-    Rows are dealt to shards and queries to blocks by a hash of their ids; each pair of a shard and a block is a task's
-    work, and each query's k best of every shard are merged."""
+    Rows are dealt to shards and queries to blocks by a hash of their places; each pair of a shard and a block is a task's
+    work. A shard holds as many rows as its memory allows, so that the partial results, k for each query and shard, are
+    few beside the products that the search is made of; each query's best of all shards are merged."""
     rows = quantised(table, key, vector, scale)
-    n = table.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n // (BLOCK * every)))
-    place = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of)).cast("int")
+    size = rows.agg(F.sum(F.greatest(F.size("v"), F.lit(1))), F.count(F.when(F.col("id") % every == 0, 1))).first()
+    shards, blocks = max(1, -(-(size[0] or 0) // SHARD)), max(1, -(-(size[1] or 0) // BLOCK))
+    place = lambda of, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("place")), F.lit(of)).cast("int")
     spread = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    dealt = rows.select("id", "v", place(shards, 1).alias("shard"), spread(blocks).alias("block"))
-    asked = rows.where(F.col("id") % every == 0).select("id", "v", spread(shards).alias("shard"), place(blocks, 2).alias("block"))
+    # New names on this side: both come from one table, and a cogroup would take equal columns for the same.
+    dealt = rows.select(F.col("place").alias("c_place"), F.col("id").alias("c_id"), F.col("v").alias("c_v"), place(shards, 1).alias("shard"), spread(blocks).alias("block"))
+    asked = rows.where((F.col("id") % every == 0) & (F.col("id") != NO_ID)).select("place", "id", "v", spread(shards).alias("shard"), place(blocks, 2).alias("block"))
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found = (np.zeros(0, np.int64),) * 3
-        if len(queries) and len(candidates):
-            q, c = queries["v"].to_pylist(), candidates["v"].to_pylist()
-            width = max(1, max(map(len, q)), max(map(len, c)))
-            found = search_shard(queries["id"].to_numpy(), _matrix(q, width), candidates["id"].to_numpy(), _matrix(c, width), k)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
-
-    parts = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found, named = (np.zeros(0, np.int64),) * 3, np.zeros(0, np.int64)
+        if queries.num_rows and candidates.num_rows:
+            width = max(1, *(pa.compute.max(pa.compute.list_value_length(v)).as_py() for v in (queries["v"], candidates["c_v"])))
+            own = queries["place"].to_numpy()
+            found = search_shard(own, _matrix(queries["v"], width), candidates["c_id"].to_numpy(), candidates["c_place"].to_numpy(), _matrix(candidates["c_v"], width), k)
+            order = np.argsort(own)
+            named = queries["id"].to_numpy()[order[np.searchsorted(own[order], found[0])]]
+        return pa.table({"place": pa.array(found[0], pa.int64()), "query_id": pa.array(named, pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
+
+    parts = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(search, "place long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
+    best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
