@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lanes that decide equality, sums modulo 2^32; lanes that show likeness, sums modulo 2^16.
-EXACT, LIKE = 8, 64
+#: Lanes that decide equality and lanes that show likeness, all sums modulo 2^32.
+EXACT, LIKE, BITS = 8, 64, 32
 #: What ends a piece of a paragraph. Each piece adds +1 or -1 to every likeness lane.
 PIECE = r"[.!?,;:|\n]+"
 #: Range buckets for each shuffle partition.
 BUCKETS = 4
+LOW = (1 << BITS) - 1
 
 
 def _adds(of: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
@@ -20,36 +21,36 @@ def _adds(of: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
 
 
 def lanes(text: Column) -> tuple[Column, Column]:
-    """(exact, pieces): the exact lanes as an array of longs, and the hashes of the pieces."""
+    """(exact, pieces): the exact lanes as an array of longs, and the hashes of the pieces. Lane i takes the low half of a
+    paragraph's hash under a seed of its own, the hash of i: paragraphs that collide in one lane don't in the others."""
     paragraphs = F.split(text, "\n")
-    low = F.lit(0xFFFFFFFF)
-    exact = [F.aggregate(paragraphs, F.lit(0).cast("long"), _adds(lambda p, i=i: F.xxhash64(p, F.lit(i)).bitwiseAND(low)), lambda a: a.bitwiseAND(low)) for i in range(EXACT)]
-    pieces = F.transform(F.filter(F.transform(F.split(text, PIECE), F.trim), lambda p: p != ""), lambda p: F.xxhash64(p))
+    low = F.lit(LOW)
+    exact = [F.aggregate(paragraphs, F.lit(0).cast("long"), _adds(lambda p, i=i: F.xxhash64(F.lit(i), p).bitwiseAND(low)), lambda a: a.bitwiseAND(low)) for i in range(EXACT)]
+    pieces = F.transform(F.filter(F.transform(F.split(text, PIECE), lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p))
     return F.array(*exact), pieces
 
 
 def likeness_lanes(pieces: Column) -> Column:
-    """For each of 64 bits, how many pieces have it set less how many have not, modulo 2^16. Two bits are counted at a
-    time, 32 apart in a long: up to 2^31 pieces, no sum can run into its neighbour."""
+    """For each of 64 bits, how many pieces have it set less how many have not, modulo 2^32, which no text's number of
+    pieces reaches. Two bits are counted at a time, 32 apart in a long: no sum can run into its neighbour."""
     two = F.lit((1 << 32) | 1)
     packed = [F.aggregate(pieces, F.lit(0).cast("long"), _adds(lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(two))) for j in range(LIKE // 2)]
     count = F.size(pieces).cast("long")
-    signed = lambda n: (n * 2 - count).bitwiseAND(F.lit(0xFFFF))
+    signed = lambda n: (n * 2 - count).bitwiseAND(F.lit(LOW))
     sums = F.array(*packed)
-    return F.concat(F.transform(sums, lambda s: signed(s.bitwiseAND(F.lit(0xFFFFFFFF)))), F.transform(sums, lambda s: signed(F.shiftrightunsigned(s, 32))))
+    return F.concat(F.transform(sums, lambda s: signed(s.bitwiseAND(F.lit(LOW)))), F.transform(sums, lambda s: signed(F.shiftrightunsigned(s, 32))))
 
 
 def to_hex(exact: Column, like: Column) -> Column:
-    hexed = lambda x, n: F.array_join(F.transform(x, lambda v: F.lpad(F.lower(F.hex(v)), n, "0")), "")
-    return F.concat(hexed(exact, 8), hexed(like, 4))
+    return F.array_join(F.transform(F.concat(exact, like), lambda v: F.lpad(F.lower(F.hex(v)), BITS // 4, "0")), "")
 
 
-def insert(a: Column, b: Column, bits: int) -> Column:
+def insert(a: Column, b: Column, bits: int = BITS) -> Column:
     """The lanes of two multisets together: what appending paragraphs does to a fingerprint."""
     return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit((1 << bits) - 1)))
 
 
-def delete(a: Column, b: Column, bits: int) -> Column:
+def delete(a: Column, b: Column, bits: int = BITS) -> Column:
     """The lanes of a without the paragraphs of b."""
     return F.zip_with(a, b, lambda x, y: (x - y).bitwiseAND(F.lit((1 << bits) - 1)))
 
@@ -57,9 +58,9 @@ def delete(a: Column, b: Column, bits: int) -> Column:
 def likeness(exact_a: Column, like_a: Column, exact_b: Column, like_b: Column) -> Column:
     """0 to 1, from two fingerprints alone: 1 if they are equal, else one less the squared distance of their likeness
     lanes over the sum of their squared lengths. That estimates the share of pieces that two texts have in common."""
-    signed = lambda x: F.when(x >= 0x8000, x - 0x10000).otherwise(x)
-    square = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + signed(x) * signed(x))
-    apart, whole = square(delete(like_a, like_b, 16)), square(like_a) + square(like_b)
+    signed = lambda x: F.when(x >= 1 << (BITS - 1), x - (1 << BITS)).otherwise(x).cast("double")
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + signed(x) * signed(x))
+    apart, whole = square(delete(like_a, like_b)), square(like_a) + square(like_b)
     near = F.when(whole > 0, F.greatest(F.lit(0.0), 1 - apart / whole)).otherwise(0.0)
     return F.when((exact_a == exact_b) & (like_a == like_b), 1.0).otherwise(F.least(near, F.lit(1.0)))
 
@@ -93,12 +94,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of paragraphs, and ``insert`` and ``delete`` update it. The edited text has its last floor(n_chars / 4) code points
     replaced by the first as many, or all, of the next document in order of doc_id, the first after the last.
 
-    Null texts count as empty ones. Rows without doc_id come after all others; rows with the same doc_id follow each
+    Null texts count as empty ones. Rows without doc_id, or with one that is no number, come after all others; rows with the same doc_id follow each
     other in order of their texts. A single row is its own next. Other columns are ignored.
     """
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("order_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.expr("try_cast(doc_id AS long)"), F.lit(2**63 - 1)).alias("order_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _bucketed(rows, buckets)
     following = Window.partitionBy("bucket").orderBy("wrap", "order_id", "ghost", "text")
     exact, pieces = lanes(F.col("text"))
