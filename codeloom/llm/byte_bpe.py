@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import per_batch
+from .common import KEPT, LONGEST, per_batch
 from .pretokens import chunks, pieces
 
-#: Entries of each of a worker's caches; cells of a matrix; pieces longer than this are encoded one at a time.
-KEPT, CELLS, LONG = 1 << 18, 1 << 19, 256
+#: Cells of a matrix; pieces of more bytes than LONG are encoded one at a time, by a heap of their pairs.
+CELLS, LONG = 1 << 19, 256
 NONE = np.int64(1 << 40)
 
 
@@ -31,8 +33,6 @@ class Ranks:
                     left.append(a)
                     right.append(b)
                     made.append(r)
-        #: Whether a merge can only lead to pairs of higher rank, so that all pairs of the least rank may merge at once.
-        self.rising = all(m > max(a, b) or (a < 256 and b < 256) for a, b, m in zip(left, right, made, strict=True))
         self._hash(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int64))
 
     def _hash(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
@@ -122,21 +122,31 @@ class Ranks:
             rank[:, -1] = NONE
 
     def _long(self, part: bytes) -> np.ndarray:
-        """One long piece: all pairs of the least rank merge at once, from the left, where that gives the same ids."""
+        """One long piece. A heap gives the leftmost pair of least rank; its two parts are linked to their neighbours, so
+        that a merge touches the two pairs beside it alone, and the whole costs n log n steps."""
         ids = self.byte[np.frombuffer(part, np.uint8)]
         rank = self.pair(ids[:-1], ids[1:])
-        while len(rank) and (best := rank.min()) != NONE:
-            at = np.flatnonzero(rank == best)
-            if self.rising:
-                starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-                runs = np.repeat(starts, np.diff(np.append(starts, len(at))))
-                at = at[(np.arange(len(at)) - runs) % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = best
-            ids = np.delete(ids, at + 1)
-            rank = self.pair(ids[:-1], ids[1:])
-        return ids.astype(np.uint32)
+        at = np.flatnonzero(rank != NONE)
+        shift = len(part).bit_length()
+        heap = ((rank[at] << shift) | at).tolist()
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        end, mask, token, known = len(part), (1 << shift) - 1, self.token, self.rank.get
+        while heap:
+            entry = heapq.heappop(heap)
+            i, made = entry & mask, entry >> shift
+            j = after[i]
+            if ids[i] < 0 or j == end or known(token[ids[i]] + token[ids[j]]) != made:
+                continue  # a merge beside it has changed the pair
+            ids[i], ids[j] = made, -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (r := known(token[made] + token[ids[k]])) is not None:
+                    heapq.heappush(heap, (r << shift) | i)
+            if (h := before[i]) >= 0 and (r := known(token[ids[h]] + token[made])) is not None:
+                heapq.heappush(heap, (r << shift) | h)
+        return np.array([x for x in ids if x >= 0], np.uint32)
 
 
 class Codec:
@@ -148,43 +158,47 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. What texts hold between blanks is split into
-        pieces once and kept; pieces that are new to the worker are encoded together."""
-        if len(self.parts) > KEPT:
-            self.parts.clear()
-        if len(self.known) > KEPT:
-            self.known.clear()
+        pieces once; pieces that are new to the worker are encoded together. Those of up to LONGEST characters are kept."""
+        for cache in (self.parts, self.known):
+            if len(cache) > KEPT:
+                cache.clear()
         plans, new, missing = [], {}, {}
         for text in texts:
             parted = chunks(text) if text else ("", [])
-            if parted is None:
-                plans.append((pieces(text), []))
-                missing.update(dict.fromkeys(p for p in plans[-1][0] if p not in self.known))
-                continue
-            first, rest = parted
-            plans.append((pieces(first), rest))
-            missing.update(dict.fromkeys(p for p in plans[-1][0] if p not in self.known))
+            first, rest = (text, ()) if parted is None else parted
+            found = pieces(first)
+            plans.append((found, rest))
+            missing.update(dict.fromkeys(p for p in found if p not in self.known))
             for c in rest:
                 if c not in self.parts and c not in new:
                     new[c] = found = pieces(" " + c)
                     missing.update(dict.fromkeys(p for p in found if p not in self.known))
         order = list(missing)
-        self.known.update(zip(order, (x.astype("<u4").tobytes() for x in self.ranks.encode([p.encode() for p in order])), strict=True))
-        get = self.known.__getitem__
-        self.parts.update((c, b"".join(map(get, found))) for c, found in new.items())
-        of = self.parts.__getitem__
-        return [b"".join(map(get, first)) + b"".join(map(of, rest)) for first, rest in plans]
+        made = dict(zip(order, (x.astype("<u4").tobytes() for x in self.ranks.encode([p.encode() for p in order])), strict=True))
+        known = self.known.get
+        ids_of = lambda p: known(p) or made[p]
+        joined = {c: b"".join(map(ids_of, found)) for c, found in new.items()}
+        part = self.parts.get
+        out = [b"".join(map(ids_of, first)) + b"".join([part(c) or joined[c] for c in rest]) for first, rest in plans]
+        self.known.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
+        self.parts.update((c, x) for c, x in joined.items() if len(c) <= LONGEST)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``: the whole text is encoded by the ranks
     of the file ``path``, which the driver reads and broadcasts, without special tokens, and its ids are decoded again.
-    Null and empty texts have no ids, and the hashes are those of no bytes; repeated rows are encoded each."""
+    ``ids``: the columns of ``docs`` but text, n_tokens and the ids, an array of integers, each, in front of the hashes;
+    columns of ``docs`` with these names give way. Null and empty texts have no ids, and the hashes are those of no bytes;
+    repeated rows are encoded each."""
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     ready: list[Codec] = []
+    made = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"} if ids else {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    kept = [c for c in docs.columns if c.lower() not in (*made, "text")] if ids else ["doc_id"]
 
     def run(b: dict):
         if not ready:
@@ -193,11 +207,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for end in range(1, len(texts) + 1):
             size += len(texts[end - 1] or "")
             if size > 1 << 22 or end == len(texts):
-                ids = codec.encode_all(texts[at:end])
-                yield {
-                    "doc_id": b["doc_id"][at:end], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids],
+                found = codec.encode_all(texts[at:end])
+                out = {c: b[c][at:end] for c in kept} | {
+                    "n_tokens": [len(x) // 4 for x in found], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in found], "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in found],
                 }
+                if ids:
+                    ends = np.cumsum([0, *out["n_tokens"]]).astype(np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(found), "<u4").astype(np.int32))
+                yield out
                 at, size = end, 0
 
-    return per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    kinds = dict(docs.dtypes)
+    return per_batch(docs.select(*kept, "text"), ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} {k}" for c, k in made.items())]), run)

@@ -11,14 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import KEPT, LONGEST, per_batch
 from .pretokens import chunks, pieces
 
 #: Pre-tokens in the broadcast table at most, and the documents of the sample that they are taken from, about. Both
 #: only bear on speed.
 FREQUENT, SAMPLED = 1 << 16, 2000
-#: Entries of each of a worker's caches.
-KEPT = 1 << 18
 
 
 class Lengths:
@@ -36,9 +34,11 @@ class Lengths:
     def piece(self, p: str) -> int:
         n = self.table.get(p) or self.missed.get(p)
         if n is None:
-            if len(self.missed) > KEPT:
-                self.missed.clear()
-            n = self.missed[p] = len(self.library.encode(p, add_special_tokens=False).ids)
+            n = len(self.library.encode(p, add_special_tokens=False).ids)
+            if len(p) <= LONGEST:
+                if len(self.missed) > KEPT:
+                    self.missed.clear()
+                self.missed[p] = n
         return n
 
     def plain(self, text: str) -> int:
@@ -55,7 +55,9 @@ class Lengths:
         if None in found:
             for i, n in enumerate(found):
                 if n is None:
-                    found[i] = self.parts[rest[i]] = sum(map(self.piece, pieces(" " + rest[i])))
+                    found[i] = sum(map(self.piece, pieces(" " + rest[i])))
+                    if len(rest[i]) <= LONGEST:
+                        self.parts[rest[i]] = found[i]
         return total + sum(found)
 
     def text(self, text: str | None) -> int:
