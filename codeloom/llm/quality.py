@@ -10,14 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, labelled_ids, per_batch, slices
+from .common import KEPT, LONGEST, LOWER, cut, labelled_ids, per_batch, slices, within
 
 #: Features: one for each residue of a hash.
 SPACE = 1 << 18
 #: Labelled documents that training reads at most, in order of a hash of their ids.
 LABELLED = 4_000
-#: Words that a worker remembers the hashes of.
-KEPT = 1 << 18
+#: Bytes of their features that reach the driver at most.
+BYTES = 1 << 28
 REPEATED, CAPITALS = 0, 1
 _stems: dict[bytes, int] = {}
 
@@ -41,7 +41,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if None in got:
         for i, x in enumerate(got):
             if x is None:
-                got[i] = _stems[w[i]] = _hashes(w[i])
+                got[i] = _hashes(w[i])
+                if len(w[i]) <= LONGEST:
+                    _stems[w[i]] = got[i]
     both = np.array(got, np.uint64)
     stem, marks = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     pairs = stem[:-1] * np.uint64(0x9E3779B1) + stem[1:] * np.uint64(0x85EBCA77)
@@ -90,7 +92,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 4, alpha
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5, held: int = 0, bound: int = LABELLED) -> Weights:
     """Learns from at most ``bound`` labelled rows outside the held-out fold (crc32(doc_id as text) mod ``of`` is
-    ``held``). Their features are made on the executors and brought to the driver, SPACE of them a text at most."""
+    ``held``), as many as BYTES of their features hold. A row is a label and a text: where documents share a doc_id, each
+    learns its label. Null and wordless texts have no features and bear on the bias alone."""
     ids = labelled_ids(labels, label, of, held, bound)
 
     def made(b: dict) -> dict:
@@ -98,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5,
         return {"doc_id": b["doc_id"], "label": b["label"], "at": [at.tobytes() for at, _ in found], "x": [x.tobytes() for _, x in found]}
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by ``bound``
-    rows = per_batch(chosen, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, at binary, x binary", made).toArrow()
+    rows = cut(per_batch(chosen, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, at binary, x binary", made))
+    rows = within(rows, F.octet_length("at") + F.octet_length("x"), BYTES).toArrow()
     keys = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), strict=True))
     order = sorted(range(len(keys)), key=keys.__getitem__)
     at, x = (rows[c].combine_chunks() for c in ("at", "x"))
@@ -112,7 +116,8 @@ def score_texts(texts: list[str | None], dense: np.ndarray, bias: float) -> np.n
 
 def score(docs: DataFrame, weights: Weights, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``: score is the probability of label 1 given the whole text.
-    Null, empty and wordless texts have no features and get the prior that the bias holds."""
+    Null, empty and wordless texts have no features and get the prior that the bias holds; repeated rows are scored each,
+    other columns are ignored, and of a long text every word counts."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     dense: list = []
 
@@ -126,7 +131,8 @@ def score(docs: DataFrame, weights: Weights, threshold: float = 0.3) -> DataFram
 
 
 def keep(docs: DataFrame, weights: Weights, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns, in one pass over the texts."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns, whatever their names, in one pass
+    over the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     dense: list = []
 

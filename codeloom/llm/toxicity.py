@@ -10,16 +10,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, labelled_ids, per_batch, slices, words
+from .common import KEPT, LONGEST, cut, labelled_ids, per_batch, slices, within, words
 
-#: Hashed terms, and how many of them the machine keeps: those whose presence tells most about the label.
+#: Hashed terms, and how many of those whose presence tells about the label the machine keeps at most.
 SPACE, TERMS = 1 << 24, 1536
 #: The least log likelihood ratio of a term that is kept; by chance one term in some thousands reaches it.
 LEAST_GAIN = 5.0
-#: Labelled documents that training reads at most, in order of a hash of their ids.
-LABELLED = 12_000
-#: Words that a worker remembers the terms of.
-KEPT = 1 << 18
+#: Frequent terms that are tried in pairs, with each other and with those that tell alone, and the least log likelihood
+#: ratio of a pair over what its two terms tell; by chance no pair of millions reaches it.
+PAIRED, LEAST_PAIR = 2048, 20.0
+#: Labelled documents that training reads at most, in order of a hash of their ids, and terms of theirs.
+LABELLED, ENTRIES = 12_000, 1 << 24
 #: A word stands for itself and, where it is longer, for its first letters.
 PREFIXES = (3, 4, 5, 7)
 
@@ -79,10 +80,38 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], term: np.ndarray, dim:
     return Machine(term, w, v, b)
 
 
+def telling_pairs(held: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which columns of ``held`` (documents x terms, presence) stand in a pair that tells about the label what its two
+    terms don't tell alone: documents with both have label 1 unlike the sum of both terms' log odds. Pairs are tried a
+    block of rows of the pair matrix at a time, as products of the presence matrix."""
+    n, pos = held.sum(0), label @ held
+    share = lambda p, n, prior: (p + prior) / (n + 1)
+    prior = min(max(float(label.mean()), 1e-3), 1 - 1e-3) if len(label) else 0.5
+    odds = lambda s: np.log(s / (1 - s))
+    own = odds(share(pos, n, prior))
+    out = np.zeros(held.shape[1], bool)
+    for at in range(0, held.shape[1], 256):
+        part = held[:, at : at + 256]
+        both, both_pos = part.T @ held, (part * label[:, None]).T @ held
+        due = 1 / (1 + np.exp(-(own[at : at + 256, None] + own[None, :] - odds(prior)).clip(-6.9, 6.9)))
+        neg = both - both_pos
+        gain = both_pos * np.log(np.maximum(both_pos, 1e-9) / np.maximum(both * due, 1e-9)) + neg * np.log(np.maximum(neg, 1e-9) / np.maximum(both * (1 - due), 1e-9))
+        # Terms that stand in the same documents are one to the label.
+        apart = both < 0.9 * np.minimum(n[at : at + 256, None], n[None, :])
+        found = (gain >= LEAST_PAIR) & apart
+        out[at : at + 256] |= found.any(1)
+        out |= found.any(0)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, held: int = 1, bound: int = LABELLED) -> Machine:
     """Learns from at most ``bound`` labelled rows outside the held-out fold (crc32(doc_id as text) mod ``of`` is
-    ``held``). Terms are ranked by the likelihood ratio of their presence and the label; of those that
-    stand with label 1 more than by chance, the TERMS best are kept."""
+    ``held``), as many as ENTRIES of their terms hold. A row is a label and a text: where documents share a doc_id, each
+    learns its label.
+
+    The machine gets two kinds of terms. Those that stand with label 1 more than by chance, by the likelihood ratio of
+    their presence and the label, the TERMS best. And those that tell in pairs alone (``telling_pairs``), among the former
+    and the PAIRED most frequent others: a mention that is harmless by itself."""
     ids = labelled_ids(labels, label, of, held, bound)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by ``bound``
 
@@ -101,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, h
         return {"doc_id": b["doc_id"], "label": b["label"], "found": out}
 
     rows = cut(per_batch(chosen, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, found array<struct<term: int, n: int>>", made))
+    rows = cut(within(rows, F.size("found").cast("long"), ENTRIES))
     size = rows.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("long"))).first()
     all_n, all_pos = float(size[0]), float(size[1] or 0)
     seen = rows.select("label", F.inline("found")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos")).where("n >= 3")
@@ -108,11 +138,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, h
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     share, rest = max(all_pos / max(all_n, 1), 1e-9), max(1 - all_pos / max(all_n, 1), 1e-9)
     gain = part(pos, n * share) + part(n - pos, n * rest) + part(all_pos - pos, (all_n - n + 1e-9) * share) + part(all_n - n - all_pos + pos, (all_n - n + 1e-9) * rest)
-    best = seen.where(pos > n * share).select("term", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(TERMS)
-    term = np.sort(np.array([r.term for r in best.collect()], np.int32))
-    inside = F.filter("found", lambda f: f["term"].isin([int(t) for t in term])) if len(term) else F.array().cast("array<struct<term: int, n: int>>")
-    got = rows.select("doc_id", "label", inside.alias("found")).orderBy("doc_id", "label").collect()
-    return train([(np.searchsorted(term, [f.term for f in r.found]).astype(int), np.log1p(np.array([f.n for f in r.found], np.float32)), r.label) for r in got], term)
+    seen = cut(seen.withColumn("gain", F.when(pos > n * share, gain).otherwise(0.0)))
+    alone = [r.term for r in seen.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()]
+    others = [r.term for r in seen.where(~F.col("term").isin(alone)).orderBy(F.desc("n"), "term").limit(PAIRED).collect()]
+    tried = np.sort(np.array(alone + others, np.int32))
+    inside = F.filter("found", lambda f: f["term"].isin(tried.tolist())) if len(tried) else F.array().cast("array<struct<term: int, n: int>>")
+    got = rows.select("doc_id", "label", inside.alias("found")).orderBy("doc_id", "label").select("label", F.col("found.term").alias("term"), F.col("found.n").alias("n")).toArrow()
+    label_of = got["label"].to_numpy().astype(np.float32)
+    lists = got["term"].combine_chunks()
+    place = np.searchsorted(tried, lists.flatten().to_numpy())
+    count = got["n"].combine_chunks().flatten().to_numpy()
+    size_of = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, int)
+    presence = np.zeros((len(label_of), len(tried)), np.float32)
+    presence[np.repeat(np.arange(len(label_of)), size_of), place] = 1
+    kept = np.isin(tried, alone) | telling_pairs(presence, label_of)
+    new = np.cumsum(kept) - 1
+    ends, out = np.cumsum(np.append(0, size_of)), []
+    for i, y in enumerate(label_of):
+        at, x = place[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
+        held_in = kept[at]
+        out.append((new[at[held_in]], np.log1p(x[held_in].astype(np.float32)), int(y)))
+    return train(out, tried[kept])
 
 
 class Scorer:
@@ -127,7 +173,9 @@ class Scorer:
         for w in words(text):
             got = get(w)
             if got is None:
-                got = self.seen[w] = tuple(self.place[t] for t in terms(w) if t in self.place)
+                got = tuple(self.place[t] for t in terms(w) if t in self.place)
+                if len(w) <= LONGEST:
+                    self.seen[w] = got
             for t in got:
                 found[t] = found.get(t, 0) + 1
         at = np.fromiter(found, np.int64, len(found))
@@ -143,7 +191,8 @@ def _scorer(shared, ready: list) -> Scorer:
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``: score is the probability that the whole text is toxic.
-    Null, empty and wordless texts have no terms and get what the bias says."""
+    Null, empty and wordless texts have no terms and get what the bias says; repeated rows are scored each, other columns
+    are ignored, and of a long text every word counts."""
     shared, ready = docs.sparkSession.sparkContext.broadcast(machine), []
 
     def run(b: dict) -> dict:
@@ -154,7 +203,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
 
 
 def keep(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score less than ``threshold``, with all their columns, in one pass over the texts."""
+    """The rows of ``docs`` that score less than ``threshold``, with all their columns, whatever their names, in one pass
+    over the texts."""
     shared, ready = docs.sparkSession.sparkContext.broadcast(machine), []
 
     def run(batches):
