@@ -19,7 +19,8 @@ def _held(of: int, at: int):
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES, url_filter.train(*url_filter.sample_labels()))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, RULES, url_filter.train(*url_filter.labelled(pages, RULES)))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,25 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_batch
 
-UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "host_digit_ratio", "host_hyphens", "host_entropy", "path_entropy", "parameters", "has_fragment", "suffix_rate", "longest_label")
+LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Labelled urls that training reads at most, in order of a hash of the url.
+LABELLED = 20_000
+FEATURES = ("length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "host_digit_ratio", "host_hyphens", "host_entropy", "path_entropy", "parameters", "has_fragment", "suffix_rate", "segment_rate", "longest_label")
 
 
-def split_url(url: Column) -> tuple[Column, Column]:
+def split_url(url: str | None) -> tuple[str, str]:
     """(host, path): the host stands after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; the path from
     there up to ``? #`` or the end. Both are empty for a null or for a url without ``://``."""
-    parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    part = lambda k: F.coalesce(F.regexp_extract(url, parts, k), F.lit(""))
-    return F.translate(part(1), UPPER, LOWERED), part(2)
+    _, mark, rest = (url or "").partition("://")
+    if not mark:
+        return "", ""
+    host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
+    return host.translate(LOWERED), path
 
 
 @dataclass(frozen=True)
@@ -37,13 +41,42 @@ class Rule:
         return self.host + self.path
 
 
-def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
-    """(rule text, verdict) of the longest rule that fits, or nulls. A rule fits its host and all subdomains."""
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r.text), r.text)):
-        fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
-        text, verdict = F.when(fits, rule.text).otherwise(text), F.when(fits, rule.verdict).otherwise(verdict)
-    return text, verdict
+class RuleBook:
+    """Rules by their hosts: a url looks up its host and every domain above it, whatever the number of rules."""
+
+    def __init__(self, rules: Sequence[Rule]):
+        self.by_host: dict[str, list[Rule]] = {}
+        for rule in sorted(rules, key=lambda r: (-len(r.text), r.text)):
+            self.by_host.setdefault(rule.host, []).append(rule)
+
+    def match(self, host: str, path: str) -> Rule | None:
+        """The longest rule that fits; of several as long the first by its text."""
+        best, at = None, 0
+        while True:
+            for rule in self.by_host.get(host[at:], ()):
+                if path.startswith(rule.path):
+                    if best is None or (-len(rule.text), rule.text) < (-len(best.text), best.text):
+                        best = rule
+                    break
+            at = host.find(".", at) + 1
+            if not at:
+                return best
+
+
+def labelled(pages: DataFrame, rules: Sequence[Rule], url: str = "url", bound: int = LABELLED, held_out: bool = False) -> tuple[list[str], list[int]]:
+    """Urls of a table that ``rules`` decide, and 1 where they block: labels for the trees, which then judge the urls that
+    no rule fits. At most ``bound`` distinct ones, in order of a hash, outside the fold of a fifth that is held out, or
+    inside it. Null urls teach nothing."""
+    book = RuleBook(rules)
+
+    def decided(b: dict) -> dict:
+        found = [(u, r.verdict) for u in b["url"] if (r := book.match(*split_url(u)))]
+        return {"url": [u for u, _ in found], "blocked": [int(v == "block") for _, v in found]}
+
+    fold = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0
+    urls = pages.select(F.col(url).alias("url")).where(F.col("url").isNotNull() & (fold if held_out else ~fold))
+    rows = per_batch(urls, "url string, blocked int", decided).distinct().orderBy(F.xxhash64("url"), "url").limit(bound).toArrow()
+    return rows["url"].to_pylist(), rows["blocked"].to_pylist()
 
 
 def _entropy(s: str) -> float:
@@ -55,14 +88,17 @@ def _digits(s: str) -> float:
 
 
 def lexical(url: str | None, suffix_rates: dict[str, float]) -> list[float]:
-    """The features of one url, in the order of FEATURES. A suffix that was never labelled has the rate under ''."""
+    """The features of one url, in the order of FEATURES. ``suffix_rates`` holds the share of blocked urls by the host's
+    suffix and, after a slash, by the path's first segment; what was never labelled has the rate under ''."""
     url = url or ""
     host, path, rest = re.match(r"(?s)(?:.*?://)?([^/?#]*)([^?#]*)(.*)", url).groups()
     host = host.lower()
     labels = host.split(".")
+    segments = [p for p in path.split("/") if p]
     return [
-        len(url), len(host), len(path), len(labels), sum(1 for p in path.split("/") if p), _digits(url), _digits(host), host.count("-"), _entropy(host), _entropy(path),
-        len([p for p in rest.partition("#")[0].lstrip("?").split("&") if p]), float("#" in rest), suffix_rates.get(labels[-1], suffix_rates[""]), max(map(len, labels)),
+        len(url), len(host), len(path), len(labels), len(segments), _digits(url), _digits(host), host.count("-"), _entropy(host), _entropy(path),
+        len([p for p in rest.partition("#")[0].lstrip("?").split("&") if p]), float("#" in rest), suffix_rates.get(labels[-1], suffix_rates[""]), suffix_rates.get("/" + "".join(segments[:1]), suffix_rates[""]),
+        max(map(len, labels)),
     ]
 
 
@@ -92,8 +128,10 @@ def train(urls: Sequence[str], blocked: Sequence[int], trees: int = 40, depth: i
     y = np.asarray(blocked, float)
     prior = (y.sum() + 0.5) / (len(y) + 1)
     seen: dict[str, list[float]] = {}
-    for url, label in zip(urls, y, strict=True):
-        seen.setdefault((re.match(r"(?s)(?:.*?://)?([^/?#]*)", url)[1].lower().split("."))[-1], []).append(label)
+    for url, label in zip((u or "" for u in urls), y, strict=True):
+        host, segment = re.match(r"(?s)(?:.*?://)?([^/?#]*)/*([^/?#]*)", url).groups()
+        for key in (host.lower().split(".")[-1], "/" + segment):
+            seen.setdefault(key, []).append(label)
     rates = {k: (sum(v) + smoothing * prior) / (len(v) + smoothing) for k, v in seen.items()} | {"": prior}
     x = np.array([lexical(u, rates) for u in urls], float).reshape(len(y), len(FEATURES))
     start, inner = math.log(prior / (1 - prior)), 2**depth - 1
@@ -149,13 +187,17 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], model: Trees, threshold
 
     The longest fitting rule decides; without one, ``block`` if the trees give ``threshold`` or more. A null or empty
     url has an empty host and path, fits no rule, and is judged by the trees as an empty url. Repeated rows are judged
-    each; other columns are ignored; an empty table gives an empty one.
+    each; other columns, also of these names, are ignored; an empty table gives an empty one.
     """
-    scored = per_batch(
-        pages.select(F.col(key).alias("key"), F.col(url).alias("url")), f"key {dict(pages.dtypes)[key]}, url string, score double",
-        lambda b: b | {"score": model.score(np.array([lexical(u, model.suffix_rates) for u in b["url"]], float).reshape(-1, len(FEATURES)))},
-    )
-    host, path = split_url(F.col("url"))
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return scored.withColumns({"host": host, "path": path}).select(F.col("key").alias(key), "host", "path", rule.alias("rule"), judged.alias("verdict"), "score")
+    shared = pages.sparkSession.sparkContext.broadcast((RuleBook(rules), model))
+
+    def judge(b: dict) -> dict:
+        book, trees = shared.value
+        parts = [split_url(u) for u in b["url"]]
+        found = [book.match(*p) for p in parts]
+        score = trees.score(np.array([lexical(u, trees.suffix_rates) for u in b["url"]], float).reshape(-1, len(FEATURES)))
+        verdict = [r.verdict if r else "block" if s >= threshold else "allow" for r, s in zip(found, score, strict=True)]
+        return {key: b["key"], "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [r and r.text for r in found], "verdict": verdict, "score": score}
+
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
+    return per_batch(rows, f"`{key}` {dict(pages.dtypes)[key]}, host string, path string, rule string, verdict string, score double", judge)
