@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -194,6 +195,28 @@ def test_keep_one(spark):
     assert kept.where("doc_id is null").count() == 1 and simhash.keep_one(empty(spark)).isEmpty()
 
 
+def test_keep_one_and_similar_judge_rows_that_share_an_id_by_their_texts(spark):
+    words_of = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [("b", words_of(1), "p"), ("b", words_of(2), "q"), ("c", words_of(1), "r"), ("a", words_of(2) + " end", "s"), ("d", words_of(3), "t"), ("d", words_of(3), "u")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, text_id string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).orderBy("doc_id", "text").collect()]
+    assert kept == [("a", words_of(2) + " end"), ("b", words_of(1)), ("d", words_of(3))]
+    assert sorted(map(tuple, simhash.similar(docs).collect())) == [("a", "a"), ("b", "a"), ("b", "b"), ("c", "b"), ("d", "d"), ("d", "d")]
+
+
+def test_similar_of_random_pairs_around_the_threshold(spark):
+    rng, rows = np.random.default_rng(16), []
+    for _ in range(200):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        w = list(base)
+        for at in rng.choice(140, int(rng.integers(1, 7)), replace=False):
+            w[int(at)] = f"x{rng.integers(0, 10**9)}"
+        rows += [" ".join(base), " ".join(w)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute_similar(dict(enumerate(rows)))
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want and 220 < len(set(want.values())) < 390
+
+
 def test_language_model(spark):
     docs = documents(spark)
     counts, lexicon, model = language_model.fit(docs.where("doc_id <> 3 or doc_id is null"), steps=60)
@@ -271,7 +294,7 @@ def test_multiset_hash(spark):
     for k, r in enumerate(order):
         t, n = r.text or "", order[(k + 1) % len(order)].text or ""
         cut = len(t) // 4
-        lanes = [sum(xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(p.encode(), 42)) & 0xFFFFFFFF for p in t.split("\n")) & 0xFFFFFFFF for i in range(8)]
+        lanes = [sum(xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42)) & 0xFFFFFFFF for p in t.split("\n")) & 0xFFFFFFFF for i in range(8)]
         want[(r.doc_id, len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest(), "".join(f"{x:08x}" for x in lanes))] += 1
     assert got == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
@@ -281,6 +304,28 @@ def test_multiset_hash(spark):
     assert a.fingerprint == b.fingerprint and a.near_next == 1.0
 
 
+def test_multiset_hash_likeness_is_that_of_its_lanes(spark):
+    texts = ["a b. c d. e f", "a b. c d. x y", "same. " * 70_000, "same. " * 60_000, "", "one, two, three\nfour", "four\nthree, two, one"]
+    rows = {r.doc_id: r for r in multiset_hash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def lanes(t):
+        made = np.zeros(64)
+        for piece in (p.strip(" ") for p in re.split(multiset_hash.PIECE, t)):
+            if piece:
+                made += [1 if xxhash.xxh64_intdigest(piece.encode(), 42) >> b & 1 else -1 for b in range(64)]
+        return made
+
+    order = [b for half in (0, 32) for b in range(half, half + 32)]
+    for k, t in enumerate(texts):
+        found = [int(rows[k].fingerprint[64 + 8 * i : 72 + 8 * i], 16) for i in range(64)]
+        assert [x - 2**32 if x >= 2**31 else x for x in found] == lanes(t)[order].tolist()
+        a, b = lanes(t), lanes(texts[(k + 1) % len(texts)])
+        whole = (a @ a) + (b @ b)
+        want = max(0.0, 1 - ((a - b) @ (a - b)) / whole) if whole else 0.0
+        assert rows[k].near_next == pytest.approx(want)
+    assert rows[2].near_next > 0.98 and rows[5].near_next == pytest.approx(1)
+
+
 def test_multiset_hash_inserts_and_deletes(spark):
     from pyspark.sql import functions as F
 
@@ -324,6 +369,24 @@ def test_byte_bpe_against_the_library_on_random_texts():
         assert codec.decode(ids) == text.encode()
 
 
+def test_byte_bpe_of_long_pieces_is_that_of_the_library():
+    enc, rng = library(), np.random.default_rng(9)
+    codec = byte_bpe.Codec(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
+    texts = ["".join(rng.choice(["ing", "the", "tion", "a", "b", "er", "qu", "zz", "é", "ab"], n)) for n in (200, 3_000, 40_000)] + ["a" * 257, "=" * 20_000, "\n" * 9_001, "x" * 300_000]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text)
+    assert max(map(len, [*codec.known, *codec.parts]), default=0) <= 64
+
+
+def test_byte_bpe_gives_the_ids_themselves(spark):
+    enc = library()
+    docs = documents(spark).withColumnRenamed("score", "ids")
+    rows = byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), ids=True)
+    assert rows.columns == ["doc_id", "lang", "source", "n_chars", "fingerprint", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    by = {r.doc_id: r for r in rows.collect()}
+    assert all(by[k].ids == enc.encode_ordinary(t or "") and by[k].fingerprint == "clash" for k, t in enumerate(TEXTS) if k != 3)
+
+
 def test_pieces_by_chunks_are_those_of_the_text():
     rng = np.random.default_rng(5)
     for _ in range(500):
@@ -347,6 +410,14 @@ def test_top_k(spark):
     assert top_k.top_k(few).count() == 2 and top_k.top_k(few.limit(0)).isEmpty()
 
 
+def test_top_k_takes_every_row_of_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (1, [0.25, 1.0]), (None, [0.75, 0.0]), (20, [0.1, 0.1]), (20, [0.1, 0.1])]
+    found = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    first = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == 0)
+    assert first == [(1, None, 64 * 48), (2, 1, 64 * 32), (3, 1, 64 * 16), (4, 20, 64 * 6), (5, 20, 64 * 6)]
+    assert sorted(r.rank for r in found if r.query_id == 20) == sorted([*range(1, 6)] * 2)
+
+
 def test_mixing(spark):
     assert mixing.targets({"a": 10, "b": 10, None: 10}) == {"a": 5.0, "b": 10.0, None: 15.0}
     assert mixing.targets({"a": 100, "b": 1, "c": 1}) == {"a": 96.0, "b": 3.0, "c": 3.0}
@@ -364,6 +435,123 @@ def test_mixing(spark):
     assert mixing.resample(documents(spark)).columns == documents(spark).columns
 
 
+def test_mixing_plan_is_that_of_fractions(spark):
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 5), (7, 50), (300, 10**6), (40, 2)):
+        sizes = {f"s{k:03}é": int(rng.integers(0, top)) for k in range(n)} | {None: 7, "": 0}
+        rows = spark.createDataFrame([(s, 1, w) for s, w in sizes.items()], "source string, n long, words long")
+        assert {r.source: r.target for r in mixing.plan(rows).collect()} == mixing.targets(sizes)
+
+
+def test_mixing_takes_rows_not_ids(spark):
+    rows = [(1, "a b", "s", "x"), (1, "other text here", "s", "y")] + [(None, f"n{k} m", "t", "z") for k in range(600)] + [(7, "same row", "u", "z")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    taken = Counter(r.text for r in mixing.resample(docs.withColumnRenamed("copies", "_copies"), most=3).collect())
+    made = mixing.mix(docs).collect()
+    assert len(made) == len(rows) and max(taken.values()) <= 3 * 700 and set(taken) <= {r[1] for r in rows}
+    goal = mixing.targets({"s": 5, "t": 1200, "u": 1400})
+    for source, of in (("s", ("a b", "other text here")), ("t", [r[1] for r in rows[2:602]]), ("u", ("same row",))):
+        assert abs(sum(taken[t] * len(t.split()) for t in of) - goal[source]) <= 6
+
+
+def test_mixing_takes_each_document_as_often_as_it_is_due(spark):
+    docs = spark.createDataFrame([(k, "w " * (k % 5 + 1), f"s{k % 2}") for k in range(1200)], "doc_id long, text string, source string")
+    n, seen = 24, Counter()
+    for seed in range(n):
+        for r in mixing.mix(docs, seed=seed).collect():
+            seen[r.doc_id] += r.copies
+    due = {s: t / 1800 for s, t in mixing.targets({0: 1800, 1: 1800}).items()}
+    for s in (0, 1):
+        mean = [seen[k] / n for k in range(1200) if k % 2 == s]
+        part = due[s] % 1
+        assert np.mean(mean) == pytest.approx(due[s], abs=0.01)
+        # No document is favoured: the spread of the means is that of independent seeds.
+        assert np.var(mean) == pytest.approx(part * (1 - part) / n, rel=0.25)
+
+
+def test_factorization_machine_is_the_sum_over_pairs_and_learns_interactions(spark):
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(np.arange(9), rng.normal(size=9), rng.normal(size=(9, 4)), 0.3)
+    at, x = np.array([1, 4, 5, 8]), rng.random(4)
+    pairs = sum(float(m.factor[at[i]] @ m.factor[at[j]]) * x[i] * x[j] for i in range(4) for j in range(i))
+    assert m.margin(at, x) == pytest.approx(0.3 + float(m.weight[at] @ x) + pairs)
+    for label in (lambda a, b: a != b, lambda a, b: a and b):
+        rows = []
+        for i in range(900):
+            a, b = (int(v) for v in rng.integers(0, 2, 2))
+            w = [f"f{v}" for v in rng.integers(0, 400, 20)] + ["insult"] * a + ["group"] * b
+            rng.shuffle(w)
+            rows.append((i, " ".join(w), int(label(a, b))))
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        s = toxicity.Scorer(toxicity.fit(df, df))
+        for a in (0, 1):
+            for b in (0, 1):
+                assert (s.score("f1 f2" + " insult" * a + " group" * b) > 0.5) == bool(label(a, b))
+
+
+def test_follow_the_regularised_leader_is_the_scalar_rule():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(20, 5, replace=False)).astype(np.int32), rng.random(5).astype(np.float32), int(rng.integers(0, 2))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n, zb, nb = [0.0] * 20, [0.0] * 20, 0.0, 0.0
+    order = np.random.default_rng(3)
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    bias = 0.0
+    for _ in range(4):
+        for r in order.permutation(40):
+            at, x, y = rows[r]
+            g0 = 1 / (1 + np.exp(-(4 * sum(w(i) * v for i, v in zip(at, x, strict=True)) + bias))) - y
+            for i, v in zip(at, x, strict=True):
+                g, old = 4 * g0 * float(v), w(i)
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * old
+                n[i] += g * g
+            zb += g0 - ((nb + g0 * g0) ** 0.5 - nb**0.5) / alpha * bias
+            nb += g0 * g0
+            bias = -zb / ((beta + nb**0.5) / alpha)
+    made = quality.train(rows)
+    dense = made.dense()
+    assert [float(dense[i]) for i in range(20)] == pytest.approx([4 * w(i) for i in range(20)], abs=1e-4) and made.bias == pytest.approx(bias, abs=1e-5)
+
+
+def test_trees_are_what_a_walk_gives_and_learn_from_the_rules(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    model = url_filter.train(*url_filter.labelled(pages, queries.RULES))
+    urls, truth = url_filter.labelled(pages, queries.RULES, held_out=True)
+    x = np.array([url_filter.lexical(u, model.suffix_rates) for u in [*urls, None, "", "a" * 100_000]], float)
+
+    def walk(row):
+        total = model.start
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+            at = 0
+            for _ in range(model.depth):
+                at = 2 * at + 1 + int(row[feature[at]] > threshold[at])
+            total += value[at - (2**model.depth - 1)]
+        return 1 / (1 + np.exp(-total))
+
+    score = model.score(x)
+    assert score.tolist() == pytest.approx([walk(r) for r in x])
+    assert ((score[: len(urls)] >= 0.5) == np.array(truth)).mean() > 0.9 and len(urls) > 50
+
+
+def test_rule_book_is_what_all_rules_give():
+    rng = np.random.default_rng(5)
+    names = ["a", "b", "com", "a.com", "b.a.com", "x.b.a.com", "aa.com", ""]
+    rules = [url_filter.Rule(("block", "allow")[int(rng.integers(2))], str(rng.choice(names[:6])), str(rng.choice(["/", "/a", "/a/b/", "/b/"]))) for _ in range(12)]
+    book = url_filter.RuleBook(rules)
+    for host in names:
+        for path in ("", "/", "/a", "/a/b/c", "/b/x", "/c"):
+            fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+            got = book.match(host, path)
+            assert (got and got.text) == (min(fits, key=lambda r: (-len(r.text), r.text)).text if fits else None)
+
+
+def test_url_filter_takes_nulls_and_repeats(spark):
+    pages = spark.createDataFrame([(None, "http://a.net/x"), (1, "http://a.net/x"), (1, "http://a.net/x"), (2, None), (3, "x" * 200_000)], "page_id int, url string")
+    model = url_filter.train(["http://a.net/x", None, "http://b.com/"], [1, 0, 0])
+    rows = url_filter.filter_urls(pages, queries.RULES, model).collect()
+    assert sorted((str(r.page_id), r.rule) for r in rows) == [("1", "net/"), ("1", "net/"), ("2", None), ("3", None), ("None", "net/")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
