@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=True)
 
 
 STAGES = [("quality_filter", quality_filter), ("toxicity_filter", toxicity_filter), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
