@@ -6,13 +6,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, words
+from .common import KEPT, LONGEST, cut, per_batch, slices, words
 
 #: Classes of the model: the most frequent words, one each; the other words by their ending; the end of a text.
 FREQUENT, ENDINGS = 111, 48
@@ -20,12 +21,15 @@ CLASSES = FREQUENT + ENDINGS + 1
 END = CLASSES - 1
 #: Words whose counts every worker holds. Counts of all others are joined in.
 HELD = 1 << 16
-#: Width of the vectors by which a word's share of its class follows the class before it, and their prior's precision.
-WIDTH, PRECISION = 12, 10.0
+#: Width of the vectors by which a word's share of its class follows the class before it, their prior's precision, and the
+#: occurrences from which a word has one: with fewer the prior leaves next to nothing of it.
+WIDTH, PRECISION, LEAST = 12, 10.0, 4
 #: Bits of a held word's place.
 PLACE = HELD.bit_length()
-#: Words that a worker keeps beside those, and distinct words that it counts before it passes them on.
-KEPT = 1 << 18
+#: Steps of training for a corpus of up to TOKENS, and again for each doubling beyond.
+STEPS, TOKENS = 1200, 1 << 26
+#: Keys that a worker gathers before it counts them, and characters of the texts that it lays out at once.
+GATHERED, LAID = 1 << 22, 1 << 19
 
 
 def ending_class(word: bytes) -> int:
@@ -56,11 +60,11 @@ class LogBilinear:
         return made
 
     def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
-        q = self.context[0][u] + self.context[1][v]
-        return np.einsum("ij,ij->i", q, self.target[w]) + self.bias[w] - normalisers[u, v]
+        first, second = (c @ self.target.T for c in self.context)
+        return first[u, w] + second[v, w] + self.bias[w] - normalisers[u, v]
 
 
-def train(cells: np.ndarray, counts: np.ndarray, dim: int = 24, steps: int = 1200, batch: int = 4096, noise: int = 48, rate: float = 0.12, seed: int = 11) -> LogBilinear:
+def train(cells: np.ndarray, counts: np.ndarray, dim: int = 24, steps: int = STEPS, batch: int = 4096, noise: int = 48, rate: float = 0.12, seed: int = 11) -> LogBilinear:
     """Fits the model to the counts of (u, v, w) cells, numbered (u * CLASSES + v) * CLASSES + w, of a whole corpus.
 
     Each step draws a batch of cells by their counts and one set of noise classes from the smoothed class frequencies,
@@ -177,50 +181,94 @@ class _Classes:
                 self.missed.clear()
             for i in rest.tolist():
                 if (k := self.missed.get(w[i])) is None:
-                    k = self.missed[w[i]] = ending_class(w[i])
+                    k = ending_class(w[i])
+                    if len(w[i]) <= LONGEST:
+                        self.missed[w[i]] = k
                 packed[i] = -1 - k
         return packed
 
 
-def context_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(cell, n): how often each class follows each two, over all texts; a text is preceded by two ends."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def count(b: dict) -> dict:
-        classes, parts = _Classes(held.value), []
-        for text in b["text"]:
-            packed = classes.of(words(text))
-            k = np.concatenate([[END, END], np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES), [END]]).astype(np.int64)
-            parts.append((k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:])
-        cell, n = np.unique(np.concatenate(parts), return_counts=True) if parts else ([], [])
-        return {"cell": cell, "n": n}
-
-    return per_batch(docs.select("text"), "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
-
+@dataclass
+class _Laid:
+    """Texts in one row of classes, each after two ends and before one: the words of all texts, and where they stand."""
 
-def following(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(word, after): of each word that shares its class, how often it follows each class, as (v, n), over all texts."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    words: list[bytes]
+    packed: np.ndarray
+    text: np.ndarray  # of each word, the text that it is from
+    size: np.ndarray  # of each text
+    row: np.ndarray
+    at: np.ndarray  # of each word, its place in the row
+    ends: np.ndarray  # of each text's end
 
-    def count(b: dict) -> Iterator[dict]:
-        classes, c = _Classes(held.value), Counter()
+    @classmethod
+    def of(cls, texts: list[str | None], classes: _Classes) -> _Laid:
+        parts = [words(t) for t in texts]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        w = list(chain.from_iterable(parts))
+        packed, text = classes.of(w), np.repeat(np.arange(len(parts)), size)
+        at = np.arange(len(w)) + 3 * text + 2
+        row = np.full(len(w) + 3 * len(parts), END, np.int64)
+        row[at] = np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES)
+        return cls(w, packed, text, size, row, at, np.cumsum(size) + 3 * np.arange(len(parts)) + 2)
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of LAID characters, about; a longer text is one of its own."""
+    at = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "") + 1
+        if held > LAID or k + 1 == len(texts):
+            yield at, k + 1
+            at, held = k + 1, 0
+
+
+def gathered(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(key, word, n), from one pass over all texts. Without a word, a key below CLASSES cubed is a class after two others,
+    a text being preceded by two ends; keys beyond are a held word's place and the class before it. With a word, which is
+    one that workers don't hold, the key is the class before it. Words that are classes of their own have only the former."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def count(batches):
+        classes, keys, held, rare = _Classes(shared.value), [], 0, Counter()
+
+        def made() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
+            word = pa.array([None] * len(key) + [w.decode() for w, _ in rare], pa.string())
+            out = [pa.array(np.append(key, np.fromiter((v for _, v in rare), np.int64, len(rare)))), word, pa.array(np.append(n, np.fromiter(rare.values(), np.int64, len(rare))))]
+            keys.clear()
+            rare.clear()
+            return pa.RecordBatch.from_arrays(out, ["key", "word", "n"])
+
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = batch.column(0).to_pylist()
+            for a, b in _parts(texts):
+                laid = _Laid.of(texts[a:b], classes)
+                p, k, before = np.append(laid.at, laid.ends), laid.row[laid.at], laid.row[laid.at - 1]
+                own = (k >= FREQUENT) & (laid.packed >= 0)
+                keys.append((laid.row[p - 2] * CLASSES + laid.row[p - 1]) * CLASSES + laid.row[p])
+                keys.append(CLASSES**3 + (laid.packed[own] & ((1 << PLACE) - 1)) * CLASSES + before[own])
+                missed = np.flatnonzero(laid.packed < 0).tolist()
+                rare.update(zip((laid.words[i] for i in missed), before[missed].tolist(), strict=True))
+                held += len(keys[-1]) + len(keys[-2])
+                if held > GATHERED or len(rare) > KEPT:
+                    yield made()
+                    held = 0
+        yield made()
 
-        def made() -> dict:
-            return {"word": [w.decode() for w, _ in c], "v": [v for _, v in c], "n": list(c.values())}
+    return docs.select("text").mapInArrow(count, "key long, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
-        for text in b["text"]:
-            w = words(text)
-            packed = classes.of(w)
-            k = np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES)
-            before = np.append(END, k[:-1])
-            c.update((w[i], v) for i, v in zip(np.flatnonzero(k >= FREQUENT).tolist(), before[k >= FREQUENT].tolist(), strict=True))
-            if len(c) > KEPT:
-                yield made()
-                c.clear()
-        yield made()
 
-    pairs = per_batch(docs.select("text"), "word string, v int, n long", count).groupBy("word", "v").agg(F.sum("n").alias("n"))
-    return pairs.groupBy("word").agg(F.collect_list(F.struct("v", "n")).alias("after"))
+def following(found: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(word, after) of what ``gathered`` found: of each word that shares its class and occurs LEAST times, how often it
+    follows each class, as (v, n)."""
+    spark = found.sparkSession
+    names = spark.createDataFrame(pa.table({"place": pa.array(range(len(lexicon.held)), pa.int64()), "word": pa.array([w.decode() for w in lexicon.held], pa.string())}))
+    after = lambda rows: rows.agg(F.collect_list(F.struct(F.col("v"), F.col("n"))).alias("after"), F.sum("n").alias("all")).where(F.col("all") >= LEAST)
+    pair = F.col("key") - CLASSES**3
+    held = found.where(F.col("word").isNull() & (F.col("key") >= CLASSES**3)).select(F.floor(pair / CLASSES).alias("place"), F.pmod(pair, F.lit(CLASSES)).cast("int").alias("v"), "n")
+    rare = found.where(F.col("word").isNotNull()).select("word", F.col("key").cast("int").alias("v"), "n")
+    named = after(held.groupBy("place")).join(F.broadcast(names), "place")  # HELD rows at most
+    return named.select("word", "after").unionByName(after(rare.groupBy("word")).select("word", "after"))
 
 
 def word_vectors(after: DataFrame, before: np.ndarray, expected: np.ndarray) -> DataFrame:
@@ -249,37 +297,44 @@ def word_vectors(after: DataFrame, before: np.ndarray, expected: np.ndarray) ->
 
 
 def log_shares(counts: DataFrame, before: np.ndarray, in_class: np.ndarray) -> np.ndarray:
-    """The log of the sum, over the words of each class, of their shares after each class. What no text of training has
-    stands for one word that no class before it changes."""
+    """The log of the sum, over the words of each class, of their shares after each class. Words without a vector, and what
+    no text of training has, which stands for one word, are not changed by the class before them."""
 
     def add(b: dict) -> dict:
-        total = np.zeros((CLASSES, CLASSES))
+        more = np.zeros((CLASSES, CLASSES))
         for at in range(0, len(b["word"]), 4096):
             r = np.array(b["vector"][at : at + 4096], np.float32).reshape(-1, WIDTH)
             k = np.array([ending_class(x.encode()) for x in b["word"][at : at + 4096]], np.int64)
-            e = (np.array(b["c"][at : at + 4096])[:, None] + 1.0) * np.exp(r.astype(float) @ before.T)
-            np.add.at(total, k, e)
-        return {"k": np.arange(CLASSES), "total": total.tolist()}
-
-    parts = per_batch(counts.where("vector is not null").select("word", "c", "vector"), "k int, total array<double>", add)
-    summed = parts.select("k", F.posexplode("total").alias("v", "x")).groupBy("k", "v").agg(F.sum("x").alias("x")).toArrow()
-    total = np.ones((CLASSES, CLASSES))
+            order = np.argsort(k, kind="stable")
+            starts = np.flatnonzero(np.diff(k[order], prepend=-1))
+            e = (np.array(b["c"][at : at + 4096])[:, None] + 1.0) * np.expm1(r.astype(float) @ before.T)
+            if len(k):
+                more[k[order][starts]] += np.add.reduceat(e[order], starts)
+        return {"k": np.arange(CLASSES), "more": more.tolist()}
+
+    parts = per_batch(counts.where("vector is not null").select("word", "c", "vector"), "k int, more array<double>", add)
+    summed = parts.select("k", F.posexplode("more").alias("v", "x")).groupBy("k", "v").agg(F.sum("x").alias("x")).toArrow()
+    whole = in_class.sum(0) + 1
+    total = np.repeat(whole[:, None], CLASSES, 1)
     np.add.at(total, (summed["k"].to_numpy(), summed["v"].to_numpy()), summed["x"].to_numpy())
-    made = np.log(total) - np.log(in_class.sum(0) + 1)[:, None]
+    made = np.log(total) - np.log(whole)[:, None]
     made[:FREQUENT] = made[END] = 0
     return made
 
 
 def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinear]:
-    """Counts all words of ``training`` and all class contexts, and trains the model on the latter: at most CLASSES
-    cubed numbers reach the driver, whatever the size of the corpus. Every word that shares its class then gets a vector,
-    a row of the counts, from all its occurrences: the vectors are as many as the words and stay with the workers."""
+    """Counts all words of ``training``, then all class contexts and the class before each word, and trains the model on
+    the class contexts: at most CLASSES cubed numbers reach the driver, whatever the size of the corpus. Every word that
+    shares its class and occurs LEAST times then gets a vector, a row of the counts, from all its occurrences: the vectors
+    are as many as those words and stay with the workers."""
     counts = cut(word_counts(training))
     lexicon = Lexicon.of(counts)
-    found = context_counts(training, lexicon).toArrow()
-    cells, n = found["cell"].to_numpy(), found["n"].to_numpy()
+    pairs = cut(gathered(training, lexicon))
+    found = pairs.where(F.col("word").isNull() & (F.col("key") < CLASSES**3)).select("key", "n").toArrow()
+    cells, n = found["key"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(cells)
-    model = train(cells[order].astype(np.int64), n[order].astype(np.float64), **settings)
+    steps = settings.pop("steps", int(STEPS * (1 + np.log2(max(1.0, lexicon.total / TOKENS)))))
+    model = train(cells[order].astype(np.int64), n[order].astype(np.float64), steps=steps, **settings)
     seen = np.zeros((CLASSES, CLASSES))  # class, class before it
     np.add.at(seen, (cells % CLASSES, cells // CLASSES % CLASSES), n)
     # The vectors of the classes before, without their mean and of unit variance, in their widest directions.
@@ -288,7 +343,7 @@ def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinea
     _, size, axes = np.linalg.svd(centred * np.sqrt(weight)[:, None], full_matrices=False)
     model.before = centred @ axes[:WIDTH].T / np.maximum(size[:WIDTH], 1e-3)
     model.before = model.before / np.maximum(1.0, np.linalg.norm(model.before, axis=1, keepdims=True) / np.sqrt(4 * WIDTH))
-    vectors = word_vectors(following(training, lexicon), model.before, seen / np.maximum(1.0, seen.sum(1, keepdims=True)))
+    vectors = word_vectors(following(pairs, lexicon), model.before, seen / np.maximum(1.0, seen.sum(1, keepdims=True)))
     counts = cut(counts.join(vectors, "word", "left"))
     model.log_shares = log_shares(counts, model.before, lexicon.in_class)
     return counts, Lexicon.of(counts), model
@@ -311,27 +366,26 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBiline
         if not ready:
             ready.extend((_Classes(lexicon), model.log_normalisers(), np.log10(lexicon.in_class.sum(0) + 1)))
         classes, normalisers, shares = ready
-        made: dict = {k: [] for k in ("doc_id", "n", "known", "base", "model", "rare")}
-        for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-            w = words(text)
-            packed = np.append(classes.of(w), (ends * CLASSES + END) << PLACE)
-            k = np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES)
+        for a, z in _parts(b["text"]):
+            laid = _Laid.of(b["text"][a:z], classes)
+            of, size, packed = laid.text, laid.size, laid.packed
+            k, v = laid.row[laid.at], laid.row[laid.at - 1]
             c = np.where(packed < 0, 0, (packed >> PLACE) // CLASSES)
-            logs = np.log10(c + 1.0)
-            before = np.concatenate([[END, END], k])
-            p = model.log_probabilities(before[:-2], before[1:-1], k, normalisers).sum(dtype=np.float64) / np.log(10)
+            logs, each = np.log10(c + 1.0), lambda x, at=slice(None): np.bincount(of[at], x, len(size))  # noqa: B023
+            p = each(model.log_probabilities(laid.row[laid.at - 2], v, k, normalisers))
+            p += model.log_probabilities(laid.row[laid.ends - 2], laid.row[laid.ends - 1], np.full(len(size), END), normalisers)
             tail = (k >= FREQUENT) & (k < END)
-            made["doc_id"].append(doc_id)
-            made["n"].append(len(k))
-            made["known"].append(int((c > 0).sum()))
-            made["base"].append(float(logs.sum() - len(k) * base_all))
-            v = before[1:-1]
             known = tail & (packed >= 0)
-            bent = np.einsum("ij,ij->", lexicon.vectors[packed[known] & ((1 << PLACE) - 1)], model.before[v[known]]) - model.log_shares[k[tail], v[tail]].sum()
-            made["model"].append(float(p + logs[tail].sum() - shares[k[tail]].sum() + bent / np.log(10)))
-            rare = Counter((w[i], int(v[i])) for i in np.flatnonzero(packed < 0).tolist())
-            made["rare"].append([{"word": x.decode(), "v": v, "n": n} for (x, v), n in rare.items()])
-        yield made
+            p -= each(model.log_shares[k[tail], v[tail]], tail)
+            p += each(np.einsum("ij,ij->i", lexicon.vectors[packed[known] & ((1 << PLACE) - 1)], model.before[v[known]]), known)
+            rare: list[list[dict]] = [[] for _ in size]
+            missed = np.flatnonzero(packed < 0).tolist()
+            for (t, x, y), n in Counter(zip(of[missed].tolist(), (laid.words[i] for i in missed), v[missed].tolist(), strict=True)).items():
+                rare[t].append({"word": x.decode(), "v": y, "n": n})
+            yield {
+                "doc_id": b["doc_id"][a:z], "n": size + 1, "known": np.bincount(of[c > 0], minlength=len(size)) + (ends > 0), "base": each(logs) + np.log10(ends + 1.0) - (size + 1) * base_all,
+                "model": p / np.log(10) + each(logs[tail], tail) - each(shares[k[tail]], tail), "rare": rare,
+            }
 
     passed = cut(
         per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, known long, base double, model double, rare array<struct<word: string, v: int, n: long>>", run)
