@@ -1,185 +1,54 @@
-"""The resolver: textual targets of raw dependencies become symbols, by tiers of uniqueness-gated equi-joins."""
+"""The resolver: textual targets of raw dependencies become symbols. Every tier proposes symbols for the distinct targets by
+an equi-join, and of all that is proposed for a target the first tier's stands."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import symbol_id
 from ..schema import SYNTHETIC_KINDS
+from ..storage import cut
+from . import modules, rustpaths
+from .modules import bound_name, unique_by
+from .rustpaths import KEY
 
 #: Names that each language has built in.
 BUILTINS = {
-    "rust": "assert! assert_eq! assert_ne! dbg! eprint! eprintln! format! panic! print! println! todo! unimplemented! vec! write! writeln!",
-    "python": "bool dict enumerate filter float int len list map max min open print range set sorted str sum super tuple zip",
-    "typescript": "Array BigInt Boolean Date JSON Map Math Number Promise RegExp Set String clearInterval clearTimeout parseFloat parseInt queueMicrotask setInterval setTimeout",
-    "java": "Boolean Byte Class Double Exception Float Integer Long Math Object RuntimeException Short String StringBuilder StringBuffer System Thread",
-    "csharp": "Array Boolean Console DateTime Decimal Double Exception Guid Int32 Int64 Math Object String StringBuilder Task ValueTask",
-    "kotlin": "Any Array Boolean Double Float Int Long Nothing String Unit check emptyList emptyMap emptySet listOf mapOf print println require runCatching setOf",
-    "php": "array_filter array_map array_merge array_reduce count explode implode in_array is_array is_null json_decode json_encode sprintf strlen strtolower strtoupper substr trim",
-    "ruby": "Array File Hash String Time p pp print puts",
-    "swift": "Any Array Bool Dictionary Double Error Float Int Never Optional Result Set String Task UInt fatalError print",
-    "objc": "NSLog",
-    "go": "append cap clear close complex copy delete imag len make max min new panic print println real recover",
+    "rust": ("assert!", "assert_eq!", "assert_ne!", "dbg!", "eprint!", "eprintln!", "format!", "panic!", "print!", "println!", "todo!", "unimplemented!", "vec!", "write!", "writeln!"),
+    "python": ("bool", "dict", "enumerate", "filter", "float", "int", "len", "list", "map", "max", "min", "open", "print", "range", "set", "sorted", "str", "sum", "super", "tuple", "zip"),
+    "typescript": ("Array", "BigInt", "Boolean", "Date", "JSON", "Map", "Math", "Number", "Promise", "RegExp", "Set", "String", "clearInterval", "clearTimeout", "parseFloat", "parseInt", "queueMicrotask", "setInterval", "setTimeout"),
+    "java": ("Boolean", "Byte", "Class", "Double", "Exception", "Float", "Integer", "Long", "Math", "Object", "RuntimeException", "Short", "String", "StringBuilder", "StringBuffer", "System", "Thread"),
+    "csharp": ("Array", "Boolean", "Console", "DateTime", "Decimal", "Double", "Exception", "Guid", "Int32", "Int64", "Math", "Object", "String", "StringBuilder", "Task", "ValueTask"),
+    "kotlin": ("Any", "Array", "Boolean", "Double", "Float", "Int", "Long", "Nothing", "String", "Unit", "check", "emptyList", "emptyMap", "emptySet", "listOf", "mapOf", "print", "println", "require", "runCatching", "setOf"),
+    "php": ("array_filter", "array_map", "array_merge", "array_reduce", "count", "explode", "implode", "in_array", "is_array", "is_null", "json_decode", "json_encode", "sprintf", "strlen", "strtolower", "strtoupper", "substr", "trim"),
+    "ruby": ("Array", "File", "Hash", "String", "Time", "p", "pp", "print", "puts"),
+    "swift": ("Any", "Array", "Bool", "Dictionary", "Double", "Error", "Float", "Int", "Never", "Optional", "Result", "Set", "String", "Task", "UInt", "fatalError", "print"),
+    "objc": ("NSLog",),
+    "go": ("append", "cap", "clear", "close", "complex", "copy", "delete", "imag", "len", "make", "max", "min", "new", "panic", "print", "println", "real", "recover"),
 }
 BUILTINS["javascript"] = BUILTINS["typescript"]
-SCRIPT_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
-#: The separators of a language's dotted type paths, and the extensions of its files.
-TYPE_PATHS = {"java": (".", ("java",)), "csharp": (".", ("cs",)), "kotlin": (".", ("kt", "kts")), "php": ("\\", ("php", "phtml"))}
-INCLUDES = {"c": ("c", "h"), "cpp": ("cc", "cpp", "cxx", "h", "hh", "hpp", "hxx"), "objc": ("m", "h")}
+RUST_STANDARD = ("std", "core", "alloc")
 
+#: The tiers of each language, the first to propose a symbol wins. A tier ending in _full takes the whole target, the
+#: others what remains of it after the last separator.
+SCRIPT = ("same_file", "import_exact", "import_glob", "unique_name")
+TYPED = ("same_file", "import_exact", "import_glob", "same_package", "unique_name")
+PATHS = ("receiver", "path", "method_suffix", "same_file_full", "unique_name_full")
+CASCADES = {
+    "python": SCRIPT, "typescript": SCRIPT, "javascript": SCRIPT, "java": TYPED, "csharp": TYPED, "kotlin": TYPED, "php": TYPED,
+    "ruby": ("import_glob_full", "suffix", "same_file_full", "same_file", "import_glob", "unique_name"), "swift": ("suffix_only", "same_file_full", "same_file", "unique_name"),
+    "objc": ("sibling", "same_file", "import_glob", "unique_name"), "c": ("same_file", "import_glob", "unique_name"), "cpp": ("same_file", "import_glob", "unique_name"), "rust": PATHS, "go": PATHS,
+}
 
-def bare(target: Column) -> Column:
-    """The last name of a target: what follows its last dot, colon or backslash, without marks at the end."""
-    return F.regexp_extract(target, r"([^.:\\!]+)[.:\\!]*$", 1)
 
-
-def bound_name(source: Column, alias: Column) -> Column:
-    return F.coalesce(alias, F.regexp_extract(source, r"([^.:/\\]+)[.:/\\]*$", 1))
-
-
-def unique_by(symbols: DataFrame, *keys: str) -> DataFrame:
-    """(keys, id): symbols that are the only one with their keys. Pre-aggregated, so that a hot key is one row."""
-    return symbols.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-
-
-def import_bindings(symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(file_path, bound, id): what named imports bind. ``source`` ends in the name of a symbol, after ``::`` the file's
-    path; of imports that bind the same name in a file the last line wins."""
-    exact = imports.where("kind in ('named', 'alias', 'self')").select("file_path", bound_name(F.col("source"), F.col("alias")).alias("bound"), F.col("source").alias("qualified_name"), "line")
-    hits = exact.where("bound <> 'default'").join(symbols.select("qualified_name", "id"), "qualified_name")
-    return hits.groupBy("file_path", "bound").agg(F.max_by("id", F.struct("line", "id")).alias("id"))
-
-
-def glob_bindings(symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(file_path, bound, id): the names of glob-imported files; a name that stands for two symbols is no one's."""
-    globs = imports.where("kind = 'glob'").select("file_path", F.col("source").alias("module")).distinct()
-    hits = globs.join(symbols.select(F.col("file_path").alias("module"), F.col("name").alias("bound"), "id"), "module")
-    return hits.groupBy("file_path", "bound").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-
-
-def suffix_index(symbols: DataFrame) -> DataFrame:
-    """(suffix, id): every ``::`` suffix of a qualified name that only one symbol has."""
-    parts = F.split("qualified_name", "::")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "::"))
-    return unique_by(symbols.select(F.explode(suffixes).alias("suffix"), "id"), "suffix")
-
-
-def script_candidates(file: Column, source: Column) -> Column:
-    """Files that a relative TypeScript or JavaScript module can mean, sorted: as it is if it has an extension, else
-    twelve; none for other modules."""
-    folder = F.regexp_extract(file, "^(.*/)?[^/]*$", 1)
-    base = normalise(F.concat(folder, source))
-    each = F.array(*(F.concat(base, F.lit(f"{middle}.{e}")) for e in SCRIPT_EXTENSIONS for middle in ("", "/index")))
-    found = F.when(source.rlike(r"\.(" + "|".join(SCRIPT_EXTENSIONS) + ")$"), F.array(base)).otherwise(F.array_sort(each))
-    return F.when(source.startswith("."), found).otherwise(F.array().cast("array<string>"))
-
-
-def python_candidates(file: Column, source: Column) -> Column:
-    """Files that a Python module (dots as ``::``, leading ones for relative levels) can mean, sorted."""
-    level = F.char_length(F.regexp_extract(source, "^((?:::)*)", 1)) / 2
-    folders = F.slice(F.split(file, "/"), 1, F.greatest(F.size(F.split(file, "/")) - 1, F.lit(0)))
-    up = F.slice(folders, 1, F.greatest(F.size(folders) - F.greatest(level.cast("int") - 1, F.lit(0)), F.lit(0)))
-    inner = F.replace(F.regexp_replace(source, "^(::)+", ""), F.lit("::"), F.lit("/"))
-    join = lambda head: F.when(head == "", inner).otherwise(F.concat(head, F.lit("/"), inner))
-    bases = F.when(level > 0, F.array(join(F.array_join(up, "/")))).otherwise(F.array(join(F.try_element_at(folders, F.lit(1))), inner))
-    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(bases, lambda b: F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py"))))))))
-
-
-def include_candidates(file: Column, source: Column, language: str) -> Column:
-    """Files that an include can mean: beside the file and from the root, with companion extensions, sorted."""
-    folder = F.regexp_extract(file, "^(.*/)?[^/]*$", 1)
-    stem = F.regexp_replace(source, r"\.[^./]*$", "")
-    bases = F.array(normalise(F.concat(folder, stem)), normalise(stem))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(bases, lambda b: F.array(*(F.concat(b, F.lit(f".{e}")) for e in INCLUDES[language]))))))
-
-
-def normalise(path: Column) -> Column:
-    """A path without ``.`` and ``..``."""
-    def step(done: Column, part: Column) -> Column:
-        back = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(part.isin("", "."), done).when(part == "..", back).otherwise(F.concat(done, F.array(part)))
-
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-
-
-def type_path_suffixes(files: DataFrame) -> DataFrame:
-    """(suffix, file_path): every suffix of each distinct path, so that "ends with" is an equi-join."""
-    parts = F.split("file_path", "/")
-    each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
-    return files.select("file_path").distinct().select(F.explode(each).alias("suffix"), "file_path")
-
-
-def type_path_bindings(symbols: DataFrame, imports: DataFrame, language: str) -> DataFrame:
-    """(file_path, bound, id): imports of dotted types in Java, C#, Kotlin or PHP. ``a.b.C`` is the top-level type C of the
-    first file, by path, that is or ends in a/b/C with the language's extension; Java's ``a.b.C::m`` its only member m."""
-    separator, extensions = TYPE_PATHS[language]
-    named = imports.where("kind <> 'glob'").select("file_path", bound_name(F.col("source"), F.col("alias")).alias("bound"), F.col("source"), "line")
-    named = named.withColumn("type", F.split("source", "::")[0]).withColumn("member", F.when(F.col("source").contains("::"), F.regexp_extract("source", "::(.*)$", 1)))
-    wanted = F.array(*(F.concat(F.replace("type", F.lit(separator), F.lit("/")), F.lit(f".{e}")) for e in extensions))
-    files = named.select("*", F.explode(wanted).alias("suffix")).join(type_path_suffixes(symbols).withColumnRenamed("file_path", "target"), "suffix")
-    type_name = F.regexp_extract("type", r"([^.\\]+)$", 1)
-    name = F.concat(F.col("target"), F.lit("::"), type_name, F.coalesce(F.concat(F.lit("::"), F.col("member")), F.lit("")))
-    hits = files.withColumn("qualified_name", name).join(symbols.select("qualified_name", "id"), "qualified_name")
-    first = hits.groupBy("file_path", "bound", "line").agg(F.min_by("id", "target").alias("id"))
-    return first.groupBy("file_path", "bound").agg(F.max_by("id", "line").alias("id"))
-
-
-def package_bindings(symbols: DataFrame, imports: DataFrame, language: str) -> DataFrame:
-    """(file_path, bound, id): glob imports of packages: the top-level symbols of the files of a folder that is or ends in
-    the package's path; a name with two meanings is dropped."""
-    separator, _ = TYPE_PATHS[language]
-    globs = imports.where("kind = 'glob'").select("file_path", F.replace("source", F.lit(separator), F.lit("/")).alias("suffix")).distinct()
-    folders = symbols.select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("file_path")).where("file_path <> ''")
-    inside = type_path_suffixes(folders).withColumnRenamed("file_path", "folder")
-    top = symbols.where(F.size(F.split("qualified_name", "::")) == 2).select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("folder"), F.col("name").alias("bound"), "id")
-    hits = globs.join(inside, "suffix").select("file_path", "folder").distinct().join(top, "folder")
-    return hits.groupBy("file_path", "bound").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-
-
-def reexports(exports: DataFrame, most: int = 10) -> DataFrame:
-    """(module, name, target_module, target_name): what re-exported names finally stand for. exports: (module, name,
-    target_module, target_name), name '*' for globs. Each round follows one hop; a chain that returns is not followed
-    twice, and none is longer than ``most``."""
-    from ..storage import cut
-
-    hops = exports.select("module", "name", F.col("target_module").alias("m"), F.col("target_name").alias("n"))
-    frontier, done = cut(hops), []
-    for _ in range(most):
-        done.append(frontier)
-        a, b = frontier.alias("a"), hops.alias("b")
-        step = a.join(b, (F.col("a.m") == F.col("b.module")) & (F.col("b.name").isin("*") | (F.col("b.name") == F.col("a.n"))))
-        target = F.when(F.col("b.name") == "*", F.col("a.n")).otherwise(F.col("b.n"))
-        nxt = step.select("a.module", "a.name", F.col("b.m").alias("m"), target.alias("n")).distinct()
-        for d in done:
-            nxt = nxt.join(d, ["module", "name", "m", "n"], "left_anti")
-        frontier = cut(nxt)
-        if frontier.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out.distinct().select("module", "name", F.col("m").alias("target_module"), F.col("n").alias("target_name"))
-
-
-def rust_candidates(target: Column, module: Column, owner: Column) -> Column:
-    """Absolute paths that a Rust path can mean, sorted and distinct: Self as the owner, crate/self/super, and the path
-    inside the module."""
-    own = F.when(target.startswith("Self::") & owner.isNotNull(), F.concat(module, F.lit("::"), owner, F.substring(target, 5, 1 << 30)))
-    up = F.when(module.contains("::"), F.regexp_replace(module, "::[^:]+$", "")).otherwise(module)
-    absolute = F.when(target.startswith("self::"), F.concat(module, F.substring(target, 5, 1 << 30))).when(target.startswith("super::"), F.concat(up, F.substring(target, 6, 1 << 30))).when(target.startswith("crate::"), target)
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(own, absolute, F.concat(module, F.lit("::"), target)))))
-
-
-def receiver_type(target: Column, owner: Column, signature: Column) -> Column:
-    """The type that the receiver of ``self.x.m`` or ``param.m`` has: the owner, or the parameter's type in the
-    signature, without references."""
-    head = F.regexp_extract(target, r"^(\w+)\.", 1)
-    given = F.regexp_extract(signature, r"\b(\w+)\s*:", 1)
-    typed = F.regexp_extract(signature, r":\s*&?(?:mut\s+)?([A-Z]\w*)", 1)
-    return F.when(head == "self", owner).when((head == given) & (typed != ""), typed)
+def bare(target: Column, language: str = "python") -> Column:
+    """The last name of a target: what follows its last dot or colon, in PHP also backslash, without marks at the end."""
+    marks = r".:\\" if language == "php" else ".:"
+    return F.regexp_extract(F.regexp_replace(target, "!+$", ""), rf"([^{marks}]+)[{marks}]*$", 1)
 
 
 def builtin(target: Column, language: Column) -> Column:
@@ -188,21 +57,122 @@ def builtin(target: Column, language: Column) -> Column:
     plain = F.regexp_replace(trimmed, "!+$", "")
     out = F.lit(False)
     for name, listed in BUILTINS.items():
-        out = F.when(language == name, (trimmed if name == "rust" else plain).isin(*listed.split())).otherwise(out)
+        out = F.when(language == name, (trimmed if name == "rust" else plain).isin(*listed)).otherwise(out)
     return out
 
 
-def external_bindings(imports: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(file_path, bound, source): imports of what is not in the project, where all that bind a name agree."""
-    outside = imports.where("kind <> 'glob' and not (source like '.%' or source like '/%' or source like '::%')").select("file_path", bound_name(F.col("source"), F.col("alias")).alias("bound"), "source")
-    outside = outside.join(resolved, ["file_path", "bound"], "left_anti")
-    return outside.groupBy("file_path", "bound").agg(F.count_distinct("source").alias("n"), F.min("source").alias("source")).where("n = 1").drop("n")
+def suffix_index(symbols: DataFrame) -> DataFrame:
+    """(suffix, id): every ``::`` suffix of a qualified name that only one symbol has."""
+    parts = F.split("qualified_name", "::")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "::"))
+    return unique_by(symbols.select(F.explode(suffixes).alias("suffix"), "id"), "suffix")
 
 
-def external_globs(imports: DataFrame, known: DataFrame) -> DataFrame:
-    """(file_path, glob): the one glob import of a file from outside; ``known``: (source) of globs that give symbols."""
-    globs = imports.where("kind = 'glob' and not (source like '.%' or source like '/%' or source like '::%')").join(known, "source", "left_anti")
-    return globs.groupBy("file_path").agg(F.count_distinct("source").alias("n"), F.min("source").alias("glob")).where("n = 1").drop("n")
+@dataclass
+class Scope:
+    """What the tiers of one language look at; imported and globbed are there if the language has such tiers."""
+
+    language: str
+    symbols: DataFrame
+    imports: DataFrame
+    keys: DataFrame  # KEY, target, bare, owner
+    exported: DataFrame | None = None  # module, name, id
+    exact: DataFrame | None = None  # file_path, bound, id
+    globs: DataFrame | None = None  # file_path, source, module
+
+    @classmethod
+    def of(cls, language: str, symbols: DataFrame, imports: DataFrame, raw: DataFrame) -> Scope:
+        target = F.regexp_replace("to_symbol", "!+$", "")
+        owner = F.regexp_extract(F.expr("substr(from_symbol, length(from_file) + 3)"), "^(.*)::[^:]*$", 1)
+        keys = cut(raw.select(*KEY).distinct().select(*KEY, target.alias("target"), bare(F.col("to_symbol"), language).alias("bare"), owner.alias("owner")).where("bare <> ''"))
+        out = cls(language, symbols, imports, keys)
+        if language in ("python", "typescript", "javascript"):
+            out.exported = modules.exports(symbols, modules.passed_on(imports, language))
+            out.exact = modules.import_bindings(symbols, out.exported, imports, language)
+            out.globs = modules.glob_modules(imports, language)
+        elif language in modules.TYPE_PATHS:
+            out.exact = modules.type_bindings(symbols, imports, language)
+            out.globs, out.exported = modules.type_globs(symbols, imports, language)
+        elif language == "ruby":
+            public = symbols.where(F.col("kind").isin(*modules.RUBY_EXPORTS))
+            names = unique_by(public, "file_path", "name").withColumnRenamed("file_path", "module")
+            paths = public.select(F.col("file_path").alias("module"), F.expr("substr(qualified_name, length(file_path) + 3)").alias("name"), "id")
+            out.exported, out.globs = names.unionByName(paths).distinct(), modules.glob_modules(imports, language)
+        elif language in modules.INCLUDES:
+            out.exported = unique_by(symbols, "file_path", "name").withColumnRenamed("file_path", "module")
+            out.globs = modules.glob_modules(imports, language, ("named", "glob", "alias"))
+        return out
+
+    def propose(self, tier: str) -> DataFrame:
+        """(KEY, order, id): what a tier makes of the targets; of several proposals the least order stands."""
+        name = F.col("target" if tier.endswith("_full") else "bare")
+        keys, kind = self.keys.withColumn("name", name), tier.removesuffix("_full")
+        in_file = keys.withColumnRenamed("from_file", "file_path")
+        if kind == "same_file":
+            hits = in_file.join(unique_by(self.symbols, "file_path", "name"), ["file_path", "name"]).withColumnRenamed("file_path", "from_file")
+        elif kind == "import_exact":
+            hits = in_file.join(self.exact.withColumnRenamed("bound", "name"), ["file_path", "name"]).withColumnRenamed("file_path", "from_file")
+        elif kind == "import_glob":
+            found = modules.glob_bindings(self.exported, self.globs, in_file.select("file_path", F.col("name").alias("bound")))
+            hits = in_file.join(found.withColumnRenamed("bound", "name"), ["file_path", "name"]).withColumnRenamed("file_path", "from_file")
+        elif kind == "same_package":
+            file = F.concat(modules.folder_of(F.col("from_file")), "name", F.lit(f".{modules.TYPE_PATHS[self.language][1]}"))
+            hits = keys.withColumn("file_path", file).join(unique_by(modules.top_level(self.symbols, self.language), "file_path", "name"), ["file_path", "name"])
+        elif kind == "unique_name":
+            hits = keys.join(unique_by(self.symbols, "name"), "name")
+        elif kind == "sibling":
+            hits = keys.where("owner <> ''").withColumn("qualified_name", F.concat_ws("::", "from_file", "owner", "bare")).join(self.symbols.select("qualified_name", "id"), "qualified_name")
+        elif kind in ("suffix", "suffix_only"):
+            known = self.symbols.where(F.col("kind").isin(*modules.RUBY_EXPORTS)) if self.language == "ruby" else self.symbols
+            mark, path = ("::", F.col("target")) if kind == "suffix" else (".", F.replace("target", F.lit("."), F.lit("::")))
+            hits = keys.where(F.col("target").contains(mark)).withColumn("suffix", path).join(suffix_index(known), "suffix")
+        elif kind == "receiver":
+            hits = rustpaths.receiver_owners(self.keys, self.symbols).join(rustpaths.method_suffixes(self.symbols), "path")
+        elif kind == "method_suffix":
+            hits = keys.withColumn("path", F.trim("target")).join(rustpaths.method_suffixes(self.symbols), "path")
+        else:
+            made = rustpaths.path_candidates(self.keys, *rustpaths.import_paths(self.imports))
+            return made.join(rustpaths.symbol_paths(self.symbols).withColumnRenamed("path", "candidate"), "candidate").select(*KEY, F.col("candidate").alias("order"), "id")
+        return hits.select(*KEY, F.lit("").alias("order"), "id")
+
+    def outside(self) -> Iterator[DataFrame]:
+        """(KEY, external): targets that imports say are not of the project, the surest first."""
+        keys = self.keys.withColumnRenamed("from_file", "file_path")
+        only = lambda rows: rows.groupBy("from_symbol", "file_path", "to_symbol").agg(F.count_distinct("external").alias("n"), F.min("external").alias("external")).where("n = 1").select("from_symbol", F.col("file_path").alias("from_file"), "to_symbol", "external")
+        named = self.imports.where(modules.BINDING).select("file_path", bound_name(F.col("source"), F.col("alias")).alias("bare"), "source")
+        globs = self.imports.where("kind = 'glob'").select("file_path", "source")
+        upper = F.col("bare").rlike("^[A-Z]")
+        if self.language in ("python", "typescript", "javascript", "go"):
+            inside = {"python": F.col("source").startswith("::"), "go": F.col("source") == ""}.get(self.language, F.col("source").startswith(".") | F.col("source").startswith("/"))
+            yield only(keys.join(named.where(~inside), ["file_path", "bare"]).withColumn("external", F.col("source")))
+            if self.globs is not None:  # a module that is a file of the project is not outside it
+                held = self.globs.join(self.symbols.select(F.col("file_path").alias("module")).distinct(), "module", "left_semi")
+                globs = globs.join(held.select("file_path", "source"), ["file_path", "source"], "left_anti")
+            yield only(keys.join(globs.where(~inside), "file_path").withColumn("external", F.concat("source", F.lit("::"), "bare")))
+        elif self.language in modules.TYPE_PATHS:
+            foreign = named.join(self.exact.select("file_path", F.col("bound").alias("bare"), "source"), ["file_path", "bare", "source"], "left_anti")
+            yield only(keys.join(foreign, ["file_path", "bare"]).withColumn("external", F.col("source")))
+            if self.language != "php":
+                held = self.globs.join(self.exported.select("module").distinct(), "module", "left_semi")
+                link = F.when(F.lit(self.language == "java") & F.col("source").rlike(r"(^|\.)[A-Z][^.]*$"), "::").otherwise(".")
+                foreign = globs.join(held.select("file_path", "source"), ["file_path", "source"], "left_anti")
+                yield only(keys.join(foreign, "file_path").withColumn("external", F.concat("source", link, "bare")))
+        elif self.language == "rust":
+            exact, whole = rustpaths.import_paths(self.imports)
+            first, rest = F.regexp_extract("target", "^(.*?)(::|$)", 1), F.regexp_extract("target", "^.*?(::.*)$", 1)
+            imported = keys.withColumns({"bound": first, "rest": rest}).join(exact, ["file_path", "bound"])
+            yield only(imported.withColumn("external", F.concat("path", "rest")).where("not local"))
+            yield only(keys.where(F.col("target").contains("::") & first.isin(*RUST_STANDARD)).withColumn("external", F.col("target")))
+            short = keys.where(~F.col("target").contains("::")).join(whole, "file_path")
+            yield only(short.where("not local").withColumn("external", F.concat("module", F.lit("::"), "target")))
+        elif self.language == "swift":
+            dotted = keys.where(F.col("target").contains(".")).withColumn("head", F.regexp_extract("target", r"^([^.]*)", 1))
+            known = dotted.join(self.symbols.select(F.col("name").alias("head")), "head", "left_semi").join(globs.withColumnRenamed("source", "head"), ["file_path", "head"], "left_anti")
+            yield only(dotted.join(known.select("from_symbol", "file_path", "to_symbol"), ["from_symbol", "file_path", "to_symbol"], "left_anti").withColumn("external", F.replace("target", F.lit("."), F.lit("::"))))
+            yield only(keys.where(upper).join(globs, "file_path").withColumn("external", F.concat("source", F.lit("::"), "bare")))
+        elif self.language == "objc":
+            heads = self.imports.select("file_path", F.split("source", "/")[0].alias("head")).where("head <> '' and not head like '%.h'")
+            yield only(keys.where(upper).join(heads, "file_path").withColumn("external", F.concat("head", F.lit("::"), "bare")))
 
 
 @dataclass
@@ -215,38 +185,32 @@ class Resolution:
     unresolved: DataFrame
 
 
-TIERS = ("same_file", "import_exact", "import_glob", "suffix", "unique_name")
-
+def resolve(symbols: DataFrame, raw: DataFrame, imports: DataFrame, language: str = "python", tiers: tuple[str, ...] | None = None) -> Resolution:
+    """Resolves raw dependencies of a language by its cascade, or by those of its ``tiers`` that are given; what no tier
+    names may be built in or, by its file's imports, external; the rest is unresolved.
 
-def resolve(symbols: DataFrame, raw: DataFrame, imports: DataFrame, language: str = "python", tiers: tuple[str, ...] = TIERS) -> Resolution:
-    """Resolves raw dependencies of a language. The first tier that names exactly one symbol wins; then builtins, then
-    imports from outside; the rest is unresolved. Every tier is a left join with a table that has one row for a key, so a
-    hot target name meets one row and rows never multiply."""
+    Proposals are made once for each distinct (source, file, target), and all tiers' are settled by one aggregation, so
+    that neither a hot name nor a file with many imports multiplies rows."""
     source = symbols.select(F.col("qualified_name").alias("from_symbol"), F.col("id").alias("from_id"))
-    rows = raw.withColumn("bare", bare(F.col("to_symbol"))).join(source, "from_symbol", "left")
-    exact, globs = import_bindings(symbols, imports), glob_bindings(symbols, imports)
-    if language in TYPE_PATHS:
-        exact = exact.unionByName(type_path_bindings(symbols, imports, language)).groupBy("file_path", "bound").agg(F.min("id").alias("id"))
-        globs = globs.unionByName(package_bindings(symbols, imports, language)).groupBy("file_path", "bound").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-    table = {
-        "same_file": (unique_by(symbols, "file_path", "name"), {"file_path": "from_file", "name": "bare"}), "import_exact": (exact, {"file_path": "from_file", "bound": "bare"}),
-        "import_glob": (globs, {"file_path": "from_file", "bound": "bare"}), "suffix": (suffix_index(symbols.where(F.size(F.split("qualified_name", "::")) > 2)), {"suffix": "to_symbol"}), "unique_name": (unique_by(symbols, "name"), {"name": "bare"}),
-    }
-    for tier in tiers:
-        found, keys = table[tier]
-        found = found.select(*(F.col(k).alias(v) for k, v in keys.items()), F.col("id").alias(f"id_{tier}"))
-        rows = rows.join(found, list(keys.values()), "left")
-    to_id = F.coalesce(*(F.col(f"id_{t}") for t in tiers))
-    local = F.coalesce(*(F.when(F.col(f"id_{t}").isNotNull(), t) for t in tiers))
-    known = globs.join(imports.where("kind = 'glob'").select("file_path", "source"), "file_path", "left_semi").select(F.col("file_path").alias("source")).where(F.lit(False))
-    outside = external_bindings(imports, exact.select("file_path", "bound")).select(F.col("file_path").alias("from_file"), F.col("bound").alias("bare"), F.col("source").alias("external"))
-    glob = external_globs(imports, known).select(F.col("file_path").alias("from_file"), "glob")
-    rows = rows.join(outside, ["from_file", "bare"], "left").join(glob, "from_file", "left")
-    is_builtin = builtin(F.col("to_symbol"), F.lit(language))
-    tier = F.when(F.col("from_id").isNull(), "unresolved").when(local.isNotNull(), local).when(is_builtin, "builtin").when(F.col("external").isNotNull() | F.col("glob").isNotNull(), "external").otherwise("unresolved")
-    external = F.coalesce("external", F.concat("glob", F.lit("::"), "bare"))
-    name = F.when(tier == "builtin", F.concat(F.lit("<builtin>::"), F.trim("to_symbol"))).when(tier == "external", F.concat(F.lit("<external>::"), external))
-    tagged = rows.select("from_id", "from_symbol", "to_symbol", "from_file", "from_line", "kind", tier.alias("tier"), F.coalesce(to_id, symbol_id(name)).alias("to_id"), name.alias("synthetic"))
+    rows = raw.join(source, "from_symbol", "left")
+    scope = Scope.of(language, symbols, imports, rows.where("from_id is not null"))
+    wanted = CASCADES[language] if tiers is None else tiers
+    best = None
+    for k, tier in enumerate(wanted):
+        made = scope.propose(tier).select(*KEY, F.struct(F.lit(k).alias("k"), F.col("order"), F.col("id"), F.lit(tier.removesuffix("_full")).alias("tier")).alias("p"))
+        best = made if best is None else best.unionByName(made)
+    best = best.groupBy(*KEY).agg(F.min("p").alias("p"))
+    if language == "swift" and "suffix_only" in wanted:  # a dotted target that is no suffix is nothing else either
+        best = best.where((F.col("p.tier") == "suffix_only") | ~F.col("to_symbol").contains("."))
+    outside = None
+    for k, found in enumerate(scope.outside()):
+        made = found.select(*KEY, F.struct(F.lit(k).alias("k"), F.col("external")).alias("e"))
+        outside = made if outside is None else outside.unionByName(made)
+    rows = rows.join(best, list(KEY), "left")
+    rows = rows.join(outside.groupBy(*KEY).agg(F.min("e.k").alias("k"), F.min("e").alias("e")), list(KEY), "left") if outside is not None else rows.withColumn("e", F.lit(None).cast("struct<external: string>"))
+    tier = F.when(F.col("from_id").isNull(), "unresolved").when(F.col("p").isNotNull(), F.col("p.tier")).when(builtin(F.col("to_symbol"), F.lit(language)), "builtin").when(F.col("e").isNotNull(), "external").otherwise("unresolved")
+    name = F.when(tier == "builtin", F.concat(F.lit("<builtin>::"), F.trim("to_symbol"))).when(tier == "external", F.concat(F.lit("<external>::"), F.col("e.external")))
+    tagged = rows.select("from_id", "from_symbol", "to_symbol", "from_file", "from_line", "kind", tier.alias("tier"), F.when(tier != "unresolved", F.coalesce("p.id", symbol_id(name))).alias("to_id"), name.alias("synthetic"))
     resolved = tagged.where("tier <> 'unresolved'").select(F.col("from_id").alias("from_symbol"), F.col("to_id").alias("to_symbol"), "from_file", "from_line", "kind")
     return Resolution(tagged, resolved, synthetic_symbols(tagged.where("synthetic is not null")), tagged.where("tier = 'unresolved'").select("from_symbol", "to_symbol", "from_file", "from_line", "kind"))
 
@@ -260,9 +224,3 @@ def synthetic_symbols(tagged: DataFrame) -> DataFrame:
         symbol_id(F.col("qualified_name")).alias("id"), F.element_at(F.split("qualified_name", "::"), -1).alias("name"), "qualified_name", "kind", path.alias("file_path"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("public").alias("visibility"),
         F.lit(None).cast("string").alias("signature"), F.regexp_extract(path, "<([a-z]+)>", 1).alias("source"),
     )
-
-
-def last_import(imports: DataFrame) -> DataFrame:
-    """Imports after later ones overwrote earlier ones that bind the same name in a file."""
-    order = Window.partitionBy("file_path", bound_name(F.col("source"), F.col("alias"))).orderBy(F.desc("line"), F.desc("source"))
-    return imports.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..graph import CodeGraph, symbol_id
-from ..operators import context, incremental, rank, resolve, search, traverse
+from ..operators import context, incremental, modules, rank, resolve, search, traverse
 from ..sources import files
 from ..streaming import watch
+from . import languages
 from .testgraph import event_graph, star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,8 +242,31 @@ register("language_detect", f"SELECT page_id, CASE WHEN lower(path) LIKE '%.rs'
 register("test_path_filter", f"SELECT page_id, path FROM {PATHS} WHERE page_id % 7 IN (1, 2)")(lambda spark, sf: paths(spark, sf).where(files.is_test_path(F.col("path"))))
 register("glob_filter", f"SELECT page_id, path FROM {PATHS} WHERE regexp_matches(path, '^.*\\.(rs|py)$')")(lambda spark, sf: paths(spark, sf).where(files.matches_any(F.col("path"), ("**/*.{rs,py}",))))
 register("scan_filter", f"SELECT page_id, path FROM {PATHS} WHERE page_id % 7 IN (0, 3, 4)")(lambda spark, sf: paths(spark, sf).where(files.should_scan(F.col("path"), files.Settings())))
-register("module_candidates", f"SELECT page_id, 'src/lib/util.cjs|src/lib/util.js|src/lib/util.jsx|src/lib/util.mjs|src/lib/util.ts|src/lib/util.tsx|src/lib/util/index.cjs|src/lib/util/index.js|src/lib/util/index.jsx|src/lib/util/index.mjs|src/lib/util/index.ts|src/lib/util/index.tsx' AS candidates FROM {PATHS}")(lambda spark, sf: paths(spark, sf).select("page_id", F.array_join(resolve.script_candidates(F.lit("src/app/main.ts"), F.lit("../lib/util")), "|").alias("candidates")))
-register("python_module_candidates", f"SELECT page_id, 'pkg/a/b/util.py|pkg/a/b/util/__init__.py' AS relative, 'a/b.py|a/b/__init__.py|pkg/a/b.py|pkg/a/b/__init__.py' AS absolute FROM {PATHS}")(lambda spark, sf: paths(spark, sf).select("page_id", F.array_join(resolve.python_candidates(F.lit("pkg/a/b/main.py"), F.lit("::util")), "|").alias("relative"), F.array_join(resolve.python_candidates(F.lit("pkg/x/main.py"), F.lit("a::b")), "|").alias("absolute")))
+
+#: Module texts that the urls' tails make: relative, absolute, with an extension, and by name.
+MODULES = f"(SELECT page_id, path, CASE page_id % 5 WHEN 0 THEN '../lib/u' || page_id WHEN 1 THEN './v' || page_id || '.ts' WHEN 2 THEN 'pkg' || page_id WHEN 3 THEN '/abs/w' || page_id ELSE '../../x/y' || page_id END AS module FROM {PATHS})"
+
+
+def module_texts(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("../lib/u"), n)).when(k == 1, F.concat(F.lit("./v"), n, F.lit(".ts"))).when(k == 2, F.concat(F.lit("pkg"), n)).when(k == 3, F.concat(F.lit("/abs/w"), n)).otherwise(F.concat(F.lit("../../x/y"), n))
+    return paths(spark, sf).withColumn("module", text)
+
+
+SCRIPT_SQL = rf"""WITH m AS (SELECT page_id, module, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS folder FROM {MODULES}),
+up AS (SELECT *, length(regexp_extract(module, '^((\.\./)*)', 1)) // 3 AS ups, regexp_replace(module, '^(\./|(\.\./)+|/)', '') AS rest, list_filter(string_split(folder, '/'), lambda x: x <> '') AS f FROM m),
+base AS (SELECT page_id, module, array_to_string(list_concat(CASE WHEN module LIKE '/%' THEN [] ELSE f[1:greatest(len(f) - ups, 0)] END, [rest]), '/') AS b FROM up)
+SELECT page_id, CASE WHEN module LIKE 'pkg%' THEN '' WHEN b LIKE '%.ts' THEN b ELSE array_to_string(list_sort([b || x FOR x IN ['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs']]), '|') END AS candidates FROM base"""
+register("module_candidates", SCRIPT_SQL)(lambda spark, sf: module_texts(spark, sf).select("page_id", F.array_join(modules.script_candidates(F.col("path"), F.col("module")), "|").alias("candidates")))
+PYTHON_SQL = rf"""WITH m AS (SELECT page_id, page_id % 4 AS level, 'a' || page_id AS name, list_filter(string_split(regexp_extract(path, '^(.*/)?[^/]*$', 1), '/'), lambda x: x <> '') AS f FROM {PATHS}),
+bases AS (SELECT page_id, CASE WHEN level = 0 THEN list_distinct([CASE WHEN len(f) > 0 THEN f[1] || '/' ELSE '' END || name, name]) ELSE [array_to_string(list_concat(f[1:greatest(len(f) - level + 1, 0)], [name]), '/')] END AS b FROM m)
+SELECT page_id, array_to_string(list_sort(list_concat([x || '.py' FOR x IN b], [x || '/__init__.py' FOR x IN b])), '|') AS candidates FROM bases"""
+register("python_module_candidates", PYTHON_SQL)(
+    lambda spark, sf: paths(spark, sf).select("page_id", F.array_join(modules.python_candidates(F.col("path"), F.concat(F.repeat(F.lit("::"), (F.col("page_id") % 4).cast("int")), F.lit("a"), F.col("page_id").cast("string"))), "|").alias("candidates"))
+)
+INCLUDE_SQL = f"""WITH m AS (SELECT page_id, 'h' || page_id AS name, regexp_replace(regexp_extract(path, '^(.*/)?[^/]*$', 1), '/+', '/', 'g') AS folder FROM {PATHS})
+SELECT page_id, array_to_string(list_sort(list_distinct([folder || name || '.c', folder || name || '.h', name || '.c', name || '.h'])), '|') AS candidates FROM m"""
+register("include_candidates", INCLUDE_SQL)(lambda spark, sf: paths(spark, sf).select("page_id", F.array_join(modules.include_candidates(F.col("path"), F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".h")), "c"), "|").alias("candidates")))
 
 # resolver: edges of orders and parties blurred to names, and imports that name every third target
 
@@ -273,14 +297,16 @@ on_star("resolve_unique_name", RAW + " SELECT from_symbol, to_symbol, from_line,
 on_star("resolve_classify", RAW + " SELECT tier, count(*) AS n FROM tagged GROUP BY 1")(lambda g: resolution(g).tagged.groupBy("tier").agg(F.count(F.lit(1)).alias("n")))
 on_star("resolve_unresolved", RAW + " SELECT from_symbol, to_symbol, from_file, from_line, kind FROM tagged WHERE tier = 'unresolved'")(lambda g: resolution(g).unresolved)
 on_star("resolve_synthetic", RAW + " SELECT sha256('<builtin>::len') AS id, 'len' AS name, '<builtin>::len' AS qualified_name, CASE min(kind) WHEN 'call' THEN 'function' WHEN 'inherit' THEN 'class' WHEN 'implement' THEN 'interface' ELSE 'type_alias' END AS kind, 'builtin' AS source FROM tagged WHERE tier = 'builtin'")(lambda g: resolution(g).non_local.select("id", "name", "qualified_name", "kind", "source"))
-on_star("resolve_import_glob", ", g AS (SELECT 'app/main' AS file_path, s.name AS bound, s.id FROM symbols s WHERE s.file_path IN ('catalog/Brand#1', 'catalog/Brand#2')) SELECT file_path, bound, min(id) AS id FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) = 1")(lambda g: resolve.glob_bindings(g.symbols, g.symbols.sparkSession.createDataFrame([(f"catalog/Brand#{k}", None, "app/main", k, "glob") for k in (1, 2)], "source string, alias string, file_path string, line int, kind string")))
+on_star("resolve_import_glob", ", g AS (SELECT 'app/main' AS file_path, s.name AS bound, s.id FROM symbols s WHERE s.file_path IN ('catalog/Brand#1', 'catalog/Brand#2')) SELECT file_path, bound, min(id) AS id FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) = 1")(lambda g: modules.glob_bindings(modules.unique_by(g.symbols, "file_path", "name").withColumnRenamed("file_path", "module"), g.symbols.sparkSession.createDataFrame([("app/main", f"catalog/Brand#{k}") for k in (1, 2)], "file_path string, module string"), g.symbols.select(F.lit("app/main").alias("file_path"), F.col("name").alias("bound"))))
 on_star("resolve_suffix", ", parts AS (SELECT id, string_split(qualified_name, '::') AS p FROM symbols), suf AS (SELECT unnest([p[2], p[1] || '::' || p[2]]) AS suffix, id FROM parts) SELECT suffix, min(id) AS id FROM suf GROUP BY 1 HAVING count(*) = 1")(lambda g: resolve.suffix_index(g.symbols))
+for _language in languages.EXTENSIONS:
+    register(f"resolve_{_language}", languages.language_sql(_language))(languages.language_query(_language))
 on_star("orphan_externals", " SELECT 'orphan' AS name")(lambda g: incremental.orphans(replace(g, symbols=g.symbols.unionByName(g.symbols.where("qualified_name in ('geo::region/0', 'geo::region/1')").withColumn("source", F.lit("external")).withColumn("name", F.when(F.col("line") == 0, "orphan").otherwise("kept")).withColumn("id", F.when(F.col("line") == 0, symbol_id(F.lit("none"))).otherwise(F.col("id")))))).select("name"))
 
 
 @register("reexport_closure", "SELECT * FROM (VALUES ('a', 'x', 'b', 'y'), ('a', 'x', 'c', 'z'), ('b', 'y', 'c', 'z'), ('c', 'z', 'b', 'y'), ('b', 'y', 'b', 'y'), ('c', 'z', 'c', 'z')) v(module, name, target_module, target_name)")
 def reexport_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.reexports(spark.createDataFrame([("a", "x", "b", "y"), ("b", "y", "c", "z"), ("c", "z", "b", "y")], "module string, name string, target_module string, target_name string"))
+    return modules.reexports(spark.createDataFrame([("a", "x", "b", "y"), ("b", "y", "c", "z"), ("c", "z", "b", "y")], "module string, name string, target_module string, target_name string"))
 
 
 # snapshots

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph, symbol_id
+from ..storage import cut
+
+_projected: dict[tuple[str, str, str], CodeGraph] = {}
+
+
+def _once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], CodeGraph]) -> CodeGraph:
+    """The graph as tables in the shared folder, projected once in an application: symbols by id, edges by their source,
+    so that a walk prunes to the row groups of its frontier."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _projected:
+        g = make()
+        _projected[key] = CodeGraph(cut(g.symbols.repartitionByRange("id").sortWithinPartitions("id")), cut(g.dependencies.repartitionByRange("from_symbol").sortWithinPartitions("from_symbol")))
+    return _projected[key]
 
 
 def _nodes(t: DataFrame, prefix: str, key: str, name: Column, kind: str, file_path: Column, visibility: Column | str) -> DataFrame:
@@ -18,6 +33,14 @@ def _nodes(t: DataFrame, prefix: str, key: str, name: Column, kind: str, file_pa
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    return _once(spark, "star", sf_dir, lambda: _star_graph(spark, sf_dir))
+
+
+def event_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    return _once(spark, "events", sf_dir, lambda: _event_graph(spark, sf_dir))
+
+
+def _star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """Orders call customers and parts, parts use suppliers, both parties implement nations, nations inherit regions."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     c, path = F.col, lambda head, key: F.concat(F.lit(head), F.col(key).cast("string"))
@@ -51,7 +74,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return CodeGraph(symbols.drop("_key"), dependencies)
 
 
-def event_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+def _event_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """A cyclic graph: event types, and an edge for each type that follows another for some user."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     after = Window.partitionBy("user_id").orderBy("ts", "event_id")

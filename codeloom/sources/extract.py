@@ -73,7 +73,7 @@ def parse_python(path: str, text: str) -> Parsed:
                     if a.name == "*":
                         out.imported(module, child.lineno, "glob")
                     else:
-                        out.imported(f"{module}::{a.name}" if module.strip(":") else module + a.name, child.lineno, "alias" if a.asname else "named", a.asname)
+                        out.imported(f"{module}::{a.name}", child.lineno, "alias" if a.asname else "named", a.asname)
             else:
                 if isinstance(child, ast.Call):
                     out.edge(source, name_of(child.func), child.lineno, "call")

@@ -1,5 +1,3 @@
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,5 +137,20 @@ def test_debounce_stream(spark, tmp_path):
     assert sorted(seen) == [("a", "Added"), ("a", "Deleted")]
 
 
-def test_ids_are_stable():
-    assert hashlib.sha256(b"f.py::a").hexdigest() == hashlib.sha256(b"f.py::a").hexdigest()
+def test_imports_resolve_across_files(spark, tmp_path):
+    """The same name twice in a project: the import decides. Barrels pass names on, and a cycle of them ends."""
+    (tmp_path / "src" / "deep").mkdir(parents=True)
+    write = lambda name, text: (tmp_path / "src" / name).write_text(text)
+    write("shared.ts", "export function formatName(x: string) {\n  return x;\n}\n")
+    write("other.ts", "export function formatName(x: string) {\n  return x;\n}\nexport function twice(x: string) {\n  return x;\n}\n")
+    write("barrel.ts", "export { formatName as shown } from './shared';\nexport * from './loop';\n")
+    write("loop.ts", "export * from './barrel';\nexport { twice } from './other';\n")
+    write("service.ts", "import { formatName as f } from './shared';\nimport { shown } from './barrel';\nimport { twice } from './barrel';\nexport function greet(x: string) {\n  f(x);\n  shown(x);\n  return twice(x);\n}\n")
+    write("a.py", "def helper(x):\n    return x\n")
+    write("b.py", "def helper(x):\n    return x\n")
+    write("deep/c.py", "from ..a import helper\nfrom . import d\n\ndef run(x):\n    return helper(x)\n")
+    p = Project.scan(spark, str(tmp_path))
+    names = p.graph.symbols.select(F.col("id").alias("to_symbol"), F.col("qualified_name").alias("to"))
+    found = {(r["from"], r["to"]) for r in p.graph.dependencies.join(names, "to_symbol").join(p.graph.symbols.select(F.col("id").alias("from_symbol"), F.col("qualified_name").alias("from")), "from_symbol").collect()}
+    assert found == {("src/service.ts::greet", "src/shared.ts::formatName"), ("src/service.ts::greet", "src/other.ts::twice"), ("src/deep/c.py::run", "src/a.py::helper")}
+    assert p.graph.symbols.where("source <> 'local'").isEmpty()
