@@ -18,7 +18,7 @@ SPACE, TERMS = 1 << 24, 1536
 LEAST_GAIN = 5.0
 #: Frequent terms that are tried in pairs, with each other and with those that tell alone, and the least log likelihood
 #: ratio of a pair over what its two terms tell; by chance no pair of millions reaches it.
-PAIRED, LEAST_PAIR = 2048, 20.0
+PAIRED, LEAST_PAIR = 1024, 30.0
 #: Labelled documents that training reads at most, in order of a hash of their ids, and terms of theirs.
 LABELLED, ENTRIES = 12_000, 1 << 24
 #: A word stands for itself and, where it is longer, for its first letters.
@@ -81,25 +81,28 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], term: np.ndarray, dim:
 
 
 def telling_pairs(held: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which columns of ``held`` (documents x terms, presence) stand in a pair that tells about the label what its two
-    terms don't tell alone: documents with both have label 1 unlike the sum of both terms' log odds. Pairs are tried a
-    block of rows of the pair matrix at a time, as products of the presence matrix."""
-    n, pos = held.sum(0), label @ held
-    share = lambda p, n, prior: (p + prior) / (n + 1)
+    """Which columns of ``held`` (documents x terms, presence in bytes) stand in a pair that tells about the label what its
+    two terms don't tell alone: documents with both have label 1 unlike the sum of both terms' log odds. The counts of all
+    pairs are products of the presence matrix, a slice of documents at a time."""
+    terms = held.shape[1]
+    both, both_pos = np.zeros((terms, terms), np.float32), np.zeros((terms, terms), np.float32)
+    for at in range(0, len(held), 1024):
+        part, marked = held[at : at + 1024].astype(np.float32), held[at : at + 1024][label[at : at + 1024] > 0].astype(np.float32)
+        both += part.T @ part
+        both_pos += marked.T @ marked
+    n, pos = both.diagonal().copy(), both_pos.diagonal().copy()
     prior = min(max(float(label.mean()), 1e-3), 1 - 1e-3) if len(label) else 0.5
     odds = lambda s: np.log(s / (1 - s))
-    own = odds(share(pos, n, prior))
-    out = np.zeros(held.shape[1], bool)
-    for at in range(0, held.shape[1], 256):
-        part = held[:, at : at + 256]
-        both, both_pos = part.T @ held, (part * label[:, None]).T @ held
-        due = 1 / (1 + np.exp(-(own[at : at + 256, None] + own[None, :] - odds(prior)).clip(-6.9, 6.9)))
-        neg = both - both_pos
-        gain = both_pos * np.log(np.maximum(both_pos, 1e-9) / np.maximum(both * due, 1e-9)) + neg * np.log(np.maximum(neg, 1e-9) / np.maximum(both * (1 - due), 1e-9))
+    own = odds((pos + prior) / (n + 1))
+    out = np.zeros(terms, bool)
+    for at in range(0, terms, 256):
+        some = slice(at, at + 256)
+        due = 1 / (1 + np.exp(-(own[some, None] + own[None, :] - odds(prior)).clip(-6.9, 6.9)))
+        neg = both[some] - both_pos[some]
+        gain = both_pos[some] * np.log(np.maximum(both_pos[some], 1e-9) / np.maximum(both[some] * due, 1e-9)) + neg * np.log(np.maximum(neg, 1e-9) / np.maximum(both[some] * (1 - due), 1e-9))
         # Terms that stand in the same documents are one to the label.
-        apart = both < 0.9 * np.minimum(n[at : at + 256, None], n[None, :])
-        found = (gain >= LEAST_PAIR) & apart
-        out[at : at + 256] |= found.any(1)
+        found = (gain >= LEAST_PAIR) & (both[some] < 0.9 * np.minimum(n[some, None], n[None, :]))
+        out[some] |= found.any(1)
         out |= found.any(0)
     return out
 
@@ -149,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, h
     place = np.searchsorted(tried, lists.flatten().to_numpy())
     count = got["n"].combine_chunks().flatten().to_numpy()
     size_of = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, int)
-    presence = np.zeros((len(label_of), len(tried)), np.float32)
+    presence = np.zeros((len(label_of), len(tried)), np.uint8)
     presence[np.repeat(np.arange(len(label_of)), size_of), place] = 1
     kept = np.isin(tried, alone) | telling_pairs(presence, label_of)
     new = np.cumsum(kept) - 1
