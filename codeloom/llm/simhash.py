@@ -14,8 +14,8 @@ from .common import cut, fresh, per_batch, words
 DENSE = 24
 
 #: Bands and their least hashes, the members of a bucket that one forest takes, and those of a part of a fuller bucket.
-#: A pair at a similarity of 0.8 shares no band with probability (1 - 0.8^5)^40, one in ten millions; above far less.
-BANDS, ROWS, BUCKET = 40, 5, 64
+#: A pair at a similarity of 0.8 shares no band with probability (1 - 0.8^5)^32, three in a million; above far less.
+BANDS, ROWS, BUCKET = 32, 5, 64
 PARTS = 8  # times BUCKET
 
 
@@ -359,7 +359,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     members, and parts of fuller ones, begin with a spanning forest by sketches of their least hashes. Of buckets that
     still hold several components, every member then meets the one with the most links, next each member its likeliest
     partner in another component, and last all pairs of different components that the sketches allow (65 % agreement of
-    200 bytes at 0.8, over five standard deviations below what is expected) are verified, so that neither a bucket's size
+    160 bytes, at 0.8 nearly five standard deviations below what is expected) are verified, so that neither a bucket's size
     nor a forest's choice takes a pair away. Fingerprints that are equal or connected make buckets as well.
     Null and wordless texts are alike; fewer words than ``shingle`` are one shingle. Repeated rows are returned each, and
     rows that share a doc_id but not a text are each judged by their own.
