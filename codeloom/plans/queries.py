@@ -156,8 +156,10 @@ on_star("nearest_symbol_to_line", " SELECT id, name, line FROM symbols WHERE fil
 TEST = "(regexp_matches(lower(file_path || ' ' || qualified_name), '/tests/|/test/|__tests__|/fixtures/|/mocks/|\\.spec\\.|\\.test\\.|_test\\.') OR starts_with(name, 'test_') OR ends_with(name, '_test'))"
 EXPORTED = "visibility IN ('public', 'protected')"
 PRINT = "lower(file_path || ' ' || name || ' ' || qualified_name)"
-HIGH = f"(regexp_matches({PRINT}, '{'|'.join(ev.HIGH_RISK_TERMS)}') OR regexp_matches(name, '^({'|'.join(ev.HANDLER_PREFIXES)})') OR (starts_with(name, 'use') AND ends_with(name, 'Store')))"
-MEDIUM = f"regexp_matches({PRINT}, '{'|'.join(ev.MEDIUM_RISK_TERMS)}')"
+WIRING = f"regexp_matches({PRINT}, 'handler|route|registry|register|command|event|listener|subscriber|plugin|hook|store|pinia|dispatch|emitter|bus')"
+CALLBACK, HOOK = "regexp_matches(name, '^(handle_|on_|register_|emit_|listen_|dispatch_)')", "(starts_with(name, 'use') AND ends_with(name, 'Store'))"
+HIGH = f"({WIRING} OR {CALLBACK} OR {HOOK})"
+MEDIUM = f"regexp_matches({PRINT}, 'factory|provider|adapter|bridge|service|worker')"
 RULES = DEGREES + f""", judged AS (SELECT s.*, incoming, outgoing, {EXPORTED} AS exported, {TEST} AS is_test,
   CASE WHEN source <> 'local' THEN 'external_dependency' WHEN {TEST} THEN 'test_only' WHEN kind IN ('class', 'struct', 'enum', 'interface', 'trait', 'type_alias', 'module') AND {EXPORTED} THEN 'public_type_or_module' WHEN {EXPORTED} THEN 'public_api' ELSE 'internal_implementation' END AS role,
   CASE WHEN source <> 'local' OR {TEST} THEN 'low' WHEN {HIGH} THEN 'high' WHEN {EXPORTED} OR {MEDIUM} THEN 'medium' ELSE 'low' END AS risk FROM symbols s JOIN degrees d ON d.id = s.id),
@@ -171,14 +173,23 @@ def judged(g: CodeGraph) -> DataFrame:
 on_star("exported_flag", f" SELECT id, {EXPORTED} AS exported FROM symbols")(lambda g: g.symbols.select("id", ev.is_exported().alias("exported")))
 on_star("symbol_role", RULES + " SELECT id, role FROM judged")(lambda g: g.symbols.select("id", ev.symbol_role().alias("role")))
 on_star("dynamic_risk", RULES + " SELECT id, risk FROM judged")(lambda g: g.symbols.select("id", ev.dynamic_risk().alias("risk")))
-on_star("risk_factors", RULES + f" SELECT id, CASE WHEN {HIGH} AND NOT regexp_matches({PRINT}, '{'|'.join(ev.HIGH_RISK_TERMS)}') THEN 1 ELSE 0 END + CASE WHEN regexp_matches({PRINT}, '{'|'.join(ev.HIGH_RISK_TERMS)}') THEN 1 ELSE 0 END + CASE WHEN role = 'public_api' THEN 1 ELSE 0 END + CASE WHEN {MEDIUM} THEN 1 ELSE 0 END + CASE WHEN NOT exported AND NOT {HIGH} AND NOT {MEDIUM} THEN 1 ELSE 0 END AS factors FROM judged")(lambda g: g.symbols.select("id", F.size(ev.risk_factors()).alias("factors")))
+FACTORS = f"CASE WHEN source <> 'local' THEN 'defined outside the project' WHEN is_test THEN 'part of the tests' WHEN NOT {HIGH} AND NOT {MEDIUM} AND NOT exported THEN 'nothing hints at dynamic use' ELSE concat_ws('; ', CASE WHEN {WIRING} THEN 'named like wiring, such as routes, events or stores' END, CASE WHEN {CALLBACK} THEN 'prefixed like a callback' END, CASE WHEN {HOOK} THEN 'named like a store''s hook' END, CASE WHEN role = 'public_api' THEN 'open to other packages' END, CASE WHEN {MEDIUM} THEN 'named like a service or adapter' END) END"
+on_star("risk_factors", RULES + f" SELECT id, {FACTORS} AS factors FROM judged")(lambda g: g.symbols.select("id", F.array_join(ev.risk_factors(), "; ").alias("factors")))
 on_star("confidence", RULES + " SELECT id, round(greatest(0.15, least(0.92, 0.58 + CASE WHEN incoming = 0 THEN 0.04 ELSE 0.12 END + CASE WHEN outgoing > 0 THEN 0.02 ELSE 0 END + CASE WHEN exported THEN -0.06 ELSE 0.06 END + CASE role WHEN 'internal_implementation' THEN 0.08 WHEN 'test_only' THEN 0.12 WHEN 'public_api' THEN -0.08 WHEN 'public_type_or_module' THEN -0.04 ELSE -0.12 END - CASE risk WHEN 'high' THEN 0.24 WHEN 'medium' THEN 0.12 ELSE 0 END))::DOUBLE, 6) AS confidence FROM judged")(lambda g: judged(g).select("id", F.round(ev.confidence(F.col("incoming"), F.col("outgoing")), 6).alias("confidence")))
 on_star("assessment", RULES + " SELECT id, assessment FROM scored")(lambda g: judged(g).select("id", ev.assessment(F.col("incoming")).alias("assessment")))
 on_star("dead_code_candidates", RULES + " SELECT id, qualified_name FROM scored WHERE assessment = 'unused_candidate'")(lambda g: judged(g).where(ev.assessment(F.col("incoming")) == "unused_candidate").select("id", "qualified_name"))
-on_star("verification_hints", RULES + " SELECT id, 2 + (risk IN ('high', 'medium'))::INT + exported::INT + (role = 'test_only')::INT + (outgoing > 0)::INT AS hints, CASE WHEN incoming = 0 THEN 'candidate' ELSE 'callers' END AS first FROM judged")(lambda g: judged(g).select("id", F.size(ev.verification_hints(F.col("incoming"), F.col("outgoing"))).alias("hints"), F.when(ev.verification_hints(F.col("incoming"), F.col("outgoing"))[0].startswith("No static"), "candidate").otherwise("callers").alias("first")))
-on_star("verification_plan", RULES + " SELECT id, 'search_text_references' || CASE WHEN risk <> 'low' THEN ',inspect_dynamic_wiring' ELSE '' END || CASE WHEN incoming + outgoing > 0 THEN ',read_structural_neighbors' ELSE '' END || ',compile_and_test' AS plan FROM judged")(lambda g: judged(g).select("id", F.array_join(ev.verification_plan(F.col("degree") > 0), ",").alias("plan")))
-on_star("search_terms", " SELECT id, CASE WHEN name = qualified_name THEN name ELSE name || '|' || qualified_name END AS terms FROM symbols")(lambda g: g.symbols.select("id", F.array_join(ev.search_terms(), "|").alias("terms")))
-on_star("impact_summary", DEGREES + " SELECT id, CASE WHEN incoming > 10 OR outgoing > 15 THEN 'high' WHEN incoming <= 3 AND outgoing <= 5 THEN 'low' ELSE 'medium' END AS risk, CASE WHEN incoming <= 3 AND outgoing <= 5 THEN 'direct impact is limited' ELSE concat_ws(';', CASE WHEN incoming > 10 THEN 'direct callers exceed 10' WHEN incoming > 3 THEN 'direct callers exceed 3' END, CASE WHEN outgoing > 15 THEN 'direct callees exceed 15' WHEN outgoing > 5 THEN 'direct callees exceed 5' END) END AS reasons FROM degrees")(lambda g: rank.degrees(g.symbols, g.dependencies).select("id", ev.impact_risk(F.col("incoming"), F.col("outgoing"), F.lit(1)).alias("risk"), F.array_join(ev.impact_reasons(F.col("incoming"), F.col("outgoing"), F.lit(1)), ";").alias("reasons")))
+HINTS = f"concat_ws(' ', CASE WHEN incoming = 0 THEN 'Search the text for the name, as no edge leads here.' ELSE 'Read the callers.' END, CASE WHEN risk <> 'low' THEN 'Search routes, registrations and events for the name.' END, CASE WHEN {HOOK} THEN 'Ask how the framework finds its stores.' END, CASE WHEN exported THEN 'Search other packages that may import it.' END, CASE WHEN role = 'test_only' THEN 'Search fixtures and test harnesses.' END, CASE WHEN outgoing > 0 THEN 'Read the callees that a change passes on to.' END, 'Build, and run the tests nearby.')"
+on_star("verification_hints", RULES + f" SELECT id, {HINTS} AS hints FROM judged")(lambda g: judged(g).select("id", F.array_join(ev.verification_hints(F.col("incoming"), F.col("outgoing")), " ").alias("hints")))
+STEPS = f"""['search_text_references: names in strings and templates leave no edge: ' || CASE WHEN name = qualified_name THEN name ELSE name || ',' || qualified_name END] || CASE WHEN risk <> 'low' THEN ['inspect_dynamic_wiring: ' || {FACTORS} || ': ' || name] ELSE [] END
+  || CASE WHEN incoming + outgoing > 0 THEN ['read_structural_neighbors: callers and callees share its contract: ' || qualified_name] ELSE [] END || ['compile_and_test: a build finds what edges can''t: ']"""
+on_star("verification_plan", RULES + f" SELECT id, array_to_string({STEPS}, '|') AS plan FROM judged")(
+    lambda g: judged(g).select("id", F.array_join(F.transform(ev.verification_steps(F.col("degree") > 0), lambda x: F.concat(x["step"], F.lit(": "), x["reason"], F.lit(": "), F.array_join(x["queries"], ","))), "|").alias("plan"))
+)
+TERMS_SQL = ", t AS (SELECT id, name, qualified_name, CASE line % 3 WHEN 0 THEN '(&self, ' || name || ': Type' || line || ') -> Out' WHEN 1 THEN 'fn (Arg' || line || ')' END AS first, 'handle_' || name AS handled FROM symbols) SELECT id, array_to_string(list_filter(['handle_' || name, qualified_name, CASE WHEN first LIKE '(%' THEN name WHEN first LIKE 'fn%' THEN 'Arg' || regexp_extract(first, '[0-9]+') END, CASE WHEN first LIKE '(%' THEN NULL ELSE name END], lambda x: x IS NOT NULL), '|') AS terms FROM t"
+on_star("search_terms", TERMS_SQL)(
+    lambda g: g.symbols.withColumn("signature", F.when(F.col("line") % 3 == 0, F.concat(F.lit("(&self, "), "name", F.lit(": Type"), F.col("line").cast("string"), F.lit(") -> Out"))).when(F.col("line") % 3 == 1, F.concat(F.lit("fn (Arg"), F.col("line").cast("string"), F.lit(")")))).withColumn("name", F.concat(F.lit("handle_"), "name")).select("id", F.array_join(ev.search_terms(), "|").alias("terms"))
+)
+on_star("impact_summary", DEGREES + " SELECT id, CASE WHEN incoming > 10 OR outgoing > 15 THEN 'high' WHEN incoming <= 3 AND outgoing <= 5 THEN 'low' ELSE 'medium' END AS risk, CASE WHEN incoming <= 3 AND outgoing <= 5 THEN 'few neighbours' ELSE concat_ws(';', CASE WHEN incoming > 10 THEN 'callers > 10' WHEN incoming > 3 THEN 'callers > 3' END, CASE WHEN outgoing > 15 THEN 'callees > 15' WHEN outgoing > 5 THEN 'callees > 5' END) END AS reasons FROM degrees")(lambda g: rank.degrees(g.symbols, g.dependencies).select("id", ev.impact_risk(F.col("incoming"), F.col("outgoing"), F.lit(1)).alias("risk"), F.array_join(ev.impact_reasons(F.col("incoming"), F.col("outgoing"), F.lit(1)), ";").alias("reasons")))
 on_star("overview_groups", " SELECT split_part(file_path, '/', 1) AS group_key, count(*) AS n FROM symbols GROUP BY 1")(lambda g: g.symbols.groupBy(ev.group_key().alias("group_key")).agg(F.count(F.lit(1)).alias("n")))
 
 # search
