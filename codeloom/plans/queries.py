@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
@@ -214,30 +214,103 @@ on_star("question_anchor", " SELECT id, name, qualified_name FROM symbols WHERE
 register("token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")(lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", ev.token_estimate(F.col("text")).alias("tokens")))
 register("snippet_window", "SELECT doc_id, nullif(array_to_string(list_slice(string_split(text, chr(10)), 2, 11), chr(10)), '') AS snippet FROM documents")(lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", files.snippet(F.col("text"), F.lit(3)).alias("snippet")))
 _any = lambda q, terms: "(" + " OR ".join(f"contains({q}, '{t}')" for t in terms) + ")"
-_c = context
+
+#: The rules' terms once more, as the SQL takes them: no list of the implementation is used here.
+WHY = ("why", "failure", "error", "panic", "race", "为什么", "失败", "报错", "时序", "竞态", "升级")
+CHANGES = ("impact", "refactor", "risk", "rename", "change", "modify", "影响", "重构", "风险", "改", "修改")
+THROUGH = ("call chain", "path", "delegate", "through", "from", "to", "调用链", "路径", "链路", "从", "到")
+WATCHES = ("watcher", "refresh", "updated", "reindex", "rescan", "刷新", "更新", "重扫", "索引")
+FINDS = ("where", "who calls", "defined", "which file", "哪里", "谁调用", "在哪", "哪些文件")
+STATES = ("queued", "running", "waitingapproval", "waiting approval", "blocked", "stuck", "排队", "队列", "运行", "卡住", "停留", "状态")
+MOVES = ("after", "still", "enter", "into", "transition", "flow", "resume", "dispatch", "through", "之后", "通过后", "仍然", "进入", "流转", "恢复", "调度")
+RUNS = ("approval", "approve", "resume", "dispatch", "scheduler", "worker", "claim", "queue", "admit", "execution", "turn", "审批", "通过", "恢复", "调度", "执行")
 SCENES_SQL = f"""WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations), s AS (SELECT conv_id, turn, [
-  {{'p': -(1 + CASE WHEN {_any('q', _c.LOCATE)} THEN 2 ELSE 0 END), 'k': 0, 's': 'locate'}}, {{'p': -(CASE WHEN {_any('q', _c.BEHAVIOR)} THEN 3 ELSE 0 END), 'k': 1, 's': 'behavior'}}, {{'p': -(CASE WHEN {_any('q', _c.IMPACT)} THEN 3 ELSE 0 END), 'k': 2, 's': 'impact'}},
-  {{'p': -(CASE WHEN {_any('q', _c.STATUS)} AND {_any('q', _c.TRANSITION)} THEN 4 ELSE 0 END + CASE WHEN {_any('q', _c.SCHEDULING)} AND {_any('q', _c.TRANSITION)} THEN 3 ELSE 0 END + CASE WHEN {_any('q', _c.APPROVAL_WORDS)} AND {_any('q', _c.QUEUE_WORDS)} THEN 2 ELSE 0 END), 'k': 3, 's': 'workflow'}},
-  {{'p': -(CASE WHEN {_any('q', _c.CHAIN)} THEN 3 ELSE 0 END), 'k': 4, 's': 'call_chain'}}, {{'p': -(CASE WHEN {_any('q', _c.WATCHER)} THEN 3 ELSE 0 END), 'k': 5, 's': 'watcher'}}] AS l FROM q), r AS (SELECT conv_id, turn, list_sort(l) AS l FROM s)
+  {{'p': -(1 + CASE WHEN {_any('q', FINDS)} THEN 2 ELSE 0 END), 'k': 0, 's': 'locate'}}, {{'p': -(CASE WHEN {_any('q', WHY)} THEN 3 ELSE 0 END), 'k': 1, 's': 'behavior'}}, {{'p': -(CASE WHEN {_any('q', CHANGES)} THEN 3 ELSE 0 END), 'k': 2, 's': 'impact'}},
+  {{'p': -(CASE WHEN {_any('q', STATES)} AND {_any('q', MOVES)} THEN 4 ELSE 0 END + CASE WHEN {_any('q', RUNS)} AND {_any('q', MOVES)} THEN 3 ELSE 0 END + CASE WHEN {_any('q', ('approval', '审批'))} AND {_any('q', ('queue', '排队', '队列'))} THEN 2 ELSE 0 END), 'k': 3, 's': 'workflow'}},
+  {{'p': -(CASE WHEN {_any('q', THROUGH)} THEN 3 ELSE 0 END), 'k': 4, 's': 'call_chain'}}, {{'p': -(CASE WHEN {_any('q', WATCHES)} THEN 3 ELSE 0 END), 'k': 5, 's': 'watcher'}}] AS l FROM q), r AS (SELECT conv_id, turn, list_sort(l) AS l FROM s)
 SELECT conv_id, turn, l[1].s AS scene, round(greatest(0.4, least(0.9, 0.56 + (l[2].p - l[1].p) * 0.06))::DOUBLE, 6) AS confidence FROM r"""
 register("scene_inference", SCENES_SQL)(lambda spark, sf: spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", context.infer_scene(F.col("text")).alias("x")).select("conv_id", "turn", "x.scene", F.round("x.confidence", 6).alias("confidence")))
-register("workflow_question_score", f"WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations) SELECT conv_id, turn, CASE WHEN {_any('q', _c.STATUS)} AND {_any('q', _c.TRANSITION)} THEN 4 ELSE 0 END + CASE WHEN {_any('q', _c.SCHEDULING)} AND {_any('q', _c.TRANSITION)} THEN 3 ELSE 0 END + CASE WHEN {_any('q', _c.APPROVAL_WORDS)} AND {_any('q', _c.QUEUE_WORDS)} THEN 2 ELSE 0 END AS score FROM q")(lambda spark, sf: spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", context.workflow_score(F.lower("text")).alias("score")))
-QUEUE = f"""CASE WHEN lower(name) IN ('queue') THEN 8 ELSE 0 END + {' + '.join(f"CASE WHEN contains(lower(name), '{t}') THEN 6 ELSE 0 END + CASE WHEN lower(name) = '{t}' AND '{t}' <> 'queue' THEN 8 ELSE 0 END + CASE WHEN contains(lower(qualified_name), '{t}') THEN 3 ELSE 0 END + CASE WHEN contains(lower(file_path), '{t}') THEN 1 ELSE 0 END" for t in _c.PHASES[3].search)}"""
-on_star("workflow_phase_score", f", base AS (SELECT *, {QUEUE} AS terms, {_any('lower(name)', ('queue', 'queued', 'head'))} AS near, {_any('lower(name)', _c.PHASES[3].search)} OR {_any('lower(qualified_name)', _c.PHASES[3].search)} AS hit FROM symbols) SELECT id, terms + CASE WHEN kind IN ('function', 'method') THEN 3 ELSE -5 END + CASE WHEN {EXPORTED} THEN 1 ELSE 0 END - CASE WHEN {_any('lower(file_path)', _c.BOUNDARY_FILES)} OR contains(lower(qualified_name), 'router') THEN 6 ELSE 0 END + CASE WHEN {_any('lower(file_path)', _c.INTERNAL_FILES)} THEN 3 ELSE 0 END + CASE WHEN near THEN 4 ELSE 0 END - CASE WHEN hit OR near THEN 0 ELSE 8 END AS score FROM base")(lambda g: g.symbols.select("id", context.phase_score(context.PHASES[3]).alias("score")))
-
-
-@register("workflow_phase_pick", "SELECT * FROM (VALUES ('approval', 'a1', 'primary'), ('resume', 'r1', 'primary'), ('dispatch', 'd1', 'primary'), ('queue', 'q1', 'primary'), ('scheduler', 's1', 'primary'), ('approval', 'a2', 'support')) v(phase, id, role)")
-def workflow_phase_pick(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("a1", "approve_pending_approval", "store"), ("a2", "approval_resolve", "store"), ("r1", "resume_approved_execution", "flow"), ("d1", "dispatch_execution", "flow"), ("q1", "next_conflict_queue_head", "store"), ("s1", "admit", "scheduler")]
-    data = [(i, n, f"{p}.rs::{n}", "function", f"{p}.rs", k, "public", "local", 0) for k, (i, n, p) in enumerate(rows)]
-    symbols = spark.createDataFrame(data, "id string, name string, qualified_name string, kind string, file_path string, line int, visibility string, source string, depth int")
-    return context.pick_phases(symbols).select("phase", "id", "role")
+register("workflow_question_score", f"WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations) SELECT conv_id, turn, CASE WHEN {_any('q', STATES)} AND {_any('q', MOVES)} THEN 4 ELSE 0 END + CASE WHEN {_any('q', RUNS)} AND {_any('q', MOVES)} THEN 3 ELSE 0 END + CASE WHEN {_any('q', ('approval', '审批'))} AND {_any('q', ('queue', '排队', '队列'))} THEN 2 ELSE 0 END AS score FROM q")(lambda spark, sf: spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", context.workflow_score(F.lower("text")).alias("score")))
+#: The phases as SQL: search terms, priority terms, further rules over n (name), q (qualified name) and p (path), and
+#: what else makes a symbol belong.
+PHASE_SQL = {
+    "approval": (("approve_pending_approval", "approval_resolve", "approval", "approve"), ("approve_pending_approval", "approval_resolve"),
+                 "CASE WHEN contains(n, 'approve') OR contains(n, 'approval') THEN 4 ELSE 0 END + CASE WHEN contains(p, 'store') THEN 3 ELSE 0 END + CASE WHEN contains(p, 'runtime') THEN 2 ELSE 0 END - CASE WHEN contains(n, 'deny') THEN 3 ELSE 0 END", "false"),
+    "resume": (("resume_approved_execution", "resume", "approved"), ("resume_approved_execution",), "CASE WHEN contains(n, 'resume') THEN 4 ELSE 0 END + CASE WHEN contains(n, 'approved_execution') THEN 4 ELSE 0 END", "false"),
+    "dispatch": (("dispatch_execution", "dispatch", "prepare_execution_dispatch", "prepare"), ("dispatch_execution", "prepare_execution_dispatch"),
+                 "CASE WHEN contains(n, 'dispatch_execution') THEN 8 ELSE 0 END + CASE WHEN n = 'dispatch_execution' THEN 4 ELSE 0 END + CASE WHEN contains(n, 'prepare_execution_dispatch') THEN 5 ELSE 0 END - CASE WHEN n = 'prepare_execution_dispatch' THEN 2 ELSE 0 END - CASE WHEN starts_with(n, 'prepare_') THEN 1 ELSE 0 END - CASE WHEN contains(n, 'dispatchable') OR contains(n, 'admit') OR contains(p, 'scheduler') THEN 3 ELSE 0 END", "false"),
+    "queue": (("next_conflict_queue_head", "queue_for_conflict", "queue", "queued", "conflict"), ("next_conflict_queue_head", "queue_for_conflict"),
+              "CASE WHEN contains(n, 'next_conflict_queue_head') THEN 8 ELSE 0 END + CASE WHEN contains(n, 'queue_for_conflict') THEN 6 ELSE 0 END + CASE WHEN contains(n, 'queue') OR contains(n, 'head') THEN 4 ELSE 0 END", "contains(n, 'head')"),
+    "scheduler": (("admit", "dispatchable_head", "dispatchable", "claim", "scheduler"), ("admit", "dispatchable_head"),
+                  "CASE WHEN contains(n, 'admit') OR contains(n, 'dispatchable') OR contains(p, 'scheduler') THEN 4 ELSE 0 END + CASE WHEN contains(n, 'admit') THEN 5 ELSE 0 END + CASE WHEN contains(n, 'dispatchable_head') THEN 4 ELSE 0 END", "false"),
+}
+
+
+def phase_sql(key: str) -> str:
+    terms, prior, rules, also = PHASE_SQL[key]
+    each = " + ".join(f"CASE WHEN n = '{t}' THEN 8 ELSE 0 END + CASE WHEN contains(n, '{t}') THEN 6 ELSE 0 END + CASE WHEN contains(q, '{t}') THEN 3 ELSE 0 END + CASE WHEN contains(p, '{t}') THEN 1 ELSE 0 END" for t in terms)
+    first = " + ".join(f"CASE WHEN n = '{t}' THEN {b} WHEN ends_with(q, '::{t}') THEN {b - 2} WHEN contains(n, '{t}') THEN {b - 4} ELSE 0 END" for t, b in zip(prior, (12, 9), strict=False))
+    hit = " OR ".join(f"contains(n, '{t}') OR contains(q, '{t}')" for t in terms)
+    place = "CASE WHEN regexp_matches(p, 'control-plane|server|cli|platform|rpc|sdk') OR contains(q, 'router') THEN -6 ELSE 0 END + CASE WHEN regexp_matches(p, 'store|flow|execution|scheduler|runtime') THEN 3 ELSE 0 END + CASE WHEN contains(p, '/tests/') OR contains(p, 'test/') OR contains(p, '_test.') THEN -6 ELSE 0 END"
+    return f"{each} + {first} + {rules} + {place} + CASE WHEN kind IN ('function', 'method') THEN 3 ELSE -5 END + CASE WHEN visibility = 'public' THEN 1 ELSE 0 END + CASE WHEN {hit} OR {also} THEN 0 ELSE -8 END"
+
+
+PLAYERS = """(SELECT p_partkey AS k, 'players/' || p_partkey AS id, CASE p_partkey % 17 WHEN 0 THEN 'approve_pending_approval' WHEN 1 THEN 'approval_resolve' WHEN 2 THEN 'deny_approval' WHEN 3 THEN 'resume_approved_execution' WHEN 4 THEN 'dispatch_execution' WHEN 5 THEN 'prepare_execution_dispatch'
+  WHEN 6 THEN 'prepare_' || p_partkey WHEN 7 THEN 'next_conflict_queue_head' WHEN 8 THEN 'Queue_For_Conflict' WHEN 9 THEN 'queued_' || p_partkey WHEN 10 THEN 'admit' WHEN 11 THEN 'dispatchable_head' WHEN 12 THEN 'claim_worker' WHEN 13 THEN 'head_of' WHEN 14 THEN 'resume' WHEN 15 THEN 'plain' ELSE 'readmit' END AS name,
+  CASE p_partkey % 7 WHEN 0 THEN 'src/store.rs' WHEN 1 THEN 'src/scheduler/mod.rs' WHEN 2 THEN 'server/queue.rs' WHEN 3 THEN 'lib/tests/flow_test.rs' WHEN 4 THEN 'runtime/a.rs' WHEN 5 THEN 'src/router.rs' ELSE 'src/x.rs' END AS file_path,
+  CASE WHEN p_partkey % 5 = 0 THEN 'class' ELSE 'method' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'public' ELSE 'private' END AS visibility, p_partkey % 4 AS depth FROM part)"""
+
+
+def players(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols named like the phases' terms, in files that help or harm."""
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    names = ("approve_pending_approval", "approval_resolve", "deny_approval", "resume_approved_execution", "dispatch_execution", "prepare_execution_dispatch", F.concat(F.lit("prepare_"), n), "next_conflict_queue_head", "Queue_For_Conflict", F.concat(F.lit("queued_"), n), "admit", "dispatchable_head", "claim_worker", "head_of", "resume", "plain", "readmit")
+    places = ("src/store.rs", "src/scheduler/mod.rs", "server/queue.rs", "lib/tests/flow_test.rs", "runtime/a.rs", "src/router.rs", "src/x.rs")
+    pick = lambda of: F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of))[F.pmod(k, F.lit(len(of))).cast("int")]
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("players/"), n).alias("id"), pick(names).alias("name"), pick(places).alias("file_path"), k.cast("int").alias("line"), (k % 4).cast("int").alias("depth"), k.alias("k"))
+    return rows.withColumns({"qualified_name": F.concat("file_path", F.lit("::"), "name"), "kind": F.when(F.col("k") % 5 == 0, "class").otherwise("method"), "visibility": F.when(F.col("k") % 3 == 0, "public").otherwise("private"), "source": F.lit("local")})
+
+
+_scored = ", ".join(f"{phase_sql(p)} AS {p}" for p in PHASE_SQL)
+SCORED = f"WITH s AS (SELECT *, lower(name) AS n, lower(file_path || '::' || name) AS q, lower(file_path) AS p FROM {PLAYERS}), scored AS (SELECT *, {_scored} FROM s)"
+register("workflow_phase_score", f"{SCORED} SELECT id, {', '.join(PHASE_SQL)} FROM scored")(lambda spark, sf: players(spark, sf).select("id", *(context.phase_score(p).alias(p.key) for p in context.PHASES)))
+
+
+def _pick_sql() -> str:
+    """One phase after the other: the best of what is left, then the supports."""
+    order, out, rows = "depth, file_path, k, q", [f"{SCORED}"], []
+    used = "SELECT '' AS id"
+    for p in PHASE_SQL:
+        out.append(f"first_{p} AS (SELECT '{p}' AS phase, id, 'primary' AS role, {p} AS score, file_path FROM scored WHERE {p} > 0 AND id NOT IN ({used}) ORDER BY {p} DESC, {order} LIMIT 1)")
+        used += f" UNION ALL SELECT id FROM first_{p}"
+        rows.append(f"SELECT phase, id, role, score FROM first_{p}")
+    helper = {"approval": "approval_resolve", "dispatch": "prepare_execution_dispatch", "queue": "queue_for_conflict", "scheduler": "dispatchable_head"}
+    for p, name in helper.items():
+        score = f"{p} - depth + CASE WHEN file_path = (SELECT file_path FROM first_{p}) THEN 5 ELSE 0 END + CASE WHEN contains(n, '{name}') THEN 4 ELSE 0 END"
+        out.append(f"more_{p} AS (SELECT '{p}' AS phase, id, 'support' AS role, {score} AS score FROM scored WHERE {score} > 0 AND id NOT IN ({used}) AND (SELECT count(*) FROM first_{p}) = 1 ORDER BY score DESC, {order} LIMIT 1)")
+        used += f" UNION ALL SELECT id FROM more_{p}"
+        rows.append(f"SELECT * FROM more_{p}")
+    return ", ".join(out) + " " + " UNION ALL ".join(rows)
+
+
+register("workflow_phase_pick", _pick_sql())(lambda spark, sf: context.pick_phases(players(spark, sf)).select("phase", "id", "role", F.col("score").cast("long").alias("score")))
+
+
+BUDGET_SQL = """WITH q AS (SELECT conv_id, turn, ['lean', 'normal', 'wide', ''][1 + conv_id % 4] AS asked, ['locate', 'behavior', 'impact', 'workflow', 'call_chain', 'watcher'][1 + (conv_id + turn) % 6] AS scene, turn % 2 = 0 AS snippets FROM conversations),
+b AS (SELECT *, (asked IN ('lean', '') AND (scene = 'workflow' OR (scene = 'behavior' AND snippets))) AS widened FROM q), c AS (SELECT *, CASE WHEN widened THEN 'normal' WHEN asked = '' THEN 'lean' ELSE asked END AS budget FROM b)
+SELECT conv_id, turn, budget, widened, CASE budget WHEN 'lean' THEN 2 WHEN 'normal' THEN 3 ELSE 4 END AS depth, CASE WHEN NOT snippets THEN 0 ELSE CASE budget WHEN 'lean' THEN 0 WHEN 'normal' THEN 2 ELSE 4 END END AS snippet_limit FROM c"""
+
+
+@register("context_budget", BUDGET_SQL)
+def context_budget(spark: SparkSession, sf: str) -> DataFrame:
+    asked = [(a, sc, sn, *(b := context.budget(a, sc, sn))[:2], b[2]["workflow_depth"], b[2]["source_snippets"]) for a in ("lean", "normal", "wide", "") for sc in context.SCENES for sn in (True, False)]
+    table = spark.createDataFrame(asked, "asked string, scene string, snippets boolean, budget string, widened boolean, depth int, snippet_limit int")
+    pick = lambda of, k: F.array(*map(F.lit, of))[F.pmod(k, F.lit(len(of))).cast("int")]
+    scenes = ("locate", "behavior", "impact", "workflow", "call_chain", "watcher")
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", pick(("lean", "normal", "wide", ""), F.col("conv_id")).alias("asked"), pick(scenes, F.col("conv_id") + F.col("turn")).alias("scene"), (F.col("turn") % 2 == 0).alias("snippets"))
+    return rows.join(F.broadcast(table), ["asked", "scene", "snippets"]).select("conv_id", "turn", "budget", "widened", "depth", "snippet_limit")  # 48 rows
 
 
-register("context_budget", "SELECT * FROM (VALUES ('lean', 'locate', 'lean', false, 2), ('lean', 'workflow', 'normal', true, 3), ('normal', 'impact', 'normal', false, 3), ('wide', 'workflow', 'wide', false, 4)) v(asked, scene, budget, widened, depth)")(
-    lambda spark, sf: spark.createDataFrame([(a, s, *(b := context.budget(a, s))[:2], b[2]["workflow_depth"]) for a, s in (("lean", "locate"), ("lean", "workflow"), ("normal", "impact"), ("wide", "workflow"))], "asked string, scene string, budget string, widened boolean, depth int")
-)
-
 # paths
 
 PATHS = "(SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) || CASE page_id % 7 WHEN 0 THEN '/main.rs' WHEN 1 THEN '/tests/a_test.py' WHEN 2 THEN '/x.test.ts' WHEN 3 THEN '/node_modules/y.js' WHEN 4 THEN '/Z.TSX' WHEN 5 THEN '/README' ELSE '/k.vue' END AS path FROM pages)"
