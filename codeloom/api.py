@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +9,23 @@ from .graph import CodeGraph
 from .operators import context, incremental, rank, resolve, search, traverse
 from .sources import extract, files
 from .storage import cut
+from .streaming import watch
 
 KINDS = ("find_interfaces", "get_interface", "get_dependencies", "get_call_chain", "get_file_interfaces")
 
 
+class ScanCancelled(RuntimeError):
+    """A scan was asked to stop."""
+
+
 class Project:
     """A scanned project. Reads work on one graph; a scan replaces it."""
 
     def __init__(self, graph: CodeGraph, root: str = "", settings: files.Settings = files.Settings()):
         self.graph, self.root, self.settings = graph, root, settings
+        self.parsed: DataFrame | None = None  # what was found in each file, with its hash, as long as the file stays as it is
+        self.read_files = 0  # files that the last scan opened
+        self._cancelled = False
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, settings: files.Settings = files.Settings()) -> Project:
@@ -28,27 +34,67 @@ class Project:
         project.rebuild(spark)
         return project
 
+    def cancel(self) -> None:
+        """Asks a scan under way to stop: it does so before its next step, and the graph stays as it was."""
+        self._cancelled = True
+
+    def _step(self) -> None:
+        if self._cancelled:
+            self._cancelled = False
+            raise ScanCancelled(self.root)
+
     def rebuild(self, spark: SparkSession) -> None:
-        found = cut(files.discover(spark, self.root, self.settings))
-        parsed = cut(extract.extract(found))
-        graph, raw = extract.tables(parsed, found)
-        symbols, edges = cut(graph.symbols), None
-        for language in [r.language for r in raw.select("language").distinct().collect()]:
+        """Scans everything anew."""
+        self._cancelled = False
+        self._take(spark, None, files.listed(spark, self.root, self.settings))
+
+    def _take(self, spark: SparkSession, kept: DataFrame | None, found: DataFrame) -> None:
+        """Parses the files of ``found``, and makes the graph of them and of the parsed rows that are ``kept``."""
+        self._step()
+        content = cut(files.read(spark, found))
+        self.read_files = content.count()
+        new = extract.extract(content).join(content.select("path", "hash", "last_modified"), "path")
+        parsed = cut(new if kept is None else new.unionByName(kept))
+        self._step()
+        graph, raw = extract.tables(parsed)
+        symbols, imports, raw, edges = cut(graph.symbols), cut(graph.imports), cut(raw), None
+        outside = symbols.limit(0)
+        for language in sorted(r.language for r in raw.select("language").distinct().collect()):
+            self._step()
             own = raw.where(F.col("language") == language).drop("language")
-            done = resolve.resolve(symbols.where(F.col("source") == "local"), own, graph.imports, language)
-            part = cut(done.resolved)
-            edges = part if edges is None else edges.unionByName(part)
-            graph = replace(graph, symbols=graph.symbols.unionByName(done.non_local))
-        self.graph = CodeGraph(cut(graph.symbols.dropDuplicates(["qualified_name"])), graph.dependencies if edges is None else edges, graph.imports, graph.file_state)
+            done = resolve.resolve(symbols, own, imports, language)
+            tagged = cut(done.tagged)
+            part = resolve.split(tagged)
+            outside = outside.unionByName(part.non_local)
+            edges = part.resolved if edges is None else edges.unionByName(part.resolved)
+        self.parsed = parsed
+        every = symbols.unionByName(cut(outside).dropDuplicates(["qualified_name"]))
+        self.graph = CodeGraph(cut(every), graph.dependencies if edges is None else cut(edges), imports, graph.file_state)
 
     def refresh(self, spark: SparkSession) -> DataFrame:
-        """Scans again if a file was added, modified or deleted; the plan. Raw dependencies of all files are resolved
-        anew, so that edges into symbols that come back come back as well."""
-        plan = cut(incremental.update_plan(files.discover(spark, self.root, self.settings), self.graph.file_state))
-        if not plan.isEmpty():
+        """Takes up what was added, modified or deleted since the last scan; the plan. Only files that are new or whose time
+        differs are opened, or whose time is too near the last scan's to tell; of these, only such with another hash are
+        parsed. All raw dependencies are resolved again, so that edges into symbols that come back come back as well."""
+        self._cancelled = False
+        if self.parsed is None:
             self.rebuild(spark)
+            return incremental.update_plan(self.graph.file_state, self.graph.file_state.limit(0))
+        before = self.parsed.select("path", F.col("hash").alias("old"), F.col("last_modified").alias("then"))
+        latest = self.parsed.agg(F.max("last_modified")).first()[0] or 0
+        found = cut(files.listed(spark, self.root, self.settings))
+        doubtful = found.join(before, "path", "left").where(F.col("then").isNull() | (F.col("then") != F.col("last_modified")) | (F.col("last_modified") >= latest - 2))
+        hashed = cut(files.read(spark, doubtful.select(*found.columns)).select("path", "hash"))
+        now = found.join(hashed, "path", "left").join(before, "path", "left").select("path", F.coalesce("hash", "old").alias("hash"))
+        plan = cut(incremental.update_plan(now, self.parsed.select("path", "hash")))
+        if not plan.isEmpty():
+            gone = plan.select("path")
+            self._take(spark, self.parsed.join(gone, "path", "left_anti"), found.join(gone, "path", "left_semi"))
         return plan
 
+    def watcher(self, spark: SparkSession) -> watch.Watcher:
+        """What a stream of changes is to call (``streaming.watch.watch(changes, project.watcher(spark).changed, ...)``)."""
+        return watch.Watcher(lambda: self.refresh(spark), self.settings.idle_minutes * 60.0)
+
     def find_interfaces(self, query: str, limit: int = search.DEFAULT_LIMIT) -> DataFrame:
         return search.find_interfaces(self.graph, query, limit)
 

@@ -211,6 +211,12 @@ def resolve(symbols: DataFrame, raw: DataFrame, imports: DataFrame, language: st
     tier = F.when(F.col("from_id").isNull(), "unresolved").when(F.col("p").isNotNull(), F.col("p.tier")).when(builtin(F.col("to_symbol"), F.lit(language)), "builtin").when(F.col("e").isNotNull(), "external").otherwise("unresolved")
     name = F.when(tier == "builtin", F.concat(F.lit("<builtin>::"), F.trim("to_symbol"))).when(tier == "external", F.concat(F.lit("<external>::"), F.col("e.external")))
     tagged = rows.select("from_id", "from_symbol", "to_symbol", "from_file", "from_line", "kind", tier.alias("tier"), F.when(tier != "unresolved", F.coalesce("p.id", symbol_id(name))).alias("to_id"), name.alias("synthetic"))
+    return split(tagged)
+
+
+def split(tagged: DataFrame) -> Resolution:
+    """Rows with their tiers as edges, synthetic symbols and what is left. Callers that read more than one of these write
+    the tagged rows first."""
     resolved = tagged.where("tier <> 'unresolved'").select(F.col("from_id").alias("from_symbol"), F.col("to_id").alias("to_symbol"), "from_file", "from_line", "kind")
     return Resolution(tagged, resolved, synthetic_symbols(tagged.where("synthetic is not null")), tagged.where("tier = 'unresolved'").select("from_symbol", "to_symbol", "from_file", "from_line", "kind"))
 

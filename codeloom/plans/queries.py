@@ -426,8 +426,8 @@ on_star("apply_diff", ", gone AS (SELECT id FROM symbols WHERE file_path = 'part
 
 
 @register("debounce_events", """WITH e AS (SELECT user_id, ts, 'f' || (event_id % 3) AS path, CASE event_type WHEN 'signup' THEN 'Added' WHEN 'error' THEN 'Deleted' ELSE 'Modified' END AS change FROM events),
-g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, path ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, path ORDER BY ts) AS s FROM g)
-SELECT user_id, min(ts) AS start, path, CASE max(CASE change WHEN 'Deleted' THEN 2 WHEN 'Added' THEN 1 ELSE 0 END) WHEN 2 THEN 'Deleted' WHEN 1 THEN 'Added' ELSE 'Modified' END AS change, count(*) AS events FROM n GROUP BY user_id, path, s""")
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e), m AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g), n AS (SELECT *, min(ts) OVER (PARTITION BY user_id, s) AS start FROM m)
+SELECT user_id, start, path, CASE max(CASE change WHEN 'Deleted' THEN 2 WHEN 'Added' THEN 1 ELSE 0 END) WHEN 2 THEN 'Deleted' WHEN 1 THEN 'Added' ELSE 'Modified' END AS change, count(*) AS events FROM n GROUP BY user_id, path, start""")
 def debounce_events(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "Added").when(F.col("event_type") == "error", "Deleted").otherwise("Modified")
     e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("path"), kind.alias("change"))

@@ -41,13 +41,30 @@ class Parsed:
         self.imports.append({"source": source, "alias": alias, "line": line, "kind": kind})
 
 
+def _recovered(text: str) -> tuple[ast.Module, int]:
+    """(the tree, errors). A line that the grammar rejects is blanked, or becomes ``pass`` where a block would be empty, and
+    the rest parsed again: a file with errors keeps what is sound in it."""
+    lines, errors = text.replace("\0", " ").split("\n"), 0
+    while True:
+        try:
+            return ast.parse("\n".join(lines)), errors
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            errors += 1
+            at = min(max((getattr(e, "lineno", None) or 1) - 1, 0), len(lines) - 1)
+            if "expected an indented block" in str(e):
+                opener = next((k for k in range(at - 1, -1, -1) if lines[k].rstrip().endswith(":")), at)
+                lines[opener] += " pass"
+                continue
+            while at > 0 and not lines[at].strip():
+                at -= 1
+            if not lines[at].strip() or errors > len(lines):
+                return ast.Module([], []), errors
+            lines[at] = ""
+
+
 def parse_python(path: str, text: str) -> Parsed:
     out = Parsed(path)
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        out.error_count = 1
-        return out
+    tree, out.error_count = _recovered(text)
 
     def name_of(node: ast.expr) -> str:
         return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
@@ -379,7 +396,7 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").where("language is not null").repartition("path").mapInArrow(run, PARSED)
 
 
-def tables(parsed: DataFrame, files: DataFrame) -> tuple[CodeGraph, DataFrame]:
+def tables(parsed: DataFrame) -> tuple[CodeGraph, DataFrame]:
     """(a graph of symbols, imports and file states, raw dependencies). A file with errors is marked failed, and what was
     found in it is kept; of symbols that share a qualified name the last stays."""
     from ..operators.traverse import latest
@@ -388,7 +405,7 @@ def tables(parsed: DataFrame, files: DataFrame) -> tuple[CodeGraph, DataFrame]:
     symbols = latest(s, "qualified_name", "ordinal").select(symbol_id(F.col("qualified_name")).alias("id"), "name", "qualified_name", "kind", "file_path", "line", "col", "visibility", "signature", F.lit("local").alias("source"))
     raw = parsed.select("path", "language", F.explode("dependencies").alias("d")).select("d.from_symbol", "d.to_symbol", F.col("path").alias("from_file"), F.col("d.line").alias("from_line"), "d.kind", "language")
     imports = parsed.select("path", F.explode("imports").alias("i")).select("i.source", "i.alias", F.col("path").alias("file_path"), "i.line", "i.kind")
-    state = files.select("path", "hash", "last_modified").join(parsed.select("path", "error_count"), "path").select(
+    state = parsed.select(
         "path", "hash", "last_modified", F.when(F.col("error_count") > 0, "failed").otherwise("ok").alias("status"),
         F.when(F.col("error_count") > 0, F.concat(F.lit("encountered "), F.col("error_count").cast("string"), F.lit(" parse error nodes"))).alias("error_message"),
     )

@@ -92,13 +92,39 @@ def should_scan(path: Column, settings: Settings) -> Column:
     return matches_any(path, settings.include) & ~matches_any(path, settings.exclude) & tests & F.coalesce(language.isin(*settings.languages), F.lit(False))
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the file system writes it in the paths of its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
+def listed(spark: SparkSession, root: str, settings: Settings = Settings()) -> DataFrame:
+    """(path, last_modified, language, location) of the files to scan under ``root``, by path. No file is opened."""
+    if not root:
+        raise ValueError("root must not be empty")
+    head = _qualified(spark, root) + "/"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
+    at = raw.where(F.col("path").startswith(head)).select(F.expr(f"substr(path, {len(head) + 1})").alias("path"), "modificationTime", F.col("path").alias("location"))
+    kept = at.where(should_scan(F.col("path"), settings))
+    return kept.select("path", F.unix_timestamp("modificationTime").alias("last_modified"), language_of(F.col("path"), settings.extension_map).alias("language"), "location").orderBy("path")
+
+
+def read(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """(path, hash, last_modified, language, text) of ``listed`` files: these are read, and no others. Their places pass
+    through the driver, whose file index holds every file's anyway. Bytes that are no UTF-8 become replacement marks."""
+    schema = "path string, hash string, last_modified long, language string, text string"
+    places = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.location) for r in found.select("location").toLocalIterator()]
+    if not places:
+        return spark.createDataFrame([], schema)
+    content = spark.read.format("binaryFile").load(places).select(F.col("path").alias("location"), "content")
+    rows = found.join(content, "location")
+    return rows.select("path", F.sha2("content", 256).alias("hash"), "last_modified", "language", F.decode("content", "UTF-8").alias("text")).orderBy("path")
+
+
 def discover(spark: SparkSession, root: str, settings: Settings = Settings()) -> DataFrame:
-    """(path, hash, last_modified, language, text): the files to scan under ``root``, paths relative to it. The predicate
-    stands on the path alone, so that contents of other files are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/").rpartition(":")[2].lstrip("/")) + "/", "")
-    files = raw.withColumn("path", at).where(should_scan(F.col("path"), settings))
-    return files.select("path", F.sha2("content", 256).alias("hash"), F.unix_timestamp("modificationTime").alias("last_modified"), language_of(F.col("path"), settings.extension_map).alias("language"), F.decode("content", "UTF-8").alias("text"))
+    """(path, hash, last_modified, language, text): the files to scan under ``root``, by path relative to it. What settings
+    exclude is listed but never opened."""
+    return read(spark, listed(spark, root, settings))
 
 
 def snippet(text: Column, line: Column) -> Column:

@@ -154,3 +154,87 @@ def test_imports_resolve_across_files(spark, tmp_path):
     found = {(r["from"], r["to"]) for r in p.graph.dependencies.join(names, "to_symbol").join(p.graph.symbols.select(F.col("id").alias("from_symbol"), F.col("qualified_name").alias("from")), "from_symbol").collect()}
     assert found == {("src/service.ts::greet", "src/shared.ts::formatName"), ("src/service.ts::greet", "src/other.ts::twice"), ("src/deep/c.py::run", "src/a.py::helper")}
     assert p.graph.symbols.where("source <> 'local'").isEmpty()
+
+
+def test_only_changed_files_are_parsed_again(spark, tmp_path):
+    import os
+
+    (tmp_path / "tmp" / "p" / "rr" / "node_modules").mkdir(parents=True)
+    root = tmp_path / "tmp" / "p" / "rr"
+    for k in range(6):
+        (root / f"m{k}.py").write_text(f"def f{k}():\n    return f{(k + 1) % 6}()\n")
+    (root / "node_modules" / "big.js").write_text("function hidden() {}\n")
+    (root / "broken.py").write_text("def fine():\n    return f1()\n\ndef bad(:\n")
+    for f in root.glob("*.py"):
+        os.utime(f, (1_700_000_000, 1_700_000_000))
+    os.utime(root / "m5.py", (1_700_009_000, 1_700_009_000))
+    p = Project.scan(spark, str(root))
+    assert p.read_files == 7 and {r.file_path for r in p.graph.symbols.collect()} == {"broken.py", *(f"m{k}.py" for k in range(6))}
+    assert p.graph.file_state.where("status = 'failed'").select("path").first().path == "broken.py"
+    assert [r.path for r in files.discover(spark, str(root)).collect()] == sorted(["broken.py", *(f"m{k}.py" for k in range(6))])
+    (root / "m2.py").write_text("def f2():\n    return 1\n")
+    os.utime(root / "m2.py", (1_700_009_999, 1_700_009_999))
+    (root / "m4.py").unlink()
+    seen = p.watcher(spark)
+    seen.changed()
+    assert p.read_files == 1 and seen.scans == 1
+    names = {r.id: r.name for r in p.graph.symbols.collect()}
+    assert {(names[r.from_symbol], names[r.to_symbol]) for r in p.graph.dependencies.collect()} == {("f0", "f1"), ("f1", "f2"), ("f5", "f0"), ("fine", "f1")}
+    p.cancel()
+    from codeloom.api import ScanCancelled
+
+    with pytest.raises(ScanCancelled):
+        p._step()
+
+
+def test_watcher_pauses_and_catches_up():
+    now, scans = [0.0], []
+
+    def refresh():
+        scans.append(now[0])
+        if len(scans) == 1:
+            w.changed()  # a change during a scan leaves the project dirty
+
+    w = watch.Watcher(refresh, 300, lambda: now[0])
+    w.changed()
+    assert len(scans) == 2 and not w.dirty
+    now[0] = 299
+    assert not w.idle()
+    now[0] = 400
+    assert w.idle() and w.paused
+    w.changed()
+    assert len(scans) == 2
+    w.resume()
+    assert len(scans) == 3 and not w.needs_resync
+
+
+def test_supports_are_ranked_by_their_own_score(spark):
+    """A symbol in the file of a phase's choice outranks ones with more points elsewhere."""
+    from codeloom.operators import context
+
+    rows = [("top", "next_conflict_queue_head", "q/a.rs", 0)] + [(f"far{k}", f"queue_{k}_queued", f"q/z{k}.rs", 0) for k in range(30)] + [("near", "queue_one", "q/a.rs", 0), ("late", "queue_two", "q/a.rs", 3)]
+    data = [(i, n, f"{p}::{n}", "function", p, k, "private", "local", d) for k, (i, n, p, d) in enumerate(rows)]
+    symbols = spark.createDataFrame(data, "id string, name string, qualified_name string, kind string, file_path string, line int, visibility string, source string, depth int")
+    queue = [p for p in context.PHASES if p.key == "queue"]
+    score = {r.id: r.s for r in symbols.select("id", context.phase_score(queue[0]).alias("s")).collect()}
+    picked = [(r.id, r.role, r.score) for r in context.pick_phases(symbols, queue).collect()]
+    best = max(((score[i] - d + 5 * (p == "q/a.rs"), i) for i, n, p, d in rows if i != "top"), key=lambda x: x[0])
+    assert picked == [("top", "primary", score["top"]), (best[1], "support", best[0])]
+
+
+def test_anchors_by_precedence(spark):
+    from codeloom.operators import context
+
+    g = graph(spark, [("a", "b", "call")])
+    g = CodeGraph(g.symbols, g.dependencies, None, spark.createDataFrame([("f.py", "h", 1, "ok", None)], schema.FILE_STATE))
+    found = context.anchors(g, "what of e?", ("a", "zz"), (), {"selection_symbol": "b", "active_file": "f.py", "selection_line": 1}, {"stacktrace_symbols": ["c"]}, {"previous_targets": ["d", "a"]})
+    names = {r.id: r.name for r in g.symbols.collect()}
+    assert [names[i] for i in found.symbols] == ["a", "b", "c", "d"] and found.origins == ["symbols", "selection", "stack trace", "conversation"] and found.files == ["f.py"] and len(found.penalties) == 1
+    assert context.anchors(g, None, workspace={"active_file": "f.py", "selection_line": 4}).origins == ["nearest line"]
+    out = context.task_context(g, mode="watcher", files=("f.py", "gone.py"))
+    assert [(r.file_path, r.symbols, r.status) for r in out["primary_files"].collect()] == [("f.py", 6, "ok"), ("gone.py", 0, "missing")]
+    texts = spark.createDataFrame([("f.py", "\n".join(f"line {k}" for k in range(12)))], "path string, text string")
+    out = context.task_context(g, mode="locate", symbols=("a",), snippets=True, budget_name="normal", texts=texts)
+    assert out["source_snippets"].first().tokens > 0 and out["summary"].first().status == "ready"
+    assert context.task_context(g, mode="call_chain", symbols=("a",))["summary"].first().status == "needs_anchor"
+    assert context.task_context(g, mode="call_chain", symbols=("a", "b"))["files"].first().symbols == 2
