@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +27,22 @@ class CodeGraph:
 
     def save(self, path: str, version: int) -> None:
         """Writes an immutable snapshot. Edges are clustered by their source, so that a walk from a few symbols reads few
-        row groups. The newest version is the largest number whose mark is there; it is written last."""
-        at = f"{path}/v={version}"
+        row groups. Tables go to a folder of their own; the mark, written last, names it, so that a crash halfway leaves
+        nothing in the way of another try. A version that has its mark stays as it is."""
+        at = f"{path}/data/{uuid.uuid4().hex}"
         for name, t in self.tables().items():
             key = {"symbols": "qualified_name", "dependencies": "from_symbol", "imports": "file_path", "file_state": "path"}[name]
             t.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{at}/{name}")
         spark = self.symbols.sparkSession
-        spark.createDataFrame([(version,)], "version int").coalesce(1).write.parquet(f"{path}/done/v={version}")
+        spark.createDataFrame([(version, at)], "version int, folder string").coalesce(1).write.parquet(f"{path}/done/{version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> CodeGraph:
-        if version is None:
-            version = spark.read.option("basePath", f"{path}/done").parquet(f"{path}/done").agg(F.max("version")).first()[0]
-        read = lambda name, s: spark.read.schema(s).parquet(f"{path}/v={version}/{name}")
+        marks = spark.read.schema("version int, folder string").option("recursiveFileLookup", "true").parquet(f"{path}/done")
+        mark = marks.where(F.lit(True) if version is None else F.col("version") == version).orderBy(F.desc("version")).first()
+        if mark is None:
+            raise ValueError(f"no snapshot {version or ''} in {path}")
+        read = lambda name, s: spark.read.schema(s).parquet(f"{mark.folder}/{name}")
         return cls(*(read(n, s) for n, s in (("symbols", schema.SYMBOLS), ("dependencies", schema.DEPENDENCIES), ("imports", schema.IMPORTS), ("file_state", schema.FILE_STATE))))
 
     def register(self) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
-from .rank import dependency_signature
+from .rank import signature_sums
 
 COMPARED = ("name", "qualified_name", "kind", "file_path", "line", "col", "visibility", "signature", "source")
 
@@ -28,7 +28,7 @@ def symbol_diff(old: DataFrame, new: DataFrame, old_dependencies: DataFrame | No
         s = symbols.select("id", content.alias("content"))
         if edges is None:
             return s.withColumn("edges", F.lit(""))
-        signed = dependency_signature(edges).select(F.col("from_symbol").alias("id"), F.sha2(F.to_json("signature"), 256).alias("edges"))
+        signed = signature_sums(edges).select(F.col("from_symbol").alias("id"), F.sha2(F.to_json("signature"), 256).alias("edges"))
         return s.join(signed, "id", "left").withColumn("edges", F.coalesce("edges", F.lit("")))
 
     a, b = side(old, old_dependencies).alias("a"), side(new, new_dependencies).alias("b")

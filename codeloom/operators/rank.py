@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence
 from ..graph import CodeGraph
 from ..storage import cut
 
+#: Parts that a neighbourhood is ordered in before these meet.
+SALTS = 32
 SYMBOL_LIMIT, EDGE_LIMIT = (120, 24, 240), (260, 24, 640)  # default, least, most
 
 
@@ -56,6 +58,14 @@ def overview_symbols(graph: CodeGraph) -> DataFrame:
     return graph.symbols.where((F.col("source") == "local") & ~evidence.is_test_symbol())
 
 
+def nearest(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
+    """(a, ..., place): the first ``limit`` rows of each ``a``. A hub's rows are parted by a salt and each part keeps its
+    first ``limit`` before they meet, so that no task orders a whole neighbourhood."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    part = salted.withColumn("_n", F.row_number().over(Window.partitionBy("a", "_salt").orderBy(*order))).where(F.col("_n") <= limit).drop("_n", "_salt")
+    return part.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("place") <= limit)
+
+
 def select_neighbourhoods(ranked: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
     """Greedy selection of ``limit`` symbols: by rank, each followed by its neighbours in order of weight, rank and id.
 
@@ -65,8 +75,7 @@ def select_neighbourhoods(ranked: DataFrame, weights: DataFrame, limit: int) ->
     within the limit does so by the turn of one of the first ``limit`` ranks, so only their neighbourhoods are ordered."""
     first = ranked.where(F.col("rank") <= limit)
     turn = weights.join(first.select(F.col("id").alias("a"), F.col("rank").alias("turn")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("own")), "b")
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "own", "b"))
-    entries = turn.select("a", F.col("b").alias("id"), "turn", place.alias("place")).where(F.col("place") <= limit).select("id", "turn", "place")
+    entries = nearest(turn, limit, F.desc("weight"), "own", "b").select(F.col("b").alias("id"), "turn", "place")
     entries = entries.unionByName(first.select("id", F.col("rank").alias("turn"), F.lit(0).alias("place")))
     return entries.groupBy("id").agg(F.min(F.struct("turn", "place")).alias("at")).orderBy("at.turn", "at.place").limit(limit).select("id", "at.turn", "at.place")
 
@@ -83,8 +92,7 @@ def overview(graph: CodeGraph, symbol_limit: int | None = None, edge_limit: int
     top = every.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     key = F.struct((-F.col("degree")).alias("d"), (-F.col("outgoing")).alias("o"), (-F.col("incoming")).alias("i"), "name", "qualified_name", "id").alias("key")
     near = adjacency(inner).join(top.select(F.col("id").alias("a"), F.col("rank").alias("turn")), "a").join(every.select(F.col("id").alias("b"), key), "b")
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "key"))
-    entries = near.select(F.col("b").alias("id"), "turn", place.alias("place")).where(F.col("place") <= n).unionByName(top.select("id", F.col("rank").alias("turn"), F.lit(0).alias("place")))
+    entries = nearest(near, n, F.desc("weight"), "key").select(F.col("b").alias("id"), "turn", "place").unionByName(top.select("id", F.col("rank").alias("turn"), F.lit(0).alias("place")))
     chosen = entries.groupBy("id").agg(F.min(F.struct("turn", "place")).alias("at")).orderBy("at.turn", "at.place").limit(n).select("id")
     chosen = cut(chosen)  # n rows; both ends of the edges and the nodes read them, and none plans the ranking again
     nodes = every.join(chosen, "id", "left_semi").withColumn("group_key", F.split("file_path", "/")[0])
@@ -113,6 +121,15 @@ def dependency_signature(dependencies: DataFrame) -> DataFrame:
     return dependencies.groupBy("from_symbol").agg(F.sort_array(F.collect_list(F.struct("to_symbol", "from_line", "kind"))).alias("signature"))
 
 
+def signature_sums(dependencies: DataFrame) -> DataFrame:
+    """(from_symbol, signature): each symbol's outgoing edges as the sums of two hashes of (target, line, kind) and their
+    number: equal for the same edges in any order, and combined where the edges lie, so that a hub is a row."""
+    edge = ("to_symbol", "from_line", "kind")
+    half = lambda seed, at: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *edge), at).bitwiseAND(0xFFFFFFFF)
+    sums = [F.sum(half(seed, at)) for seed in (1, 2) for at in (0, 32)]
+    return dependencies.groupBy("from_symbol").agg(F.struct(*(s.alias(f"s{k}") for k, s in enumerate(sums)), F.count(F.lit(1)).alias("n")).alias("signature"))
+
+
 def nearest_to_line(symbols: DataFrame, file: str, line: int, name: str | None = None) -> DataFrame:
     """The symbol of a file nearest to a line; with ``name``, among those of that name."""
     s = symbols.where(F.col("file_path") == file)

@@ -10,6 +10,8 @@ from ..storage import cut
 
 #: No walk goes deeper: the number of walks can grow with each step.
 MAX_DEPTH = 10
+#: Nodes of a frontier that the scan of the edges is told of.
+FEW = 500
 DIRECTIONS = ("outgoing", "incoming")
 
 
@@ -26,19 +28,29 @@ def oriented(dependencies: DataFrame, direction: str) -> DataFrame:
     return dependencies.select(F.col(a).alias("src"), F.col(b).alias("dst"), "kind")
 
 
+def step(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges out of ``frontier`` (node, ...), a table that was written, with its columns. A frontier of up to FEW nodes
+    reaches the scan of the edges as a list of ids, so that only the row groups that may hold them are read."""
+    few = [r.node for r in frontier.select("node").limit(FEW + 1).collect()]
+    return frontier.join(edges.where(F.col("src").isin(few)) if len(few) <= FEW else edges, F.col("node") == F.col("src"))
+
+
 def walks(graph: CodeGraph, seeds: DataFrame, max_depth: int, direction: str = "outgoing") -> DataFrame:
     """(seed, symbol_id, depth, dep_kind, walks): all walks from seeds(id), walks that agree in these counted together.
 
     Counting before each join keeps a level at most as large as the nodes it reaches, where one row a walk would grow
-    with the product of the degrees. The loop unrolls the recursion into joins that Catalyst plans together."""
+    with the product of the degrees. Each level is written before the next reads it, so that the work is one join a level
+    and a level without rows is the last."""
     _check(max_depth, direction)
     edges = oriented(graph.dependencies, direction)
-    level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("symbol_id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("dep_kind"), F.lit(1).cast("long").alias("walks"))
+    level = cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("symbol_id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("dep_kind"), F.lit(1).cast("long").alias("walks")))
     out = level
     for depth in range(1, max_depth + 1):
-        ends = level.groupBy("seed", "symbol_id").agg(F.sum("walks").alias("walks"))
-        level = ends.join(edges, ends.symbol_id == edges.src).groupBy("seed", "dst", "kind").agg(F.sum("walks").alias("walks"))
-        level = level.select("seed", F.col("dst").alias("symbol_id"), F.lit(depth).alias("depth"), F.col("kind").alias("dep_kind"), "walks")
+        ends = level.groupBy("seed", F.col("symbol_id").alias("node")).agg(F.sum("walks").alias("walks"))
+        reached = step(ends, edges).groupBy("seed", "dst", "kind").agg(F.sum("walks").alias("walks"))
+        level = cut(reached.select("seed", F.col("dst").alias("symbol_id"), F.lit(depth).alias("depth"), F.col("kind").alias("dep_kind"), "walks"))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
@@ -69,11 +81,13 @@ def impact_radius(graph: CodeGraph, files: list[str], max_depth: int = 3) -> Dat
     seeds = graph.symbols.where(F.col("file_path").isin(files)).select("id")
     edges = oriented(graph.dependencies, "incoming")
     _check(max_depth)
-    level, out = seeds.select(F.col("id").alias("symbol_id")).distinct(), None
+    level, out = cut(seeds.select(F.col("id").alias("node")).distinct()), None
     for depth in range(1, max_depth + 1):
-        reached = level.join(edges, level.symbol_id == edges.src).groupBy("dst").agg(F.min("kind").alias("dep_kind")).select(F.col("dst").alias("symbol_id"), F.lit(depth).alias("depth"), "dep_kind")
+        reached = cut(step(level, edges).groupBy("dst").agg(F.min("kind").alias("dep_kind")).select(F.col("dst").alias("symbol_id"), F.lit(depth).alias("depth"), "dep_kind"))
+        if reached.isEmpty():
+            break
         out = reached if out is None else out.unionByName(reached)
-        level = reached.select("symbol_id")
+        level = reached.select(F.col("symbol_id").alias("node"))
     if out is None:
         out = seeds.limit(0).select(F.col("id").alias("symbol_id"), F.lit(0).alias("depth"), F.lit("").alias("dep_kind"))
     best = out.groupBy("symbol_id").agg(F.min(F.struct("depth", "dep_kind")).alias("best")).select("symbol_id", "best.depth", "best.dep_kind")
@@ -100,8 +114,8 @@ def shortest_path(graph: CodeGraph, source: str, target: str, max_depth: int = 5
         visited = levels[0].select("node")
         for level in levels[1:]:
             visited = visited.union(level.select("node"))
-        step = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy("dst").agg(F.min(F.struct("src", "kind")).alias("m"))
-        frontier = cut(step.select(F.col("dst").alias("node"), "m.src", "m.kind").withColumnRenamed("src", "parent").join(visited, "node", "left_anti"))
+        found = step(frontier.select("node"), edges).groupBy("dst").agg(F.min(F.struct("src", "kind")).alias("m"))
+        frontier = cut(found.select(F.col("dst").alias("node"), "m.src", "m.kind").withColumnRenamed("src", "parent").join(visited, "node", "left_anti"))
         if frontier.isEmpty():
             known = False
             break
