@@ -25,7 +25,7 @@ class Project:
         self.graph, self.root, self.settings = graph, root, settings
         self.parsed: DataFrame | None = None  # what was found in each file, with its hash, as long as the file stays as it is
         self.read_files = 0  # files that the last scan opened
-        self._cancelled = False
+        self._cancelled, self._index = False, None
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, settings: files.Settings = files.Settings()) -> Project:
@@ -95,8 +95,14 @@ class Project:
         """What a stream of changes is to call (``streaming.watch.watch(changes, project.watcher(spark).changed, ...)``)."""
         return watch.Watcher(lambda: self.refresh(spark), self.settings.idle_minutes * 60.0)
 
+    def index(self) -> search.SearchIndex:
+        """The search index of the graph, made when it is first asked for and again after a scan."""
+        if self._index is None or self._index[0] is not self.graph:
+            self._index = (self.graph, search.SearchIndex.build(self.graph.symbols))
+        return self._index[1]
+
     def find_interfaces(self, query: str, limit: int = search.DEFAULT_LIMIT) -> DataFrame:
-        return search.find_interfaces(self.graph, query, limit)
+        return search.find_interfaces(self.graph, query, limit, self.index())
 
     def get_interface(self, symbol: str) -> DataFrame:
         return self.graph.symbols.where(F.col("id") == traverse.resolve_one(self.graph, symbol))

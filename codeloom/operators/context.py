@@ -181,14 +181,14 @@ def pick_phases(candidates: DataFrame, phases=PHASES, support: int = 1) -> DataF
     return spark.createDataFrame(out, "phase string, id string, role string, score int")
 
 
-def seed_phases(symbols: DataFrame, question: str, per_term: int = 8) -> DataFrame:
+def seed_phases(symbols: DataFrame, question: str, per_term: int = 8, index: search.SearchIndex | None = None) -> DataFrame:
     """(phase, id, score): of each phase that a question speaks of, the function or method that plays it best among the
     first ``per_term`` finds of each of its search terms. Ties: file, line, qualified name. No phase, no rows."""
     active = active_phases(question)
     local = symbols.where(F.col("kind").isin("function", "method") & evidence.is_local() & ~evidence.is_test_symbol())
-    out = None
+    out, index = None, index or (search.SearchIndex.build(symbols) if active else None)
     for p in active:
-        found = reduce(DataFrame.unionByName, (search.search(symbols, t, per_term).select("id") for t in p.search)).distinct()
+        found = reduce(DataFrame.unionByName, (search.search(symbols, t, per_term, index).select("id") for t in p.search)).distinct()
         best = local.join(found, "id").select("id", phase_score(p).alias("score"), "file_path", "line", "qualified_name").where("score > 0")
         best = best.orderBy(F.desc("score"), "file_path", "line", "qualified_name").limit(1).select(F.lit(p.key).alias("phase"), "id", "score")
         out = best if out is None else out.unionByName(best)

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
+from ..storage import cut
 
 #: Indexed columns and their weights; BM25's parameters; the least inverse document frequency.
 COLUMNS = {"name": 10.0, "qualified_name": 3.0, "file_path": 1.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
 DEFAULT_LIMIT = 20
+SHOWN = ("id", "name", "qualified_name", "file_path")
 
 
 def query_terms(query: str) -> list[str]:
@@ -61,22 +64,65 @@ def match_class(query: str) -> Column:
     return F.when(name == q, 0).when(F.lower("qualified_name") == q, 1).when(name.startswith(q), 2).otherwise(3)
 
 
+def _score(tf: list[Column], df: list[int], n: int, average: float, length: Column) -> Column:
+    """BM25 of the terms, less is better."""
+    out = F.lit(0.0)
+    for k, d in enumerate(df):
+        idf = max(LEAST_IDF, math.log((n - d + 0.5) / (d + 0.5))) if n else LEAST_IDF
+        out = out - idf * tf[k] * (K1 + 1) / (tf[k] + K1 * (1 - B + B * length / (average or 1.0)))
+    return F.round(out, 6)
+
+
+@dataclass
+class SearchIndex:
+    """The inverted index as tables in the shared folder: postings by token, symbols by id with their number of tokens. A
+    search reads the row groups of its tokens and the symbols that they lead to, not the symbols' texts."""
+
+    postings: DataFrame  # id, part, pos, token
+    symbols: DataFrame  # id, name, qualified_name, file_path, _length
+    n: int
+    average: float
+
+    @classmethod
+    def build(cls, symbols: DataFrame) -> SearchIndex:
+        held = symbols.select("id", "name", "qualified_name", "file_path", sum((F.size(tokens(F.col(c))) for c in COLUMNS), F.lit(0)).alias("_length"))
+        held = cut(held.repartitionByRange("id").sortWithinPartitions("id"))
+        r = held.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("average")).first()
+        return cls(cut(token_index(symbols)), held, r.n, r.average or 1.0)
+
+    def frequency(self, words: list[str]) -> DataFrame:
+        """(id, tf): the weighted number of places where the words follow each other, the last as a prefix."""
+        *full, last = words
+        at = self.postings.where(F.col("token").startswith(last)).select("id", "part", (F.col("pos") - len(full)).alias("at"))
+        for k, w in enumerate(full):
+            at = at.join(self.postings.where(F.col("token") == w).select("id", "part", (F.col("pos") - k).alias("at")), ["id", "part", "at"], "left_semi")
+        weight = F.create_map(*(F.lit(x) for kv in COLUMNS.items() for x in kv))[F.col("part")]
+        return at.groupBy("id").agg(F.sum(weight).alias("tf"))
+
+    def matching(self, query: str) -> DataFrame:
+        """What ``search_prefix`` gives."""
+        found = [cut(self.frequency(w)) for t in query_terms(query) if (w := phrase(t))]
+        if not found:
+            return self.symbols.limit(0).select(*SHOWN, match_class(query).alias("class"), F.lit(0.0).alias("bm25"), F.char_length("name").alias("length"))
+        rows = self.symbols
+        for k, f in enumerate(found):
+            rows = rows.join(f.withColumnRenamed("tf", f"_tf{k}"), "id")
+        score = _score([F.col(f"_tf{k}") for k in range(len(found))], [f.count() for f in found], self.n, self.average, F.col("_length"))
+        return rows.select(*SHOWN, match_class(query).alias("class"), score.alias("bm25"), F.char_length("name").alias("length"))
+
+
 def search_prefix(symbols: DataFrame, query: str) -> DataFrame:
-    """Symbols that match every term of the query in some column, with class, bm25 (less is better) and length. The three
-    statistics of the corpus are one aggregation; no rows where the query has no terms."""
+    """Symbols that match every term of the query in some column, with class, bm25 (less is better) and length, by a scan.
+    The three statistics of the corpus are one aggregation; no rows where the query has no terms."""
     found = [w for t in query_terms(query) if (w := phrase(t))]
-    t = symbols.select("id", "name", "qualified_name", "file_path", *(tokens(F.col(c)).alias(f"_{c}") for c in COLUMNS))
+    t = symbols.select(*SHOWN, *(tokens(F.col(c)).alias(f"_{c}") for c in COLUMNS))
     t = t.withColumn("_length", sum((F.size(f"_{c}") for c in COLUMNS), F.lit(0)))
     for k, words in enumerate(found):
         t = t.withColumn(f"_tf{k}", reduce(lambda a, b: a + b, (_occurrences(F.col(f"_{c}"), words) * w for c, w in COLUMNS.items())))
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("_length").alias("avg"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(found)))).first()
-    score = F.lit(0.0)
-    for k in range(len(found)):
-        idf = max(LEAST_IDF, math.log((stats.n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))) if stats.n else LEAST_IDF
-        tf = F.col(f"_tf{k}")
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / (stats.avg or 1.0)))
+    score = _score([F.col(f"_tf{k}") for k in range(len(found))], [stats[f"df{k}"] for k in range(len(found))], stats.n, stats.avg, F.col("_length"))
     hit = reduce(lambda a, b: a & b, (F.col(f"_tf{k}") > 0 for k in range(len(found))), F.lit(bool(found)))
-    return t.where(hit).select("id", "name", "qualified_name", "file_path", match_class(query).alias("class"), F.round(score, 6).alias("bm25"), F.char_length("name").alias("length"))
+    return t.where(hit).select(*SHOWN, match_class(query).alias("class"), score.alias("bm25"), F.char_length("name").alias("length"))
 
 
 def search_substring(symbols: DataFrame, query: str) -> DataFrame:
@@ -85,24 +131,26 @@ def search_substring(symbols: DataFrame, query: str) -> DataFrame:
     return symbols.where(hit).select("id", "name", "qualified_name", "file_path", match_class(query).alias("class"), F.lit(0.0).alias("bm25"), F.char_length("name").alias("length"))
 
 
-def search(symbols: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The ``limit`` best symbols: prefix matches by class, bm25, length, name and id, then, where those are too few,
-    substring matches; (id, name, qualified_name, file_path, place)."""
+def search(symbols: DataFrame, query: str, limit: int = DEFAULT_LIMIT, index: SearchIndex | None = None) -> DataFrame:
+    """The ``limit`` best symbols: prefix matches by class, bm25, length, name and id, from the index if there is one, then,
+    where those are too few, substring matches, for which the names are scanned; (id, name, qualified_name, file_path,
+    tier, class, bm25)."""
     check_limit(limit)
     if not query.strip():
         raise ValueError("query must not be empty")
     order = ["tier", "class", "bm25", "length", "name", "id"]
-    first = search_prefix(symbols, query).withColumn("tier", F.lit(0)).orderBy(*order).limit(limit)
-    second = search_substring(symbols, query).withColumn("tier", F.lit(1)).orderBy(*order).limit(limit)  # at most limit of them repeat the first
-    second = second if not query_terms(query) else search_substring(symbols, query).join(first.select("id"), "id", "left_anti").withColumn("tier", F.lit(1)).orderBy(*order).limit(limit)
-    both = first.unionByName(second).orderBy(*order).limit(limit)
-    return both.select("id", "name", "qualified_name", "file_path", "tier", "class", "bm25")
+    matched = index.matching(query) if index else search_prefix(symbols, query)
+    both = first = cut(matched.withColumn("tier", F.lit(0)).orderBy(*order).limit(limit))  # ``limit`` rows
+    if first.count() < limit:
+        rest = search_substring(symbols, query).join(F.broadcast(first.select("id")), "id", "left_anti")
+        both = first.unionByName(rest.withColumn("tier", F.lit(1)).orderBy(*order).limit(limit)).orderBy(*order).limit(limit)
+    return both.orderBy(*order).select("id", "name", "qualified_name", "file_path", "tier", "class", "bm25")
 
 
-def find_interfaces(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def find_interfaces(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, index: SearchIndex | None = None) -> DataFrame:
     """Symbols of exactly this name, in order of id and however many, then those of ``search`` that are not among them."""
     exact = graph.symbols.where(F.col("name") == query).select("id", "name", "qualified_name", "file_path", F.lit(-1).alias("tier"), F.lit(0).alias("class"), F.lit(0.0).alias("bm25"))
-    rest = search(graph.symbols, query, limit).where(F.col("name") != query)
+    rest = search(graph.symbols, query, limit, index).where(F.col("name") != query)
     more = F.greatest(F.lit(limit) - F.lit(exact.count()), F.lit(0))
     order = F.row_number().over(Window.orderBy("tier", "class", "bm25", F.char_length("name"), "name", "id"))  # over ``limit`` rows
     return exact.unionByName(rest.withColumn("_n", order).where(F.col("_n") <= more).drop("_n"))

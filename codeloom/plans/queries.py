@@ -14,7 +14,7 @@ from ..operators import context, incremental, modules, rank, resolve, search, tr
 from ..sources import files
 from ..streaming import watch
 from . import languages
-from .testgraph import event_graph, star_graph
+from .testgraph import event_graph, star_graph, star_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,7 +201,8 @@ tf AS (SELECT *, len(a) + len(b) + len(c) AS length, 10.0 * len(list_filter(a, l
 st AS (SELECT count(*)::DOUBLE AS n, avg(length)::DOUBLE AS av, count(*) FILTER (t0 > 0)::DOUBLE AS d0, count(*) FILTER (t1 > 0)::DOUBLE AS d1 FROM tf),
 hits AS (SELECT id, name, round(-(greatest(1e-6, ln((n - d0 + 0.5) / (d0 + 0.5))) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * length / av)) + greatest(1e-6, ln((n - d1 + 0.5) / (d1 + 0.5))) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * length / av)))::DOUBLE, 6) AS bm25, length(name) AS len FROM tf, st WHERE t0 > 0 AND t1 > 0)"""
 on_star("search_prefix", TOKENS + " SELECT id, name FROM hits")(lambda g: search.search_prefix(g.symbols, "red pl").select("id", "name"))
-on_star("search_bm25", TOKENS + " SELECT id, name, bm25 FROM hits ORDER BY bm25, len, name, id LIMIT 20")(lambda g: search.search(g.symbols, "red pl").select("id", "name", "bm25"))
+register("search_bm25", STAR + TOKENS + " SELECT id, name, bm25 FROM hits ORDER BY bm25, len, name, id LIMIT 20")(lambda spark, sf: search.search(star_graph(spark, sf).symbols, "red pl", 20, star_index(spark, sf)).select("id", "name", "bm25"))
+register("search_indexed", STAR + TOKENS + " SELECT id, name, bm25 FROM hits")(lambda spark, sf: star_index(spark, sf).matching("red pl").select("id", "name", "bm25"))
 on_star("find_interfaces", " SELECT id, name, qualified_name FROM symbols WHERE name = 'red_plate'")(lambda g: search.find_interfaces(g, "red_plate").select("id", "name", "qualified_name"))
 on_star("token_index", ", parts AS (SELECT id, 'name' AS part, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS token FROM symbols UNION ALL SELECT id, 'qualified_name', unnest(regexp_extract_all(lower(qualified_name), '[\\p{L}\\p{N}]+')) FROM symbols UNION ALL SELECT id, 'file_path', unnest(regexp_extract_all(lower(file_path), '[\\p{L}\\p{N}]+')) FROM symbols) SELECT part, token, count(*) AS n, count(DISTINCT id) AS df FROM parts GROUP BY 1, 2")(lambda g: search.token_index(g.symbols).groupBy("part", "token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("df")))
 register("extract_identifiers", "WITH w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_:/.]+'), lambda x: regexp_replace(x, '^\\.+|\\.+$', '', 'g')), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')) AS l FROM conversations), u AS (SELECT conv_id, turn, list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: x) AS l FROM w) SELECT conv_id, turn, array_to_string(l[1:8], '|') AS identifiers FROM u")(
@@ -296,6 +297,12 @@ def _pick_sql() -> str:
 register("workflow_phase_pick", _pick_sql())(lambda spark, sf: context.pick_phases(players(spark, sf)).select("phase", "id", "role", F.col("score").cast("long").alias("score")))
 
 
+SEEDS_SQL = f"{SCORED}, f AS (SELECT * FROM scored WHERE kind = 'method' AND NOT regexp_matches(p || ' ' || q, '/tests/|/test/|_test\\.')) " + " UNION ALL ".join(
+    f"(SELECT '{p}' AS phase, id, {p} AS score FROM f WHERE {p} > 0 AND ({' OR '.join(f'contains(n, {t!r}) OR contains(q, {t!r})' for t in PHASE_SQL[p][0])}) ORDER BY {p} DESC, file_path, k, q LIMIT 1)" for p in ("approval", "queue")
+)
+register("workflow_seeds", SEEDS_SQL)(lambda spark, sf: context.seed_phases(players(spark, sf), "why is it queued after approval?", 100_000).select("phase", "id", F.col("score").cast("long").alias("score")))
+
+
 BUDGET_SQL = """WITH q AS (SELECT conv_id, turn, ['lean', 'normal', 'wide', ''][1 + conv_id % 4] AS asked, ['locate', 'behavior', 'impact', 'workflow', 'call_chain', 'watcher'][1 + (conv_id + turn) % 6] AS scene, turn % 2 = 0 AS snippets FROM conversations),
 b AS (SELECT *, (asked IN ('lean', '') AND (scene = 'workflow' OR (scene = 'behavior' AND snippets))) AS widened FROM q), c AS (SELECT *, CASE WHEN widened THEN 'normal' WHEN asked = '' THEN 'lean' ELSE asked END AS budget FROM b)
 SELECT conv_id, turn, budget, widened, CASE budget WHEN 'lean' THEN 2 WHEN 'normal' THEN 3 ELSE 4 END AS depth, CASE WHEN NOT snippets THEN 0 ELSE CASE budget WHEN 'lean' THEN 0 WHEN 'normal' THEN 2 ELSE 4 END END AS snippet_limit FROM c"""

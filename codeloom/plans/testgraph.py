@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph, symbol_id
+from ..operators.search import SearchIndex
 from ..storage import cut
 
+_indexed: dict[tuple[str, str, str], SearchIndex] = {}
 _projected: dict[tuple[str, str, str], CodeGraph] = {}
 
 
@@ -32,6 +34,14 @@ def _nodes(t: DataFrame, prefix: str, key: str, name: Column, kind: str, file_pa
     )
 
 
+def star_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The search index of the star graph, made once in an application."""
+    key = (spark.sparkContext.applicationId, "index", sf_dir)
+    if key not in _indexed:
+        _indexed[key] = SearchIndex.build(star_graph(spark, sf_dir).symbols)
+    return _indexed[key]
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return _once(spark, "star", sf_dir, lambda: _star_graph(spark, sf_dir))
 
