@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import CodeGraph
+from .manifest import Manifest
 from .operators import context, incremental, rank, resolve, search, traverse
 from .sources import extract, files
 from .storage import cut
@@ -26,6 +27,7 @@ class Project:
         self.parsed: DataFrame | None = None  # what was found in each file, with its hash, as long as the file stays as it is
         self.read_files = 0  # files that the last scan opened
         self._cancelled, self._index = False, None
+        self.manifest: Manifest | None = None
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, settings: files.Settings = files.Settings()) -> Project:
@@ -34,6 +36,16 @@ class Project:
         project.rebuild(spark)
         return project
 
+    @classmethod
+    def open(cls, spark: SparkSession, manifest: Manifest, id: str) -> Project:
+        """Scans a project of a registry, with its settings, and notes its counts there."""
+        e = manifest.entries[id]
+        project = cls.scan(spark, e.path, e.settings)
+        project.manifest = manifest
+        manifest.scanned(id, project.get_scan_status())
+        manifest.save()
+        return project
+
     def cancel(self) -> None:
         """Asks a scan under way to stop: it does so before its next step, and the graph stays as it was."""
         self._cancelled = True
@@ -121,7 +133,7 @@ class Project:
         return self.graph.symbols.where(F.col("file_path") == file).orderBy("line", "col", "name")
 
     def list_project_interfaces(self) -> DataFrame:
-        return self.graph.symbols.orderBy("file_path", "line", "col", "name")
+        return self.graph.scan("symbols")
 
     def get_verification_context(self, symbol: str) -> dict[str, DataFrame]:
         return context.verification_context(self.graph, symbol)
@@ -144,6 +156,12 @@ class Project:
     def locate_relevant_code(self, question: str | None = None, **given) -> dict[str, DataFrame]:
         return self.get_task_context(question, mode="locate", **given)
 
+    def list_projects(self) -> DataFrame:
+        """The registry that the project was opened from, or the project alone."""
+        if self.manifest is not None:
+            return self.manifest.table()
+        return self.graph.symbols.sparkSession.createDataFrame([(self.root.rstrip("/").rpartition("/")[2], self.root)], "name string, path string")
+
     def get_scan_status(self) -> DataFrame:
         return self.graph.stats()
 
@@ -161,8 +179,10 @@ class Project:
         return out
 
     def resource(self, uri: str):
-        """``interfaces``, ``interface/NAME``, ``interface/NAME/dependencies``, ``status``."""
+        """``projects``, ``interfaces``, ``interface/NAME``, ``interface/NAME/dependencies``, ``status``."""
         parts = uri.strip("/").split("/")
+        if parts == ["projects"]:
+            return self.list_projects()
         if parts == ["interfaces"]:
             return self.list_project_interfaces()
         if parts == ["status"]:

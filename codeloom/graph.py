@@ -45,6 +45,17 @@ class CodeGraph:
         read = lambda name, s: spark.read.schema(s).parquet(f"{mark.folder}/{name}")
         return cls(*(read(n, s) for n, s in (("symbols", schema.SYMBOLS), ("dependencies", schema.DEPENDENCIES), ("imports", schema.IMPORTS), ("file_state", schema.FILE_STATE))))
 
+    def scan(self, name: str) -> DataFrame:
+        """All rows of a table: symbols by file, line, column and name, edges by file, line, source and target."""
+        order = {"symbols": ("file_path", "line", "col", "name"), "dependencies": ("from_file", "from_line", "from_symbol", "to_symbol")}
+        t = self.tables()[name]
+        return t.orderBy(*order[name]) if name in order else t
+
+    def append(self, dependencies: DataFrame | None = None, imports: DataFrame | None = None) -> CodeGraph:
+        """The graph with more edges and imports; rows that it has already are not looked for."""
+        more = lambda t, new: t if new is None else new if t is None else t.unionByName(new)
+        return CodeGraph(self.symbols, more(self.dependencies, dependencies), more(self.imports, imports), self.file_state)
+
     def register(self) -> None:
         for name, t in self.tables().items():
             t.createOrReplaceTempView(f"graph_{name}")

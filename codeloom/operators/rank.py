@@ -130,6 +130,13 @@ def signature_sums(dependencies: DataFrame) -> DataFrame:
     return dependencies.groupBy("from_symbol").agg(F.struct(*(s.alias(f"s{k}") for k, s in enumerate(sums)), F.count(F.lit(1)).alias("n")).alias("signature"))
 
 
+def benchmark_summary(runs: DataFrame) -> DataFrame:
+    """(route, runs, score, elapsed, files, recall) of benchmark runs (route, score, elapsed, files, found, expected): means
+    by route, and what was found of all that was expected, a run's find counting up to what it was expected to find."""
+    recall = F.sum(F.least("found", "expected")) / F.nullif(F.sum("expected"), F.lit(0))
+    return runs.groupBy("route").agg(F.count(F.lit(1)).alias("runs"), F.avg("score").alias("score"), F.avg("elapsed").alias("elapsed"), F.avg("files").alias("files"), recall.alias("recall"))
+
+
 def nearest_to_line(symbols: DataFrame, file: str, line: int, name: str | None = None) -> DataFrame:
     """The symbol of a file nearest to a line; with ``name``, among those of that name."""
     s = symbols.where(F.col("file_path") == file)

@@ -13,7 +13,7 @@ from ..graph import CodeGraph, symbol_id
 from ..operators import context, incremental, modules, rank, resolve, search, traverse
 from ..sources import files
 from ..streaming import watch
-from . import languages
+from . import languages, sourcefiles
 from .testgraph import event_graph, star_graph, star_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,13 +391,44 @@ on_star("resolve_synthetic", RAW + " SELECT sha256('<builtin>::len') AS id, 'len
 on_star("resolve_import_glob", ", g AS (SELECT 'app/main' AS file_path, s.name AS bound, s.id FROM symbols s WHERE s.file_path IN ('catalog/Brand#1', 'catalog/Brand#2')) SELECT file_path, bound, min(id) AS id FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) = 1")(lambda g: modules.glob_bindings(modules.unique_by(g.symbols, "file_path", "name").withColumnRenamed("file_path", "module"), g.symbols.sparkSession.createDataFrame([("app/main", f"catalog/Brand#{k}") for k in (1, 2)], "file_path string, module string"), g.symbols.select(F.lit("app/main").alias("file_path"), F.col("name").alias("bound"))))
 on_star("resolve_suffix", ", parts AS (SELECT id, string_split(qualified_name, '::') AS p FROM symbols), suf AS (SELECT unnest([p[2], p[1] || '::' || p[2]]) AS suffix, id FROM parts) SELECT suffix, min(id) AS id FROM suf GROUP BY 1 HAVING count(*) = 1")(lambda g: resolve.suffix_index(g.symbols))
 for _language in languages.EXTENSIONS:
+    register(f"extract_{_language}", sourcefiles.extraction_sql(_language))(sourcefiles.extraction_query(_language))
     register(f"resolve_{_language}", languages.language_sql(_language))(languages.language_query(_language))
 on_star("orphan_externals", " SELECT 'orphan' AS name")(lambda g: incremental.orphans(replace(g, symbols=g.symbols.unionByName(g.symbols.where("qualified_name in ('geo::region/0', 'geo::region/1')").withColumn("source", F.lit("external")).withColumn("name", F.when(F.col("line") == 0, "orphan").otherwise("kept")).withColumn("id", F.when(F.col("line") == 0, symbol_id(F.lit("none"))).otherwise(F.col("id")))))).select("name"))
 
 
-@register("reexport_closure", "SELECT * FROM (VALUES ('a', 'x', 'b', 'y'), ('a', 'x', 'c', 'z'), ('b', 'y', 'c', 'z'), ('c', 'z', 'b', 'y'), ('b', 'y', 'b', 'y'), ('c', 'z', 'c', 'z')) v(module, name, target_module, target_name)")
+def barrels(spark: SparkSession, sf: str) -> DataFrame:
+    """Hops of names through modules, five in a row: each passes x on to the next, the last all of its names to the first."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(k.cast("int").alias("k"))
+    name, module = F.concat(F.lit("x"), (F.col("k") - F.col("k") % 5).cast("string")), lambda n: F.concat(F.lit("m"), n.cast("string"))
+    ends = F.col("k") % 5 == 4
+    return rows.select(module(F.col("k")).alias("module"), F.when(ends, "*").otherwise(name).alias("name"), F.when(ends, module(F.col("k") - 4)).otherwise(module(F.col("k") + 1)).alias("target_module"), F.when(ends, "*").otherwise(name).alias("target_name"), F.lit(1).alias("line"))
+
+
+EXPORTS_SQL = "WITH p AS (SELECT p_partkey AS k, p_partkey - p_partkey % 5 AS g FROM part) SELECT 'm' || k AS module, 'x' || g AS name, sha256('m' || (g + 4) || '::x' || g) AS id FROM p WHERE g + 4 IN (SELECT k FROM p)"
+
+
+@register("reexport_exports", EXPORTS_SQL)
+def reexport_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Every module of a row exports the name that the last one defines, and the cycle back ends."""
+    hops = barrels(spark, sf)
+    last = hops.where("name = '*'").select(F.col("module").alias("file_path"), F.concat(F.lit("x"), F.regexp_extract("target_module", "([0-9]+)", 1)).alias("name"))
+    return modules.exports(last.withColumn("id", symbol_id(F.concat("file_path", F.lit("::"), "name"))), hops)
+
+
+@register("reexport_closure", "WITH p AS (SELECT p_partkey AS k, p_partkey - p_partkey % 5 AS g FROM part) SELECT 'm' || a.k AS module, 'x' || a.g AS name, 'm' || b.k AS target_module, 'x' || a.g AS target_name FROM p a JOIN p b ON a.g = b.g AND b.k > a.k WHERE a.k % 5 < 4 UNION ALL SELECT 'm' || k, 'x' || g, 'm' || (k + 1), 'x' || g FROM p WHERE k % 5 < 4 AND k + 1 NOT IN (SELECT k FROM p)")
 def reexport_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return modules.reexports(spark.createDataFrame([("a", "x", "b", "y"), ("b", "y", "c", "z"), ("c", "z", "b", "y")], "module string, name string, target_module string, target_name string"))
+    return modules.reexports(barrels(spark, sf).where("name <> '*'"))
+
+
+BENCH_SQL = "SELECT o_orderstatus AS route, count(*) AS runs, round(avg(o_orderkey % 6), 6) AS score, round(avg(o_totalprice), 4) AS elapsed, round(avg(o_custkey % 9), 6) AS files, round(sum(least(o_custkey % 4, 3))::DOUBLE / sum(3), 6) AS recall FROM orders GROUP BY 1"
+
+
+@register("benchmark_summary", BENCH_SQL)
+def benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
+    runs = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderstatus").alias("route"), (F.col("o_orderkey") % 6).alias("score"), F.col("o_totalprice").alias("elapsed"), (F.col("o_custkey") % 9).alias("files"), (F.col("o_custkey") % 4).alias("found"), F.lit(3).alias("expected"))
+    made = rank.benchmark_summary(runs)
+    return made.select("route", "runs", F.round("score", 6).alias("score"), F.round("elapsed", 4).alias("elapsed"), F.round("files", 6).alias("files"), F.round("recall", 6).alias("recall"))
 
 
 # snapshots
@@ -465,22 +496,3 @@ def task_context(g: CodeGraph) -> DataFrame:
     return context.task_context(g, "what breaks if I change order_7?")["summary"]
 
 
-SAMPLES = {
-    "python": ("app/main.py", "from lib.util import helper as h\nimport os\n\nclass Base:\n    pass\n\nclass Service(Base):\n    def run(self, n: int) -> int:\n        return h(n) + len([n])\n\ndef main():\n    Service().run(1)\n"),
-    "rust": ("src/main.rs", "use crate::util::{self, helper as h, deep::*};\npub struct Point { x: i32 }\nimpl Point {\n    pub fn norm(&self) -> i32 { h(self.x) }\n}\nfn main() {\n    println!(\"{}\", util::run());\n    Point::norm(&p);\n}\n"),
-    "typescript": ("src/app.ts", "import { format as f, other } from './shared';\nexport interface Repo { find(): void }\nexport class Service extends Base implements Repo {\n  private name: string;\n  run(x: number): string {\n    return f(new Item(x));\n  }\n}\nexport const go = (s: Service) => { s.run(1); };\n"),
-    "go": ("main.go", "package main\n\nimport (\n\tf \"fmt\"\n\t. \"strings\"\n)\n\ntype User struct { Name string }\n\nfunc (u *User) Format() string { return ToUpper(u.Name) }\n\nfunc main() {\n\tf.Println(len(\"a\"))\n}\n"),
-    "java": ("src/a/Service.java", "package a;\nimport java.util.List;\nimport static a.Util.help;\npublic class Service extends Base implements Repo {\n  private int n;\n  public void run() {\n    help(new Item());\n  }\n}\n"),
-    "c": ("run.c", "#include <stdio.h>\n#include \"a.h\"\ntypedef int num;\nstruct node { int x; };\nstatic int helper(int a) { return a; }\nint run(void) {\n  return helper(1);\n}\n"),
-}
-
-
-def samples(spark: SparkSession) -> DataFrame:
-    from ..sources import extract
-
-    return extract.extract(spark.createDataFrame([(p, lang, t) for lang, (p, t) in SAMPLES.items()], "path string, language string, text string"))
-
-
-register("extract_symbols")(lambda spark, sf: samples(spark).select("path", F.inline("symbols")))
-register("extract_dependencies")(lambda spark, sf: samples(spark).select("path", F.inline("dependencies")))
-register("extract_imports")(lambda spark, sf: samples(spark).select("path", F.inline("imports")))

@@ -100,12 +100,41 @@ def parse_python(path: str, text: str) -> Parsed:
     return out
 
 
+#: A regular expression of a script: a slash where a value may begin.
+SCRIPT_REGEX = r"(?:(?<=[(,=:\[!&|?{};\n])|(?<=[(,=:\[!&|?{};] )|(?<=return ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
+
+
+def _spaces(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def _template(text: str) -> str:
+    """A template literal with what stands in its ``${}`` kept."""
+    out, at = "", 0
+    while (start := text.find("${", at)) >= 0:
+        depth, end = 1, start + 2
+        while end < len(text) and depth:
+            depth += (text[end] == "{") - (text[end] == "}")
+            end += 1
+        out += _spaces(text[at : start + 2]) + text[start + 2 : end - 1] + " "
+        at = end
+    return out + _spaces(text[at:])
+
+
 def blank(text: str, hash_comments: bool, quotes: str) -> tuple[str, int]:
-    """The text with strings and comments blanked out, line breaks kept, and how many brackets have no partner."""
+    """The text with strings, comments and, where there are templates, regular expressions blanked out, line breaks kept,
+    and how many brackets have no partner."""
     comment = r"#[^\n]*" if hash_comments else r"//[^\n]*|/\*.*?(?:\*/|\Z)"
     string = "|".join(rf"{q}(?:\\.|[^{q}\\{'' if q == '`' else chr(10)}])*{q}" for q in quotes)
-    keep = lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] in "#/" else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1]
-    plain = re.sub(f"{comment}|{string}", keep, text, flags=re.S)
+    script = "`" in quotes and "\"'`" == quotes
+
+    def keep(m: re.Match) -> str:
+        first = m[0][0]
+        if first in "#/":
+            return _spaces(m[0])
+        return _template(m[0]) if first == "`" and script else first + _spaces(m[0][1:-1]) + m[0][-1]
+
+    plain = re.sub("|".join([comment, *([SCRIPT_REGEX] if script else []), string]), keep, text, flags=re.S)
     return plain, sum(abs(plain.count(a) - plain.count(b)) for a, b in ("{}", "()", "[]"))
 
 
@@ -135,22 +164,24 @@ _BASES = r"(?:\s*<[^>{\n]*>)?(?P<bases>[^{;\n]*)"
 LANGUAGES: dict[str, Language] = {
     "rust": Language(
         ((r"\bfn\s+(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<args>[^)]*)\)", "function"), (r"\bstruct\s+(?P<name>\w+)", "struct"), (r"\benum\s+(?P<name>\w+)", "enum"), (r"\btrait\s+(?P<name>\w+)", "trait"), (r"\btype\s+(?P<name>\w+)", "type_alias"),
-         (r"\bmod\s+(?P<name>\w+)", "module"), (r"\bmacro_rules!\s*(?P<name>\w+)", "macro"), (r"\bconst\s+(?P<name>\w+)\s*:", "constant"), (r"\bstatic\s+(?:mut\s+)?(?P<name>\w+)\s*:", "variable"), (r"\bimpl(?:\s*<[^>]*>)?\s+(?P<name>\w+)", "impl")),
+         (r"\bmod\s+(?P<name>\w+)", "module"), (r"\bmacro_rules!\s*(?P<name>\w+)", "macro"), (r"\bconst\s+(?P<name>\w+)\s*:", "constant"), (r"\bstatic\s+(?:mut\s+)?(?P<name>\w+)\s*:", "variable"), (r"\bimpl(?:\s*<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+)", "impl"),
+         (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?P<name>[a-z_]\w*)\s*:\s*(?P<args>[^\n;={}]+?),?\s*$", "property"), (r"^\s*(?P<name>[A-Z]\w*)\s*(?:\([^)\n]*\)|\{[^}\n]*\})?\s*(?:=\s*[^,\n]+)?,?\s*$", "enum_variant")),
         ((r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", "use"),), ("struct", "trait", "enum", "impl"), r"\bpub\b(?!\s*\()", r"\bpub\s*\(", quotes='"', new=""),
     "go": Language(
         ((r"^func\s*\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*(?P<name>\w+)\s*\((?P<args>[^)]*)\)", "method"), (r"^func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\((?P<args>[^)]*)\)", "function"), (r"^type\s+(?P<name>\w+)\s+struct", "struct"), (r"^type\s+(?P<name>\w+)\s+interface", "interface"),
          (r"^type\s+(?P<name>\w+)", "type_alias"), (r"^const\s+(?P<name>\w+)", "constant"), (r"^var\s+(?P<name>\w+)", "variable")),
         ((r'^\s*(?:import\s+)?((?:[\w.]+\s+)?"[^"\n]+")\s*$', "go"),), (), default="upper", quotes="\"`'", new=""),
     "c": Language(
-        ((r"^\s*typedef\b[^;{]*?\b(?P<name>\w+)\s*;", "type_alias"), (r"^\s*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*(?=\{)", "struct"), (r"^\s*(?:typedef\s+)?enum\s+(?P<name>\w+)\s*(?=\{)", "enum"), (_C_FN, "function"), (r"^\s*#define\s+(?P<name>\w+)", "constant")),
-        ((r'^\s*#\s*include\s*[<"]([^>"]+)[>"]', "named"),), (), default="static", new=""),
+        ((r"^\s*typedef\b[^;{]*?\b(?P<name>\w+)\s*;", "type_alias"), (r"^\s*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*(?=\{)", "struct"), (r"^\s*(?:typedef\s+)?enum\s+(?P<name>\w+)\s*(?=\{)", "enum"), (_C_FN, "function"), (r"^\s*#define\s+(?P<name>\w+)", "constant"), (r"^\s*(?P<name>[A-Za-z_]\w*)\s*(?:=\s*[^,\n]+)?,?\s*$", "enum_variant")),
+        ((r'^\s*#\s*include\s*[<"]([^>"]+)[>"]', "named"),), ("enum",), default="static", new=""),
     "cpp": Language(
         ((r"\bnamespace\s+(?P<name>\w+)", "module"), (rf"\bclass\s+(?P<name>\w+){_BASES}(?=\{{)", "class"), (rf"\bstruct\s+(?P<name>\w+){_BASES}(?=\{{)", "struct"), (r"\benum\s+(?:class\s+)?(?P<name>\w+)", "enum"), (r"\busing\s+(?P<name>\w+)\s*=", "type_alias"),
          (_C_FN.replace("^(", r"^\s*("), "function")),
         ((r'^\s*#\s*include\s*[<"]([^>"]+)[>"]', "named"),), ("class", "struct"), default="public"),
     "java": Language(
         ((rf"\bclass\s+(?P<name>\w+){_BASES}", "class"), (rf"\binterface\s+(?P<name>\w+){_BASES}", "interface"), (r"\benum\s+(?P<name>\w+)", "enum"), (rf"\brecord\s+(?P<name>\w+){_BASES}", "class"),
-         (r"^\s*(?:[\w<>\[\],.?@]+\s+)*?(?:[\w<>\[\],.?]+\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^;{}()]*)\)\s*(?:throws\s+[\w., ]+)?(?=[{;])", "function"), (r"^\s*(?:\w+\s+)*static\s+final\s+[\w<>\[\]]+\s+(?P<name>\w+)\s*=", "constant"),
+         (r"^\s*(?:[\w<>\[\],.?@]+\s+)*(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^;{}()]*)\)\s*(?:throws\s+[\w., ]+)?(?=\{)", "function"),
+         (r"^\s*(?:[\w<>\[\],.?@]+\s+)+(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^;{}()]*)\)\s*(?:throws\s+[\w., ]+)?(?=;)", "function"), (r"^\s*(?:\w+\s+)*static\s+final\s+[\w<>\[\]]+\s+(?P<name>\w+)\s*=", "constant"),
          (r"^\s*(?:private|public|protected)\s+(?:static\s+|final\s+)*[\w<>\[\],.]+\s+(?P<name>\w+)\s*[;=]", "property")),
         ((r"^\s*import\s+((?:static\s+)?[\w.*]+)\s*;", "java"),)),
     "csharp": Language(
@@ -267,7 +298,10 @@ def parse_lexed(path: str, text: str, language: str) -> Parsed:
     found.sort(key=lambda x: x[0])
     scopes: list[tuple[int, int, str, str, str]] = []  # start, end, name, kind, qualified name
     calls = re.compile(r"((?:[A-Za-z_]\w*(?:::|\.|->))*[A-Za-z_]\w*!?)\s*\(" if language != "objc" else r"(?:\[\s*[\w\]\[ ]+?\s+(\w+)\s*[\]:])|\b([A-Za-z_]\w*)\s*\(")
+    inside = {"enum_variant": "enum"} | ({"property": "struct"} if language == "rust" else {})
     for at, m, kind in found:
+        if kind in inside and (not (held := [x for x in scopes if x[0] <= at < x[1]]) or held[-1][3] != inside[kind]):
+            continue
         start = m.end()
         end = _block_end(plain, start, spec, m.start("name"), kind)
         outer = [s for s in scopes if s[0] <= at < s[1]]
@@ -282,7 +316,7 @@ def parse_lexed(path: str, text: str, language: str) -> Parsed:
             continue
         kind = "method" if kind == "function" and parent and language != "go" else kind
         statement = plain[max(plain.rfind(c, 0, at) for c in "\n;{}") + 1 : at]
-        visibility = _visibility(spec, statement, m["name"])
+        visibility = "public" if kind == "enum_variant" else _visibility(spec, statement, m["name"])
         args = m.groupdict().get("args")
         qualified = out.symbol(m["name"], kind, line_of(at), column_of(at), visibility, parent, re.sub(r"\s+", " ", args).strip() if args is not None else None)
         for target, how in _supertypes(language, m.groupdict().get("bases") or "", kind):
@@ -316,7 +350,7 @@ def parse_lexed(path: str, text: str, language: str) -> Parsed:
 
 def _block_end(plain: str, start: int, spec: Language, name: int, kind: str) -> int:
     """Where the block that a declaration opens ends; its start if it opens none before its statement ends."""
-    if kind in ("constant", "variable", "property", "type_alias", "macro"):
+    if kind in ("constant", "variable", "property", "type_alias", "macro", "enum_variant"):
         return start
     if spec.ends:
         indent = re.match(r"[ \t]*", plain[plain.rfind("\n", 0, name) + 1 :])[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +42,42 @@ class Settings:
 
     @classmethod
     def load(cls, text: str) -> Settings:
-        """Settings from TOML."""
+        """Settings from TOML (its table ``scan``) or from JSON5 (an object, or its member ``scan``)."""
         import tomllib
 
-        given = tomllib.loads(text).get("scan", {})
+        found = json5(text) if text.lstrip().startswith(("{", "//", "/*")) else tomllib.loads(text)
+        given = found.get("scan", {} if not text.lstrip().startswith(("{", "//", "/*")) else found)
+        unknown = set(given) - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown setting: {min(unknown)}")
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
 
 
+def json5(text: str):
+    """JSON with comments, single quotes, bare keys, trailing commas, hexadecimal numbers and plus signs."""
+    token = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<mark>[{}\[\]:,])|(?P<word>[^\s{}\[\]:,"'/]+)""", re.S)
+    out, at = [], 0
+    while at < len(text):
+        m = token.match(text, at)
+        if not m:
+            raise ValueError(f"unexpected character at {at}")
+        at = m.end()
+        if m["string"]:
+            inner = re.sub(r"\\\n", "", m["string"][1:-1])
+            inner = re.sub(r"\\'", "'", inner)
+            out.append('"' + re.sub(r'(?<!\\)"', '\\\\"', inner) + '"')
+        elif m["mark"]:
+            if m["mark"] in "}]" and out and out[-1] == ",":
+                out.pop()
+            out.append(m["mark"])
+        elif m["word"]:
+            w = m["word"].lstrip("+")
+            key = re.match(r"\s*:", text[at:])
+            w = str(int(w, 16)) if re.fullmatch(r"-?0[xX][0-9a-fA-F]+", w) else re.sub(r"\.$", ".0", re.sub(r"^(-?)\.", r"\g<1>0.", w)) if re.fullmatch(r"-?[\d.]+", w) else w
+            out.append(json.dumps(m["word"]) if key else w)
+    return json.loads("".join(out))
+
+
 def glob_to_regex(glob: str) -> str:
     """``**`` crosses folders, ``*`` and ``?`` don't; braces list alternatives. Anchored at both ends."""
     out, i = "", 0

@@ -238,3 +238,68 @@ def test_anchors_by_precedence(spark):
     assert out["source_snippets"].first().tokens > 0 and out["summary"].first().status == "ready"
     assert context.task_context(g, mode="call_chain", symbols=("a",))["summary"].first().status == "needs_anchor"
     assert context.task_context(g, mode="call_chain", symbols=("a", "b"))["files"].first().symbols == 2
+
+
+def test_settings_in_toml_and_json5():
+    json5 = "{ // a comment\n  exclude: ['dist/**', \"it's/**\",],\n  include_tests: true, /* minutes */ idle_minutes: 0x0A,\n}"
+    toml = "[scan]\nexclude = ['dist/**', \"it's/**\"]\ninclude_tests = true\nidle_minutes = 10\n"
+    assert files.Settings.load(json5) == files.Settings.load(toml) == files.Settings(exclude=("dist/**", "it's/**"), include_tests=True, idle_minutes=10)
+    assert files.Settings.load("{scan: {idle_minutes: +7}}").idle_minutes == 7
+    for wrong in ("{idle_minutes: 0}", "{nothing: 1}", "{languages: ['cobol']}"):
+        with pytest.raises(ValueError):
+            files.Settings.load(wrong)
+
+
+def test_registry_and_endpoints(spark, tmp_path):
+    import json
+    import shutil
+    import threading
+    import urllib.request
+
+    from codeloom.__main__ import answer, server
+    from codeloom.manifest import Manifest
+
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.py").write_text("def low():\n    return 1\n\ndef high():\n    return low()\n")
+    m = Manifest(spark, str(tmp_path / "projects.json"))
+    ids = [m.add(str(tmp_path / name), settings=files.Settings(exclude=())).id for name in ("one", "two")]
+    m.save()
+    p = Project.open(spark, Manifest(spark, str(tmp_path / "projects.json")), ids[0])
+    again = Manifest(spark, str(tmp_path / "projects.json"))
+    assert [(e.name, e.counts.get("symbols")) for e in again.list()] == [("one", 2), ("two", None)]
+    shutil.rmtree(tmp_path / "two")
+    assert [e.name for e in again.prune()] == ["two"] and len(again.list()) == 1
+    assert [r["name"] for r in answer(p, "find", ["low"])] == ["low"] and [r["name"] for r in answer(p, "chain", ["high", "low"])] == ["high", "low"]
+    http = server(spark, p, 0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    get = lambda path: json.load(urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{path}"))
+    try:
+        assert [r["name"] for r in get("/interface/high/dependencies")] == ["high", "low"] and len(get("/interfaces")) == 2 and [r["name"] for r in get("/projects")] == ["one", "two"]
+        with pytest.raises(urllib.error.HTTPError):
+            get("/nowhere")
+    finally:
+        http.shutdown()
+
+
+def test_search_with_an_index_is_search_by_a_scan(spark):
+    names = ["process_data", "DataProcessor", "process", "data_process_data", "other", "pre_process", "datum", "über_daten"]
+    symbols = spark.createDataFrame([(str(k), n, f"src/{n[:3]}.py::{n}", "function", f"src/{n[:3]}.py", 1, 1, "public", None, "local") for k, n in enumerate(names)], schema.SYMBOLS)
+    index = search.SearchIndex.build(symbols)
+    for query in ("process", "data", "process_data", "src pro", "data_process", "py data", "über", "%", "zzz"):
+        scan, held = (sorted(map(tuple, x.collect())) for x in (search.search_prefix(symbols, query), index.matching(query)))
+        assert scan == held, query
+
+
+def test_scans_and_appends(spark):
+    g = graph(spark, [("b", "a", "call"), ("a", "b", "call")])
+    more = g.append(spark.createDataFrame([("a", "c", "e.py", 9, "call")], schema.DEPENDENCIES), spark.createDataFrame([("x", None, "e.py", 1, "named")], schema.IMPORTS))
+    assert [(r.from_file, r.from_symbol) for r in more.scan("dependencies").collect()] == [("e.py", "a"), ("f.py", "a"), ("f.py", "b")]
+    assert more.scan("imports").count() == 1 and [r.name for r in more.scan("symbols").collect()] == list("abcdef")
+
+
+def test_scripts_keep_what_follows_a_regular_expression():
+    text = "export class A {\n  one(x: string) {\n    return x.split(/[/*'\"]/).length / 2;\n  }\n  two(y: number) {\n    return `a ${fmt(y)} {`;\n  }\n}\n"
+    p = extract.parse("a.ts", text, "typescript")
+    assert [s["qualified_name"] for s in p.symbols] == ["a.ts::A", "a.ts::A::one", "a.ts::A::two"] and p.error_count == 0
+    assert [(d["from_symbol"], d["to_symbol"]) for d in p.dependencies] == [("a.ts::A::one", "split"), ("a.ts::A::two", "fmt")]
