@@ -553,13 +553,52 @@ def test_url_filter_takes_nulls_and_repeats(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version of its own: the classifiers' scores, all pairs, the mix's bounds, the library."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        n, docs = docs.count(), stage(spark, docs, sf)
-        assert docs.columns == columns, name
-        assert name == "mix_sources" or docs.count() <= n
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    whole = rows(docs)
+    texts_of = lambda found: {r[0]: r[1] for r in found}
+
+    kept = stages["quality_filter"](spark, docs, sf)
+    scores = dict(zip(texts_of(whole), quality.score_texts(list(texts_of(whole).values()), (w := quality.fit(docs, labels)).dense(), w.bias), strict=True))
+    assert kept.columns == columns and rows(kept) == Counter({r: n for r, n in whole.items() if scores[r[0]] >= 0.3})
+
+    clean, machine = stages["toxicity_filter"](spark, kept, sf), toxicity.fit(kept, labels)
+    scorer = toxicity.Scorer(machine)
+    assert clean.columns == columns and rows(clean) == Counter({r: n for r, n in rows(kept).items() if scorer.score(r[1]) < 0.7})
+
+    single = stages["near_dedup"](spark, clean, sf)
+    groups = brute_similar(texts_of(rows(clean)))
+    assert single.columns == columns and rows(single) == Counter({r: 1 for r in rows(clean) if groups[r[0]] == r[0]})
+
+    mixed = stages["mix_sources"](spark, single, sf)
+    sizes = Counter()
+    for r in rows(single):
+        sizes[r[3]] += len(words(r[1]))
+    goal, taken = mixing.targets(dict(sizes)), Counter()
+    for r, n in rows(mixed).items():
+        assert n <= 3 and r in rows(single)
+        taken[r[3]] += n * len(words(r[1]))
+    longest = max(len(words(r[1])) for r in rows(single))
+    assert mixed.columns == columns and all(abs(taken[s] - t) <= longest for s, t in goal.items())
+
+    encoded, enc = stages["encode"](spark, mixed, sf).collect(), library()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded) == Counter({(r[0], tuple(enc.encode_ordinary(r[1] or ""))): n for r, n in rows(mixed).items()})
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf).drop("ids").collect())) == Counter(tuple(v for k, v in r.asDict().items() if k != "ids") for r in encoded)
+
+
+def test_pipeline_takes_nulls_clashes_and_no_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (documents(spark).withColumnsRenamed({"fingerprint": "text_id", "score": "copies"}), documents(spark).withColumnsRenamed({"fingerprint": "row", "score": "_copies"}).limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = stage(spark, docs, str(tmp_path))
+            assert name == "encode" or docs.columns == columns
+        assert "ids" in docs.columns and docs.count() >= 0
