@@ -388,7 +388,7 @@ on_star("resolve_unique_name", RAW + " SELECT from_symbol, to_symbol, from_line,
 on_star("resolve_classify", RAW + " SELECT tier, count(*) AS n FROM tagged GROUP BY 1")(lambda g: resolution(g).tagged.groupBy("tier").agg(F.count(F.lit(1)).alias("n")))
 on_star("resolve_unresolved", RAW + " SELECT from_symbol, to_symbol, from_file, from_line, kind FROM tagged WHERE tier = 'unresolved'")(lambda g: resolution(g).unresolved)
 on_star("resolve_synthetic", RAW + " SELECT sha256('<builtin>::len') AS id, 'len' AS name, '<builtin>::len' AS qualified_name, CASE min(kind) WHEN 'call' THEN 'function' WHEN 'inherit' THEN 'class' WHEN 'implement' THEN 'interface' ELSE 'type_alias' END AS kind, 'builtin' AS source FROM tagged WHERE tier = 'builtin'")(lambda g: resolution(g).non_local.select("id", "name", "qualified_name", "kind", "source"))
-on_star("resolve_import_glob", ", g AS (SELECT 'app/main' AS file_path, s.name AS bound, s.id FROM symbols s WHERE s.file_path IN ('catalog/Brand#1', 'catalog/Brand#2')) SELECT file_path, bound, min(id) AS id FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) = 1")(lambda g: modules.glob_bindings(modules.unique_by(g.symbols, "file_path", "name").withColumnRenamed("file_path", "module"), g.symbols.sparkSession.createDataFrame([("app/main", f"catalog/Brand#{k}") for k in (1, 2)], "file_path string, module string"), g.symbols.select(F.lit("app/main").alias("file_path"), F.col("name").alias("bound"))))
+on_star("resolve_import_glob", ", g AS (SELECT 'app/main' AS file_path, s.name AS bound, s.id FROM symbols s WHERE s.file_path IN ('catalog/Brand#1', 'catalog/Brand#2')) SELECT file_path, bound, min(id) AS id FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) = 1")(lambda g: modules.glob_bindings(g.symbols.select(F.col("file_path").alias("module"), "name", "id"), g.symbols.sparkSession.createDataFrame([("app/main", f"catalog/Brand#{k}") for k in (1, 2)], "file_path string, module string"), g.symbols.select(F.lit("app/main").alias("file_path"), F.col("name").alias("bound"))))
 on_star("resolve_suffix", ", parts AS (SELECT id, string_split(qualified_name, '::') AS p FROM symbols), suf AS (SELECT unnest([p[2], p[1] || '::' || p[2]]) AS suffix, id FROM parts) SELECT suffix, min(id) AS id FROM suf GROUP BY 1 HAVING count(*) = 1")(lambda g: resolve.suffix_index(g.symbols))
 for _language in languages.EXTENSIONS:
     register(f"extract_{_language}", sourcefiles.extraction_sql(_language))(sourcefiles.extraction_query(_language))
