@@ -214,7 +214,7 @@ def type_bindings(symbols: DataFrame, imports: DataFrame, language: str) -> Data
     ``a.b.C`` is the top-level C of the first file, by path, that is or ends in a/b/C with the language's extension. Java's
     ``a.b.C::m`` is the only m of such a file and nothing else. In Kotlin and PHP, what is no top-level name may be the only
     one of its name in the file of the type before it, or else in the folder that what stands before it names."""
-    separator, extension, _ = TYPE_PATHS[language]
+    extension = TYPE_PATHS[language][1]
     slashed = lambda c: F.regexp_replace(c, r"[.\\]" if language == "php" else r"\.", "/")
     named = imports.where(BINDING).select("file_path", bound_name(F.col("source"), F.col("alias")).alias("bound"), "source", "line")
     head, member = F.regexp_extract("source", "^(.*)::[^:]*$", 1), F.regexp_extract("source", "::([^:]*)$", 1)
@@ -250,7 +250,7 @@ def package_exports(symbols: DataFrame, language: str) -> DataFrame:
 def type_globs(symbols: DataFrame, imports: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
     """(modules, exported) for ``glob_bindings``: imports of all of a package, or of all members of a type. Modules are
     packages by their path and types by the file and name."""
-    separator, extension, _ = TYPE_PATHS[language]
+    extension = TYPE_PATHS[language][1]
     slash = F.regexp_replace("source", r"[.\\]" if language == "php" else r"\.", "/")
     globs = imports.where("kind = 'glob'").select("file_path", "source", slash.alias("path")).distinct()
     packages = package_exports(symbols, language).select(F.col("package").alias("module"), "name", "id")

@@ -171,8 +171,3 @@ def validate_path(root: str, path: str) -> str:
     if full != root.rstrip("/") and not full.startswith(root.rstrip("/") + "/"):
         raise ValueError(f"path is outside the project: {path}")
     return full
-
-
-def prune_missing(projects: DataFrame, existing: DataFrame) -> DataFrame:
-    """Registry entries whose path is still there."""
-    return projects.join(existing.select("path").distinct(), "path", "left_semi")
