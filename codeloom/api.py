@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ class Project:
     def __init__(self, graph: CodeGraph, root: str = "", settings: files.Settings = files.Settings()):
         self.graph, self.root, self.settings = graph, root, settings
         self.parsed: DataFrame | None = None  # what was found in each file, with its hash, as long as the file stays as it is
-        self.read_files = 0  # files that the last scan opened
+        self.read_files = 0  # files that the last scan parsed
+        self.scanned_at = 0  # when that began, in seconds
         self._cancelled, self._index = False, None
         self.manifest: Manifest | None = None
 
@@ -63,6 +66,7 @@ class Project:
     def _take(self, spark: SparkSession, kept: DataFrame | None, found: DataFrame) -> None:
         """Parses the files of ``found``, and makes the graph of them and of the parsed rows that are ``kept``."""
         self._step()
+        self.scanned_at = int(time.time())
         content = cut(files.read(spark, found))
         self.read_files = content.count()
         new = extract.extract(content).join(content.select("path", "hash", "last_modified"), "path")
@@ -92,7 +96,7 @@ class Project:
             self.rebuild(spark)
             return incremental.update_plan(self.graph.file_state, self.graph.file_state.limit(0))
         before = self.parsed.select("path", F.col("hash").alias("old"), F.col("last_modified").alias("then"))
-        latest = self.parsed.agg(F.max("last_modified")).first()[0] or 0
+        latest = min(self.parsed.agg(F.max("last_modified")).first()[0] or 0, self.scanned_at)
         found = cut(files.listed(spark, self.root, self.settings))
         doubtful = found.join(before, "path", "left").where(F.col("then").isNull() | (F.col("then") != F.col("last_modified")) | (F.col("last_modified") >= latest - 2))
         hashed = cut(files.read(spark, doubtful.select(*found.columns)).select("path", "hash"))
