@@ -303,3 +303,32 @@ def test_scripts_keep_what_follows_a_regular_expression():
     p = extract.parse("a.ts", text, "typescript")
     assert [s["qualified_name"] for s in p.symbols] == ["a.ts::A", "a.ts::A::one", "a.ts::A::two"] and p.error_count == 0
     assert [(d["from_symbol"], d["to_symbol"]) for d in p.dependencies] == [("a.ts::A::one", "split"), ("a.ts::A::two", "fmt")]
+
+
+def test_star_graph_is_projected_where_it_is_read(spark, sf):
+    from codeloom import storage
+    from codeloom.plans import queries
+
+    before = len(storage._written)
+    for name in ("edges_by_source", "related_files", "adjacency_weights", "confidence", "overview_totals"):
+        queries.QUERIES[name](spark, sf)
+    assert len(storage._written) == before  # no copy of the graph
+
+
+def test_adjacency_counts_a_pair_in_both_orders(spark):
+    g = graph(spark, [("a", "b", "call"), ("b", "a", "call"), ("b", "c", "call"), ("d", "d", "call")])
+    assert rank.adjacency(g.dependencies)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # shuffled once
+    found = sorted((r.a, r.b, r.weight) for r in rank.adjacency(g.dependencies).collect())
+    assert found == [("a", "b", 2), ("b", "a", 2), ("b", "c", 1), ("c", "b", 1), ("d", "d", 2)]
+
+
+def test_overview_shows_other_ids_and_leaves_out_tests(spark):
+    s = [(n, n, f"f.py::{n}", "function", "f.py", k, 1, "public", None, "local") for k, n in enumerate(("a", "b", "c", "test_d"))]
+    e = [("a", "b", "f.py", 1, "call"), ("b", "c", "f.py", 1, "call"), ("test_d", "a", "f.py", 1, "call"), ("c", "c", "f.py", 1, "call")]
+    g = CodeGraph(spark.createDataFrame(s, schema.SYMBOLS), spark.createDataFrame(e, schema.DEPENDENCIES))
+    shown = F.upper("qualified_name")
+    for closed in (False, True):
+        nodes, edges, totals = rank.overview(g, closed=closed, shown=shown)
+        assert sorted((r.id, r.degree) for r in nodes.collect()) == [("F.PY::A", 1), ("F.PY::B", 2), ("F.PY::C", 1)]
+        assert [(r.from_symbol, r.to_symbol) for r in edges.collect()] == [("F.PY::A", "F.PY::B"), ("F.PY::B", "F.PY::C")]
+        assert tuple(totals.first()) == (3, 1, 2)
