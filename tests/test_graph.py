@@ -332,3 +332,10 @@ def test_overview_shows_other_ids_and_leaves_out_tests(spark):
         assert sorted((r.id, r.degree) for r in nodes.collect()) == [("F.PY::A", 1), ("F.PY::B", 2), ("F.PY::C", 1)]
         assert [(r.from_symbol, r.to_symbol) for r in edges.collect()] == [("F.PY::A", "F.PY::B"), ("F.PY::B", "F.PY::C")]
         assert tuple(totals.first()) == (3, 1, 2)
+
+
+def test_language_resolvers_read_their_sources_as_tables(spark, sf):
+    from codeloom.plans import queries
+
+    plan = queries.QUERIES["resolve_javascript"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("part.parquet") + plan.count("p_partkey#") <= 60 and plan.count("Join Cross") <= 1  # of the raw rows alone
