@@ -14,6 +14,12 @@ from .common import cut
 SHARD, BLOCK = 1 << 22, 256
 #: Rows that open a shard, whose scores give each query its first threshold.
 OPENING = 256
+#: Queries whose essential terms are traversed in one product: the shard's postings are read once for all of them.
+TOGETHER = 16
+#: Times k rows, those that lead by their essential terms, that are scored in full to raise a query's threshold.
+AHEAD = 4
+#: While more than one in so many rows would be probed, half of the terms left are traversed as well.
+PROBE = 64
 #: What stands for a null id: it sorts last.
 NO_ID = (1 << 63) - 1
 
@@ -34,44 +40,74 @@ def search_shard(query_places: np.ndarray, queries: np.ndarray, ids: np.ndarray,
     A dimension is a term, and its posting the shard's values in it. Shifted by the term's lower bound, contributions
     are at least zero. The terms with the smallest ranges are non-essential as long as their ranges together stay below
     the threshold, the k-th best score so far: a row that scored nothing elsewhere could not reach it. The postings of
-    the essential terms are traversed; the others are probed, widest range first, only for rows whose score so far and
+    the essential terms are traversed, for TOGETHER queries in one product; while many rows could
+    still reach it, more terms are traversed; the others are probed, widest range first, only for rows whose score so far and
     the ranges still open reach the threshold.
     """
-    exact = np.float32 if np.abs(rows).max(initial=1) * float(np.abs(queries).max(initial=1)) * rows.shape[1] < 2**24 else np.int64
-    postings, weights = np.ascontiguousarray(rows.T.astype(exact)), queries.astype(exact)
+    bound = float(np.abs(rows).max(initial=1)) * float(np.abs(queries).max(initial=1)) * rows.shape[1]
+    exact = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    held, weights = np.ascontiguousarray(rows.astype(exact)), queries.astype(exact)
+    postings = np.ascontiguousarray(held.T)
     high, low = postings.max(1), postings.min(1)
+    upper, lower = np.maximum(weights * high, weights * low), np.minimum(weights * high, weights * low)
+    order = np.argsort(lower - upper, axis=1, kind="stable")
+    after = lambda m: np.pad(np.cumsum(np.take_along_axis(m, order, 1)[:, ::-1], 1)[:, ::-1], ((0, 0), (0, 1)))  # noqa: E731 - sums over the terms from each place on
+    ranges, left = after(upper - lower), after(upper)
     seeds = min(len(rows), max(4 * k, OPENING))
     opening = weights @ postings[:, :seeds]
+    floors: list[float | None] = []
+    essential = np.full(len(weights), rows.shape[1])
+    for i in range(len(weights)):
+        first = opening[i][places[:seeds] != query_places[i]]
+        floors.append(np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None)
+        if floors[i] is not None:
+            essential[i] = max(1, int((ranges[i] >= floors[i] - lower[i].sum()).sum()))
+            essential[i] = min(essential[i], rows.shape[1])
+    def terms(block: slice, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The queries' weights of the terms from start to stop in their order, zeros elsewhere."""
+        at, made = np.arange(rows.shape[1]), np.zeros_like(weights[block])
+        inside = (at >= start[:, None]) & (at < stop[:, None])
+        np.put_along_axis(made, order[block], np.where(inside, np.take_along_axis(weights[block], order[block], 1), 0), 1)
+        return made
+
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, q in enumerate(weights):
-        upper, lower = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
-        ranges = upper - lower
-        order = np.argsort(-ranges, kind="stable")
-        first = opening[i][places[:seeds] != query_places[i]]
-        threshold = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None
+        if i % TOGETHER == 0:
+            block, none = slice(i, i + TOGETHER), np.zeros(len(essential[i : i + TOGETHER]), int)
+            traversed = terms(block, none, essential[block]) @ postings
+            while True:
+                many = np.zeros(len(traversed), bool)
+                for j, scores in enumerate(traversed):
+                    at, threshold = essential[i + j], floors[i + j]
+                    if threshold is None or at == rows.shape[1]:
+                        continue
+                    if len(rows) > AHEAD * k:  # the rows that lead so far raise the threshold before the others are probed
+                        leading = np.argpartition(scores, len(rows) - AHEAD * k)[len(rows) - AHEAD * k :]
+                        full = held[leading[places[leading] != query_places[i + j]]] @ weights[i + j]
+                        floors[i + j] = threshold = max(threshold, np.partition(full, len(full) - k)[len(full) - k])
+                    many[j] = np.count_nonzero(scores >= threshold - left[i + j][at]) * PROBE > len(rows)
+                if not many.any():
+                    break
+                start = essential[block].copy()
+                essential[block] = np.where(many, start + (rows.shape[1] - start + 1) // 2, start)
+                traversed += terms(block, start, essential[block]) @ postings
+        scores, at, threshold = traversed[i % TOGETHER], essential[i], floors[i]
         if threshold is None:
-            found, scores = np.arange(len(rows)), q @ postings
+            found = np.arange(len(rows))
         else:
-            after = np.append(np.cumsum(ranges[order][::-1])[::-1], 0)  # the ranges of the terms from each place on
-            needed = threshold - lower.sum()
-            essential = max(1, int((after >= needed).sum()))
-            head = order[:essential]
-            partial = q[head] @ postings[head]
-            left = upper[order]
-            left = np.append(np.cumsum(left[::-1])[::-1], 0)  # the most that the terms from each place on can add
-            found = np.flatnonzero(partial + left[essential] >= threshold)
-            scores, at = partial[found], essential
-            while at < len(order) and len(found):
-                part = order[at : at + 8]
-                scores = scores + q[part] @ postings[part][:, found]
+            found = np.flatnonzero(scores >= threshold - left[i][at])
+            scores, rest = scores[found], held[found] if at < rows.shape[1] else None
+            while at < rows.shape[1] and len(found):
+                part = order[i][at : at + 8]
+                scores = scores + rest[:, part] @ q[part]
                 at += len(part)
-                held = scores + left[min(at, len(order))] >= threshold
-                found, scores = found[held], scores[held]
+                kept = scores >= threshold - left[i][at]
+                found, scores, rest = found[kept], scores[kept], rest[kept]
         other = places[found] != query_places[i]
         found, scores = found[other], scores[other]
         if len(found) > 4 * k:  # all that reach the k-th best score, ties included
-            held = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            found, scores = found[held], scores[held]
+            kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            found, scores = found[kept], scores[kept]
         best = np.lexsort((ids[found], -scores))[:k]
         out.append((np.full(len(best), query_places[i]), ids[found][best], scores[best].astype(np.int64)))
     join = lambda n: np.concatenate([x[n] for x in out]) if out else np.zeros(0, np.int64)

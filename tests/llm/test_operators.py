@@ -602,3 +602,13 @@ def test_pipeline_takes_nulls_clashes_and_no_labels(spark, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert name == "encode" or docs.columns == columns
         assert "ids" in docs.columns and docs.count() >= 0
+
+
+def test_top_k_shards_agree_with_brute_force(spark):
+    rng = np.random.default_rng(5)
+    for rows in (np.full((300, 2), 3), rng.integers(-40, 40, (3000, 48)), rng.integers(-1, 2, (700, 5))):  # equal rows: no term has a range
+        n, ids, asked = len(rows), rng.permutation(len(rows)), np.arange(0, len(rows), 17)
+        places = np.arange(n)
+        _, found, scores = top_k.search_shard(asked, rows[asked], ids, places, rows, 20)
+        want = [sorted((-int(rows[q] @ rows[r]), int(ids[r])) for r in range(n) if r != q)[:20] for q in asked]
+        assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == [x for w in want for x in w]
