@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, per_batch, words
+from .common import cut as written
+from .common import fresh, per_batch, trimmed, words
 
 #: Cells with more members than this are split into cells of single bits.
 DENSE = 24
@@ -19,6 +20,10 @@ BANDS, ROWS, BUCKET = 32, 5, 64
 PARTS = 8  # times BUCKET
 
 
+def cut(df: DataFrame) -> DataFrame:
+    return written(df, large=True)
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """64 bits, each set if set in over half the XXH64 of the shingles, repeats included. Null and wordless texts: 0."""
     w, h = words(text), xxhash.xxh64_intdigest
@@ -91,7 +96,7 @@ def links(distinct: DataFrame) -> DataFrame:
     flips = f"filter(concat(array(bits), transform(sequence(0, 63), i -> bits ^ shiftleft(1L, i))), m -> {_counts('m')} = cell)"
     keyed = both.select("bits", F.explode(F.when(F.col("n") > DENSE, F.expr(flips)).otherwise(F.array("cell"))).alias("key"), (F.col("n") > DENSE).alias("fine"))
     members = keyed.groupBy("fine", "key").agg(F.collect_set("bits").alias("members")).where("size(members) > 1")
-    return members.select("members").mapInArrow(_verified, "u long, v long").distinct()
+    return members.select("members").mapInArrow(trimmed(_verified), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -127,7 +132,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     roots = components(links(distinct))
     rooted = distinct.join(roots, distinct.bits == roots.node, "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("bits", "component_id")
+    named = cut(rooted.join(smallest, "root").select("bits", "component_id"))
     return own.join(named, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -260,7 +265,7 @@ def _candidates(sets: DataFrame, near: DataFrame, buckets: DataFrame, similarity
     dealt = buckets.withColumn("part", F.pmod(F.xxhash64("id", "band"), parts))
     # Few rows share a bucket: the sketches travel with those alone.
     members = dealt.join(sets.select("id", "sketch"), "id").groupBy("band", "value", "part").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-    return alike.union(near).union(members.select("members").mapInArrow(_forest(similarity - 0.15), "u long, v long")).distinct()
+    return alike.union(near).union(members.select("members").mapInArrow(trimmed(_forest(similarity - 0.15)), "u long, v long")).distinct()
 
 
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -289,7 +294,7 @@ def _unlinked(opened: DataFrame, sets: DataFrame, similarity: float, every: bool
         concat(transform(sequence(1L, many), k -> struct(part as a, -k as b)), transform(sequence(0L, few - 1), j -> struct(least(part, j) as a, greatest(part, j) as b))))""")
     dealt = sided.join(sets.select("id", "sketch"), "id").select("band", "value", "id", "sketch", "component", "part", F.inline(blocks))
     members = dealt.groupBy("band", "value", "a", "b").agg(F.collect_list(F.struct("id", "sketch", "component", "part")).alias("members"))
-    return members.select("a", "b", "members").mapInArrow(_across(similarity - 0.15, every), "u long, v long").distinct()
+    return members.select("a", "b", "members").mapInArrow(trimmed(_across(similarity - 0.15, every)), "u long, v long").distinct()
 
 
 def _confirmed(shingle: int, similarity: float):
@@ -328,7 +333,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
         names = sets.join(wanted, "id", "left_semi").select("id", "doc_id", "text_id")
         whole = cut(texts.join(names, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]).select("id", "text"))
         told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
-        return cut(told.mapInArrow(_confirmed(shingle, similarity), "u long, v long").distinct())
+        return cut(told.mapInArrow(trimmed(_confirmed(shingle, similarity)), "u long, v long").distinct())
 
     near = cut(links(sets.select("bits").distinct()))
     buckets = _buckets(sets, near)

@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import DataFrameWriter
 from tokenizers import Tokenizer
 
 from codeloom.llm import byte_bpe, language_model, mixing, multiset_hash, pretokens, quality, queries, simhash, token_counts, top_k, toxicity, url_filter
@@ -612,3 +613,12 @@ def test_top_k_shards_agree_with_brute_force(spark):
         _, found, scores = top_k.search_shard(asked, rows[asked], ids, places, rows, 20)
         want = [sorted((-int(rows[q] @ rows[r]), int(ids[r])) for r in range(n) if r != q)[:20] for q in asked]
         assert list(zip((-scores).tolist(), found.tolist(), strict=True)) == [x for w in want for x in w]
+
+
+def test_linking_broadcasts_nothing_for_its_estimated_size(spark, monkeypatch):
+    key, seen, write = "spark.sql.autoBroadcastJoinThreshold", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(spark.conf.get(key)), write(self, *a, **b))[1])
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(k, f"one two three four {k % 3}") for k in range(9)], "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1, 2] * 3
+    assert len(seen) > 3 and set(seen) == {"-1"} and spark.conf.get(key) == before
