@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from codeloom import schema
 from codeloom.api import Project
-from codeloom.graph import CodeGraph
+from codeloom.graph import CodeGraph, symbol_id
 from codeloom.operators import incremental, rank, resolve, search, traverse
 from codeloom.sources import extract, files
 from codeloom.streaming import watch
@@ -339,3 +339,26 @@ def test_language_resolvers_read_their_sources_as_tables(spark, sf):
 
     plan = queries.QUERIES["resolve_javascript"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("part.parquet") + plan.count("p_partkey#") <= 60 and plan.count("Join Cross") <= 1  # of the raw rows alone
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_resolving_names_is_resolving_by_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(resolve, "FEW", few)
+    named = [("a.py", "main"), ("a.py", "near"), ("a.py", "twin"), ("b.py", "twin"), ("b.py", "far"), ("c.py", "far"), ("c.py", "only"), ("c.py", "len"), ("d.py", "len")]
+    names = spark.createDataFrame([(f"{f}::{n}#{k}", n, f"{f}::{n}#{k}", "function", f, 1, 1, "public", None, "local") for k, (f, n) in enumerate(named)], schema.SYMBOLS)
+    hashed = names.withColumn("id", symbol_id(F.col("id")))
+    asked = ("near", "twin", "far", "only", "len", "nope", "x.only", "far!", "", "print", "bound", "::")
+    raw = spark.createDataFrame([(f"{f}::{n}#{k}", t, f, line, "call") for k, (f, n) in enumerate(named) for line, t in enumerate(asked)], schema.DEPENDENCIES)
+    sources = (("b.py::far#4", "far", 3), ("c.py::far#5", "far", 3), ("c.py::only#6", "bound", 1), ("b.py::twin#3", "bound", 2))
+    imports = spark.createDataFrame([(s, alias, f, line, "alias") for f in ("a.py", "d.py") for s, alias, line in sources], schema.IMPORTS)
+    tiers = ("same_file", "import_exact", "unique_name")
+    row = ["from_symbol", "to_symbol", "from_line", "tier"]
+    want = resolve.resolve(hashed, raw, imports, tiers=tiers).tagged.select(*row, "to_id")
+    short = raw.withColumn("from_symbol", F.expr("substr(from_symbol, length(from_file) + 3)"))
+    made = resolve.resolve_names(names, short, imports)
+    whole = F.concat("from_file", F.lit("::"), "from_symbol").alias("from_symbol")
+    found = made.tagged.select(whole, *row[1:], F.when(F.col("tier") != "builtin", symbol_id(F.col("to_id"))).otherwise(symbol_id(F.col("synthetic"))).alias("to_id"))
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows.collect())
+    got, expected = key(found), key(want)
+    assert [(*r[:4], r[4] if r[3] != "unresolved" else "None") for r in got] == expected and {r[3] for r in got} == {*tiers, "builtin", "unresolved"}
+    assert made.non_local.count() == 2 and made.unresolved.count() == sum(r[3] == "unresolved" for r in got)
