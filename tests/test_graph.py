@@ -362,3 +362,15 @@ def test_resolving_names_is_resolving_by_joins(spark, monkeypatch, few):
     got, expected = key(found), key(want)
     assert [(*r[:4], r[4] if r[3] != "unresolved" else "None") for r in got] == expected and {r[3] for r in got} == {*tiers, "builtin", "unresolved"}
     assert made.non_local.count() == 2 and made.unresolved.count() == sum(r[3] == "unresolved" for r in got)
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_index_holds_each_token_of_a_symbol_once(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW", few)
+    s = [(f"id{k}", n, f"{f}::{n}", "function", f, 1, 1, "public", None, "local") for k, (n, f) in enumerate((("a_b_a_b", "a/b.py"), ("b_a", "b/b/b.py"), ("ab", "a.py"), ("_", "-")))]
+    symbols = spark.createDataFrame(s, schema.SYMBOLS)
+    index = search.SearchIndex.build(symbols)
+    assert index.postings.columns == ["row", "token", "places"] and index.postings.groupBy("row", "token").count().where("count > 1").isEmpty()
+    for query in ("a", "b", "a_b", "b_a", "a_b_a", "b_b", "py_a", "py a b", "ab", "_"):
+        scan, held = (sorted(map(tuple, x.collect())) for x in (search.search_prefix(symbols, query), index.matching(query)))
+        assert scan == held, query
