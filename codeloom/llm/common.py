@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut as cut
@@ -75,6 +75,23 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[dict], Iterator[dict]
     return df.mapInArrow(trimmed(run), schema)
 
 
+def in_one_task(rows: DataFrame, schema: str, learn: Callable[[pa.Table], dict]) -> Row | None:
+    """The row that ``learn`` makes of all ``rows``, which their caller bounds, as one Arrow table. It runs in one task of
+    an executor: the driver plans for all, and has less memory. None without rows. ``learn`` gives binary columns as
+    bytes."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        if held := list(batches):
+            made = learn(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) for f in out], schema=out)
+
+    return rows.mapInArrow(trimmed(run), schema).first()
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased, as UTF-8."""
     return text.encode().translate(LOWER).split() if text else []

@@ -7,16 +7,17 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, LONGEST, LOWER, cut, labelled_ids, per_batch, slices, within
+from .common import KEPT, LONGEST, LOWER, cut, in_one_task, labelled_ids, per_batch, slices, within
 
 #: Features: one for each residue of a hash.
 SPACE = 1 << 18
 #: Labelled documents that training reads at most, in order of a hash of their ids.
 LABELLED = 4_000
-#: Bytes of their features that reach the driver at most.
+#: Bytes of their features that reach the task that trains at most.
 BYTES = 1 << 28
 REPEATED, CAPITALS = 0, 1
 _stems: dict[bytes, int] = {}
@@ -90,6 +91,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 4, alpha
     return Weights(at.astype(np.int32), (4 * w[at]).astype(np.float32), float(bias))
 
 
+def learnt(rows: pa.Table) -> dict:
+    """The parts of the weights that rows (doc_id, label, at, x) teach, in order of ids and labels."""
+    keys = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), strict=True))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    at, x = (rows[c].combine_chunks() for c in ("at", "x"))
+    w = train([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(x[i].as_buffer(), np.float32), keys[i][1]) for i in order])
+    return {"index": w.index.tobytes(), "weight": w.weight.tobytes(), "bias": w.bias}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5, held: int = 0, bound: int = LABELLED) -> Weights:
     """Learns from at most ``bound`` labelled rows outside the held-out fold (crc32(doc_id as text) mod ``of`` is
     ``held``), as many as BYTES of their features hold. A row is a label and a text: where documents share a doc_id, each
@@ -102,11 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 5,
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by ``bound``
     rows = cut(per_batch(chosen, f"doc_id {dict(chosen.dtypes)['doc_id']}, label int, at binary, x binary", made))
-    rows = within(rows, F.octet_length("at") + F.octet_length("x"), BYTES).toArrow()
-    keys = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), strict=True))
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    at, x = (rows[c].combine_chunks() for c in ("at", "x"))
-    return train([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(x[i].as_buffer(), np.float32), keys[i][1]) for i in order])
+    rows = within(rows, F.octet_length("at") + F.octet_length("x"), BYTES)  # in one partition
+    made = in_one_task(rows, "index binary, weight binary, bias double", learnt)
+    return Weights(np.frombuffer(made["index"], np.int32), np.frombuffer(made["weight"], np.float32), made["bias"]) if made else train([])
 
 
 def score_texts(texts: list[str | None], dense: np.ndarray, bias: float) -> np.ndarray:
@@ -140,8 +148,6 @@ def keep(docs: DataFrame, weights: Weights, threshold: float = 0.3) -> DataFrame
         for batch in (part for whole in batches for part in slices(whole)):
             if not dense:
                 dense.append(shared.value.dense())
-            import pyarrow as pa
-
             yield batch.filter(pa.array(score_texts(batch.column("text").to_pylist(), dense[0], shared.value.bias) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

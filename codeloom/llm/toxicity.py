@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, LONGEST, cut, labelled_ids, per_batch, slices, within, words
+from .common import KEPT, LONGEST, cut, in_one_task, labelled_ids, per_batch, slices, within, words
 
 #: Hashed terms, and how many of those whose presence tells about the label the machine keeps at most.
 SPACE, TERMS = 1 << 24, 1536
@@ -107,6 +110,38 @@ def telling_pairs(held: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
+def among(tried: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, term, n) of rows (doc_id, label, found): of what they have found, the terms in ``tried``."""
+    for batch in (part for whole in batches for part in slices(whole)):
+        found = batch.column("found")
+        entries = found.flatten()
+        term, n = (entries.field(k).to_numpy(zero_copy_only=False) for k in ("term", "n"))
+        inside = np.isin(term, tried)
+        ends = np.append(0, np.cumsum(inside))[np.append(0, np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)))]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[inside], pa.int32())) for v in (term, n)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "term", "n"])
+
+
+def learnt(tried: np.ndarray, alone: np.ndarray, rows: pa.Table) -> dict:
+    """The parts of the machine that ordered rows (label, term, n) teach, their terms in ``tried``."""
+    label_of = rows["label"].to_numpy().astype(np.float32)
+    lists = rows["term"].combine_chunks()
+    place = np.searchsorted(tried, lists.flatten().to_numpy())
+    count = rows["n"].combine_chunks().flatten().to_numpy()
+    size_of = lists.value_lengths().to_numpy()
+    presence = np.zeros((len(label_of), len(tried)), np.uint8)
+    presence[np.repeat(np.arange(len(label_of)), size_of), place] = 1
+    kept = np.isin(tried, alone) | telling_pairs(presence, label_of)
+    new = np.cumsum(kept) - 1
+    ends, out = np.cumsum(np.append(0, size_of)), []
+    for i, y in enumerate(label_of):
+        at, x = place[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
+        held_in = kept[at]
+        out.append((new[at[held_in]], np.log1p(x[held_in].astype(np.float32)), int(y)))
+    m = train(out, tried[kept])
+    return {"term": m.term.tobytes(), "weight": m.weight.tobytes(), "factor": m.factor.tobytes(), "bias": float(m.bias)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, held: int = 1, bound: int = LABELLED) -> Machine:
     """Learns from at most ``bound`` labelled rows outside the held-out fold (crc32(doc_id as text) mod ``of`` is
     ``held``), as many as ENTRIES of their terms hold. A row is a label and a text: where documents share a doc_id, each
@@ -143,25 +178,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, h
     gain = part(pos, n * share) + part(n - pos, n * rest) + part(all_pos - pos, (all_n - n + 1e-9) * share) + part(all_n - n - all_pos + pos, (all_n - n + 1e-9) * rest)
     seen = cut(seen.withColumn("gain", F.when(pos > n * share, gain).otherwise(0.0)))
     alone = [r.term for r in seen.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()]
-    others = [r.term for r in seen.where(~F.col("term").isin(alone)).orderBy(F.desc("n"), "term").limit(PAIRED).collect()]
+    # Lists of terms go to the workers: as literals of a plan they would be thousands of nodes in the driver.
+    frequent, own = seen.orderBy(F.desc("n"), "term").limit(PAIRED + len(alone)).select("term").collect(), set(alone)
+    others = [r.term for r in frequent if r.term not in own][:PAIRED]
     tried = np.sort(np.array(alone + others, np.int32))
-    inside = F.filter("found", lambda f: f["term"].isin(tried.tolist())) if len(tried) else F.array().cast("array<struct<term: int, n: int>>")
-    got = rows.select("doc_id", "label", inside.alias("found")).orderBy("doc_id", "label").select("label", F.col("found.term").alias("term"), F.col("found.n").alias("n")).toArrow()
-    label_of = got["label"].to_numpy().astype(np.float32)
-    lists = got["term"].combine_chunks()
-    place = np.searchsorted(tried, lists.flatten().to_numpy())
-    count = got["n"].combine_chunks().flatten().to_numpy()
-    size_of = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, int)
-    presence = np.zeros((len(label_of), len(tried)), np.uint8)
-    presence[np.repeat(np.arange(len(label_of)), size_of), place] = 1
-    kept = np.isin(tried, alone) | telling_pairs(presence, label_of)
-    new = np.cumsum(kept) - 1
-    ends, out = np.cumsum(np.append(0, size_of)), []
-    for i, y in enumerate(label_of):
-        at, x = place[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
-        held_in = kept[at]
-        out.append((new[at[held_in]], np.log1p(x[held_in].astype(np.float32)), int(y)))
-    return train(out, tried[kept])
+    kind = dict(rows.dtypes)["doc_id"]
+    narrow = rows.select("doc_id", "label", "found").mapInArrow(partial(among, tried), f"doc_id {kind}, label int, term array<int>, n array<int>")
+    narrow = narrow.repartition(1).sortWithinPartitions("doc_id", "label").select("label", "term", "n")
+    made = in_one_task(narrow, "term binary, weight binary, factor binary, bias double", partial(learnt, tried, np.array(alone, np.int32)))
+    if not made:
+        return train([], tried)
+    term, weight, factor = (np.frombuffer(made[k], kind) for k, kind in (("term", np.int32), ("weight", np.float32), ("factor", np.float32)))
+    return Machine(term, weight, factor.reshape(len(term), -1) if len(term) else np.zeros((0, 1), np.float32), made["bias"])
 
 
 class Scorer:
@@ -211,8 +239,6 @@ def keep(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame
     shared, ready = docs.sparkSession.sparkContext.broadcast(machine), []
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in (part for whole in batches for part in slices(whole)):
             yield batch.filter(pa.array([_scorer(shared, ready).score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 

@@ -622,3 +622,33 @@ def test_linking_broadcasts_nothing_for_its_estimated_size(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"one two three four {k % 3}") for k in range(9)], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1, 2] * 3
     assert len(seen) > 3 and set(seen) == {"-1"} and spark.conf.get(key) == before
+
+
+def test_classifiers_train_on_an_executor_and_plan_without_long_lists(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"plain w{k % 7} {'insult group' if k % 3 == 0 else 'word'}") for k in range(90)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic", "int(doc_id % 3 = 0) as quality")
+
+    def here(*a, **b):
+        raise AssertionError("in the driver")
+
+    monkeypatch.setattr(type(docs.text), "isin", here)
+    for module in (quality, toxicity):
+        with monkeypatch.context() as m:
+            m.setattr(module, "train", here)
+            made = module.fit(docs, labels)
+        margins = [float(module.score_texts([t], made.dense(), made.bias)[0]) if module is quality else module.Scorer(made).score(t) for t in ("plain insult group", "plain word")]
+        assert margins[0] > 0.5 > margins[1]
+        assert module.fit(docs.limit(0), labels).bias == 0.0
+
+
+def test_among_is_what_a_loop_keeps(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr("codeloom.llm.common.SLICE", 256)
+    rng, tried = np.random.default_rng(7), np.array([2, 3, 11, 12], np.int32)
+    found = [[{"term": int(t), "n": int(n)} for t, n in zip(rng.permutation(14)[: rng.integers(0, 9)], rng.integers(1, 5, 9))] for _ in range(50)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([0] * 50, pa.int32()), pa.array(found, pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())])))], names=["doc_id", "label", "found"])
+    parts = list(toxicity.among(tried, iter([rows.slice(3, 40), rows.slice(43)])))
+    assert len(parts) > 4
+    got = [(r["doc_id"], list(zip(r["term"], r["n"], strict=True))) for p in parts for r in p.to_pylist()]
+    assert got == [(k, [(e["term"], e["n"]) for e in found[k] if e["term"] in tried]) for k in range(3, 50)]
