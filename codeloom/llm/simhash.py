@@ -18,6 +18,8 @@ DENSE = 24
 #: A pair at a similarity of 0.8 shares no band with probability (1 - 0.8^5)^32, three in a million; above far less.
 BANDS, ROWS, BUCKET = 32, 5, 64
 PARTS = 8  # times BUCKET
+#: Members of either side of a block in which a full bucket's components are compared, and bytes of their shingles' hashes.
+SIDE, SIDE_BYTES = 2048, 1 << 23
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -159,9 +161,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketched(batch: dict, shingle: int) -> dict:
-    """Of every text: the set's identity, its fingerprint, the hashes of its bands and eight bits of each least hash."""
+    """Of every text: the set's identity and size, its fingerprint, the hashes of its bands and eight bits of each least hash."""
     factors = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], np.uint64)
-    out = {"doc_id": batch["doc_id"], "text_id": batch["text_id"], "key": [], "bits": [], "bands": [], "sketch": []}
+    out = {"doc_id": batch["doc_id"], "text_id": batch["text_id"], "key": [], "grams": [], "bits": [], "bands": [], "sketch": []}
     for text in batch["text"]:
         grams = shingle_hashes(text, shingle)
         ones = np.zeros(64, np.int64)
@@ -172,6 +174,7 @@ def _sketched(batch: dict, shingle: int) -> dict:
         for at in range(0, len(held), 2048):
             least = np.minimum(least, (held[at : at + 2048, None] * factors).min(0))
         out["key"].append(xxhash.xxh3_128_digest(held.tobytes()))
+        out["grams"].append(len(held))
         out["bits"].append(np.packbits(ones * 2 > max(1, len(grams)), bitorder="little").view(np.int64)[0])
         out["bands"].append([int(np.int64(np.uint64(xxhash.xxh64_intdigest(b.tobytes())))) for b in least.reshape(BANDS, ROWS)] if len(held) else [])
         out["sketch"].append(((least * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)).astype(np.uint8).tobytes())
@@ -216,41 +219,88 @@ def _forest(least: float):
     return run
 
 
-def _across(least: float, every: bool):
-    """Blocks of two parts, as lists of (id, sketch, component, part): the pairs of unlike components across the
-    parts that agree in ``least`` of their sketches; unless ``every``, only the likeliest of each member."""
+def _across(least: float):
+    """Blocks of two parts, as lists of (id, sketch, component, part): their members that agree in ``least`` of their
+    sketches with one of another component across the parts."""
 
     def run(batches):
         for batch in batches:
-            for one, other, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members"), strict=True):
+            out = []
+            for band, value, one, other, members in zip(*(batch.column(k).to_pylist() for k in ("band", "value", "a", "b")), batch.column("members"), strict=True):
                 m = members.as_py()
                 left, right = ([r for r in m if r["part"] == part] for part in (one, other))
                 if not left or not right:
                     continue
-                ids, roots = (([np.array([r[k] for r in side], np.int64) for side in (left, right)]) for k in ("id", "component"))
+                roots = [np.array([r["component"] for r in side], np.int64) for side in (left, right)]
                 s, t = _sketches(left), _sketches(right)
+                near = [np.zeros(len(s), bool), np.zeros(len(t), bool)]
                 for at in range(0, len(left), 256):
                     some = slice(at, at + 256)
-                    alike = _agreement(s[some], t)
-                    alike[(roots[0][some, None] == roots[1][None, :]) | (alike < least * s.shape[1])] = 0
-                    if every:
-                        i, j = np.nonzero(alike)
-                    else:
-                        i, j = np.arange(len(alike)), alike.argmax(1)
-                        i, j = np.append(i, alike.argmax(0)), np.append(j, np.arange(len(right)))
-                        i, j = i[alike[i, j] > 0], j[alike[i, j] > 0]
-                    x, y = ids[0][some][i], ids[1][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
+                    alike = (_agreement(s[some], t) >= least * s.shape[1]) & (roots[0][some, None] != roots[1][None, :])
+                    near[0][some] = alike.any(1)
+                    near[1] |= alike.any(0)
+                found = {r["id"]: r for side, held in zip((left, right), near, strict=True) for r, one_of in zip(side, held, strict=True) if one_of}
+                out += [(band, value, one, other, r["id"], r["component"], r["part"]) for r in found.values()]
+            yield pa.RecordBatch.from_pylist([dict(zip(_NEAR.names, r, strict=True)) for r in out], schema=_NEAR)
+
+    return run
+
+
+_NEAR = pa.schema([("band", pa.int32()), *((k, pa.int64()) for k in ("value", "a", "b", "id", "component", "part"))])
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each of the ``left`` sets shares with each of the ``right``, by products of a few columns each;
+    elements of one set alone are left out."""
+    made = np.zeros((len(left), len(right)))
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[held[column] > 1]
+    column = (np.cumsum(held > 1) - 1)[column[held[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(1, (1 << 22) // len(sets))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        some = slice(*np.searchsorted(column, (at, at + width)))
+        block = np.zeros((len(sets), width), np.float32)
+        block[row[some], column[some] - at] = 1
+        made += block[left] @ block[right].T
+    return made
+
+
+def _joined(similarity: float):
+    """Blocks of two parts, as lists of (id, grams, component, part): pairs across the parts at ``similarity`` or more, by
+    all their shingles, that connect the components which any such pairs of the block connect."""
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for one, other, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members"), strict=True):
+                m = sorted(members.as_py(), key=lambda r: r["id"])
+                left, right = (np.flatnonzero([r["part"] == part for r in m]) for part in (one, other))
+                if not len(left) or not len(right):
+                    continue
+                sets = [np.frombuffer(r["grams"], np.uint64) for r in m]
+                size, root = np.array([len(x) for x in sets]), np.array([r["component"] for r in m], np.int64)
+                both = _shared(sets, left, right)
+                alike = both / np.maximum(size[left][:, None] + size[right][None, :] - both, 1) >= similarity
+                for i in np.flatnonzero(alike.any(1)).tolist():
+                    at = right[alike[i]]
+                    roots, first = np.unique(root[at], return_index=True)
+                    for j in at[first[roots != root[left[i]]]].tolist():
+                        u.append(max(m[left[i]]["id"], m[j]["id"]))
+                        v.append(min(m[left[i]]["id"], m[j]["id"]))
+                    root[np.isin(root, roots)] = root[left[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
 def _buckets(sets: DataFrame, near: DataFrame) -> DataFrame:
-    """(band, value, id, n): the buckets of least hashes that agree in a band, and under band -1 those of fingerprints
+    """(band, value, id, grams, n): the buckets of least hashes that agree in a band, and under band -1 those of fingerprints
     that ``near`` connects or that are equal, with their n members, two at least. The entries move once: a window counts
     a bucket where it lies, and spills what a full one holds."""
-    grid = sets.join(components(near), F.col("bits") == F.col("node"), "left").select("id", F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"))
-    entered = sets.select("id", F.posexplode("bands").alias("band", "value")).union(grid)
+    grid = sets.join(components(near), F.col("bits") == F.col("node"), "left").select("id", "grams", F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"))
+    entered = sets.select("id", "grams", F.posexplode("bands").alias("band", "value")).union(grid)
     return cut(entered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "value"))).where("n > 1"))
 
 
@@ -269,11 +319,14 @@ def _candidates(sets: DataFrame, near: DataFrame, buckets: DataFrame, similarity
 
 
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of ``buckets`` that hold more than one component, with each row's component and the bucket's largest."""
+    """The rows of ``buckets`` that hold more than one component, with each row's component, the bucket's largest, and the
+    numbers of sides (see SIDE) that this and the other members fill."""
     rooted = buckets.join(roots, buckets.id == roots.node, "left").select(*buckets.columns, F.coalesce("root", "id").alias("component"))
-    sizes = rooted.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("band", "value").agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    return cut(rooted.join(main, ["band", "value"]).select(*rooted.columns, F.col("main.component").alias("main"), F.col("main.size").alias("size")))
+    sizes = rooted.groupBy("band", "value", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("grams").alias("grams"))
+    main = sizes.groupBy("band", "value").agg(F.max(F.struct("size", "component", "grams")).alias("main"), F.sum("size").alias("all"), F.sum("grams").alias("of"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    sides = lambda members, grams: F.ceil(F.greatest(members / SIDE, grams * 8 / SIDE_BYTES))
+    few, many = sides(F.col("all") - F.col("main.size"), F.col("of") - F.col("main.grams")), sides(F.col("main.size"), F.col("main.grams"))
+    return cut(rooted.join(main.select("band", "value", F.col("main.component").alias("main"), few.alias("few"), many.alias("many")), ["band", "value"]).select(*rooted.columns, "main", "few", "many"))
 
 
 def _hubs(opened: DataFrame, edges: DataFrame) -> DataFrame:
@@ -284,17 +337,17 @@ def _hubs(opened: DataFrame, edges: DataFrame) -> DataFrame:
     return held.select(F.greatest("id", "hub.id").alias("u"), F.least("id", "hub.id").alias("v")).distinct()
 
 
-def _unlinked(opened: DataFrame, sets: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Pairs (u > v) of a bucket's unlike components, by blocks: the members outside its largest component, in parts,
-    meet one another and that component's parts. Pairs within the largest component are never made."""
-    few, many = F.ceil((F.col("n") - F.col("size")) / (PARTS * BUCKET)), F.ceil(F.col("size") / (PARTS * BUCKET))
+def _unlinked(opened: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(band, value, a, b, id, component, part): of a bucket's unlike components, by blocks of parts a and b, the members
+    that agree in ``least`` of their sketches with one of another component. The members outside the bucket's largest
+    component, in parts, meet one another and that component's parts; those of the largest never meet among themselves."""
     turn = lambda of: F.pmod(F.xxhash64("id", "band"), of)
-    sided = opened.withColumns({"few": few, "many": many}).withColumn("part", F.when(F.col("component") == F.col("main"), -1 - turn(F.col("many"))).otherwise(turn(F.col("few"))))
+    sided = opened.withColumn("part", F.when(F.col("component") == F.col("main"), -1 - turn(F.col("many"))).otherwise(turn(F.col("few"))))
     blocks = F.expr("""if(part < 0, transform(sequence(0L, few - 1), i -> struct(i as a, part as b)),
         concat(transform(sequence(1L, many), k -> struct(part as a, -k as b)), transform(sequence(0L, few - 1), j -> struct(least(part, j) as a, greatest(part, j) as b))))""")
     dealt = sided.join(sets.select("id", "sketch"), "id").select("band", "value", "id", "sketch", "component", "part", F.inline(blocks))
     members = dealt.groupBy("band", "value", "a", "b").agg(F.collect_list(F.struct("id", "sketch", "component", "part")).alias("members"))
-    return members.select("a", "b", "members").mapInArrow(trimmed(_across(similarity - 0.15, every)), "u long, v long").distinct()
+    return members.mapInArrow(trimmed(_across(least)), "band int, value long, a long, b long, id long, component long, part long")
 
 
 def _confirmed(shingle: int, similarity: float):
@@ -324,31 +377,39 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     sets, under numbers that they are given when they are written."""
     texts = docs.where("doc_id is not null").select("doc_id", "text", _text_id(F.col("text")).alias("text_id"))
     kind = dict(docs.dtypes)["doc_id"]
-    own = cut(per_batch(texts, f"doc_id {kind}, text_id string, key binary, bits long, bands array<long>, sketch binary", lambda b: _sketched(b, shingle)))
-    each = own.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_id", "bits", "bands", "sketch"), F.struct("doc_id", "text_id")).alias("s"))
+    own = cut(per_batch(texts, f"doc_id {kind}, text_id string, key binary, grams long, bits long, bands array<long>, sketch binary", lambda b: _sketched(b, shingle)))
+    each = own.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_id", "grams", "bits", "bands", "sketch"), F.struct("doc_id", "text_id")).alias("s"))
     sets = cut(each.select(F.monotonically_increasing_id().alias("id"), "key", "s.*"))
 
+    def whole(ids: DataFrame) -> DataFrame:
+        names = sets.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "text_id")
+        return texts.join(names, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]).select("id", "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "id")
-        names = sets.join(wanted, "id", "left_semi").select("id", "doc_id", "text_id")
-        whole = cut(texts.join(names, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]).select("id", "text"))
-        told = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
+        both = cut(whole(pairs.select(F.col("u").alias("id")).union(pairs.select("v"))))
+        told = pairs.join(both.toDF("u", "a"), "u").join(both.toDF("v", "b"), "v")
         return cut(told.mapInArrow(trimmed(_confirmed(shingle, similarity)), "u long, v long").distinct())
 
+    def joined(near: DataFrame) -> DataFrame:
+        hashes = lambda b: {"id": b["id"], "grams": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b["text"]]}
+        held = near.join(cut(per_batch(whole(near.select("id")), "id long, grams binary", hashes)), "id")
+        members = held.groupBy("band", "value", "a", "b").agg(F.collect_list(F.struct("id", "grams", "component", "part")).alias("members"))
+        return cut(members.select("a", "b", "members").mapInArrow(trimmed(_joined(similarity)), "u long, v long").distinct())
+
     near = cut(links(sets.select("bits").distinct()))
     buckets = _buckets(sets, near)
     tried = cut(_candidates(sets, near, buckets, similarity))
     edges = verified(tried)
-    roots, opened = cut(components(edges)), buckets
-    for more in (lambda o: _hubs(o, edges), lambda o: _unlinked(o, sets, similarity, False), lambda o: _unlinked(o, sets, similarity, True)):
-        opened = _open(opened.select("band", "value", "id", "n"), roots)
-        pairs = cut(more(opened).join(tried, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        found = verified(pairs)
-        tried, edges = tried.union(pairs), edges.union(found)
-        if not found.isEmpty():
-            roots = cut(components(edges))
+    roots = cut(components(edges))
+    opened = _open(buckets, roots)
+    pairs = cut(_hubs(opened, edges).join(tried, ["u", "v"], "left_anti"))
+    if not pairs.isEmpty() and not (found := verified(pairs)).isEmpty():
+        edges = edges.union(found)
+        roots = cut(components(edges))
+        opened = _open(opened.select(buckets.columns), roots)
+    unlike = cut(_unlinked(opened, sets, similarity - 0.15))
+    if not unlike.isEmpty() and not (found := joined(unlike)).isEmpty():
+        roots = cut(components(edges.union(found)))
     rooted = sets.join(roots, sets.id == roots.node, "left").select("key", F.struct("doc_id", "text_id").alias("own"), F.coalesce("root", "id").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("own").alias("first"))
     return own.select("doc_id", "text_id", "key"), rooted.join(firsts, "root").select("key", "first")
@@ -362,10 +423,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     bits, by ``links``, and, as a fingerprint of two texts at 0.8 differs in some seven bits, the pairs whose least
     hashes agree in one of BANDS bands of ROWS. Each candidate is verified on the whole texts. Buckets of up to BUCKET
     members, and parts of fuller ones, begin with a spanning forest by sketches of their least hashes. Of buckets that
-    still hold several components, every member then meets the one with the most links, next each member its likeliest
-    partner in another component, and last all pairs of different components that the sketches allow (65 % agreement of
-    160 bytes, at 0.8 nearly five standard deviations below what is expected) are verified, so that neither a bucket's size
-    nor a forest's choice takes a pair away. Fingerprints that are equal or connected make buckets as well.
+    still hold several components, every member then meets the one with the most links. Last, in blocks of a bucket's
+    members, all pairs of different components that the sketches allow (65 % agreement of 160 bytes, at 0.8 nearly five
+    standard deviations below what is expected) are told by products of their sets of shingles, and only pairs that connect
+    components leave a block: neither a bucket's size nor a forest's choice takes a pair away, and no row is made for each
+    pair. Fingerprints that are equal or connected make buckets as well.
     Null and wordless texts are alike; fewer words than ``shingle`` are one shingle. Repeated rows are returned each, and
     rows that share a doc_id but not a text are each judged by their own.
     """

@@ -177,6 +177,31 @@ def test_similar_tries_the_pairs_that_a_forest_displaced(spark, monkeypatch):
     assert got == brute_similar(dict(enumerate(rows)))
 
 
+@pytest.mark.parametrize("side, side_bytes", [(2048, 1 << 23), (16, 1 << 23), (2048, 1 << 15)])
+def test_similar_of_near_copies_under_the_threshold_makes_no_row_for_each_pair(spark, monkeypatch, side, side_bytes):
+    """A group of which half is linked and the other half near to all, with a few pairs among it."""
+    monkeypatch.setattr(simhash, "SIDE", side)
+    monkeypatch.setattr(simhash, "SIDE_BYTES", side_bytes)
+    rng, rows = np.random.default_rng(21), []
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+    for k in range(240):  # one edit, or eight: 0.66 to 0.7 to the others
+        w = list(base)
+        for at in rng.choice(20, 1 if k % 2 else 8, replace=False):
+            w[10 * int(at) + 3] = f"x{rng.integers(0, 10**9)}"
+        rows.append(" ".join(w))
+        if k % 24 == 0:
+            rows.append(" ".join([*w[:-1], "end"]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    # Every least hash in one bucket: all pairs stand there.
+    sketched, cut, pairs = simhash._sketched, simhash.cut, []
+    monkeypatch.setattr(simhash, "_sketched", lambda b, k: (m := sketched(b, k)) | {"bands": [[1] for _ in b["doc_id"]]})
+    monkeypatch.setattr(simhash, "cut", lambda df: (made := cut(df), pairs.append(made.count()) if made.columns == ["u", "v"] else None)[0])
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    want = brute_similar(dict(enumerate(rows)))
+    assert got == want and 100 < len(set(want.values())) < 130
+    assert max(pairs) < 4 * len(rows)
+
+
 def test_similar_rarely_misses_a_pair_at_the_threshold(spark):
     rng, rows = np.random.default_rng(6), []
     for _ in range(150):  # 11 of 100 five-word shingles changed on either side at most
