@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, LONGEST, cut, per_batch, slices, words
+from .common import KEPT, LONGEST, cut, per_batch, slices, trimmed, words
 
 #: Classes of the model: the most frequent words, one each; the other words by their ending; the end of a text.
 FREQUENT, ENDINGS = 111, 48
@@ -30,10 +30,15 @@ PLACE = HELD.bit_length()
 STEPS, TOKENS = 1200, 1 << 26
 #: Keys that a worker gathers before it counts them, and characters of the texts that it lays out at once.
 GATHERED, LAID = 1 << 22, 1 << 19
+#: Held words whose counts after each class make a slot of keys, and the slots' width: a key's place in one takes 16 bits.
+PLACES = 400
+WIDE = PLACES * CLASSES
+TRIPLES = CLASSES**3 // WIDE  # slots of three classes' counts, which come first
 
 
 def ending_class(word: bytes) -> int:
-    return FREQUENT + zlib.crc32(word.decode()[-2:].encode()) % ENDINGS
+    end = word[-2:]
+    return FREQUENT + zlib.crc32(end if end.isascii() else word.decode()[-2:].encode()) % ENDINGS
 
 
 def _ending_class(word: Column) -> Column:
@@ -167,32 +172,42 @@ class Lexicon:
         return cls(held, vectors, total[0] or 0, total[1], in_class)
 
 
-class _Classes:
-    """Packed counts, classes and places of words in a worker."""
+class _Classes(dict):
+    """Packed counts, classes and places of words in a worker. A word that the lexicon lacks is
+    -1 - (number * CLASSES + class), its number being its place in ``missed``; ``forget`` drops these when they are many."""
 
     def __init__(self, lexicon: Lexicon):
-        self.held, self.missed = lexicon.held, {}
+        super().__init__(lexicon.held)
+        self.held, self.missed, self.size = lexicon.held, [], 0
 
-    def of(self, w: list[bytes]) -> np.ndarray:
-        get = self.held.get
-        packed = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-        if len(rest := np.flatnonzero(packed < 0)):
-            if len(self.missed) > KEPT:
-                self.missed.clear()
-            for i in rest.tolist():
-                if (k := self.missed.get(w[i])) is None:
-                    k = ending_class(w[i])
-                    if len(w[i]) <= LONGEST:
-                        self.missed[w[i]] = k
-                packed[i] = -1 - k
+    def __missing__(self, word: bytes) -> int:
+        self[word] = packed = -1 - (len(self.missed) * CLASSES + ending_class(word))
+        self.missed.append(word)
+        self.size += len(word)
         return packed
 
+    def of(self, w: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+
+    @property
+    def full(self) -> bool:
+        return len(self.missed) > KEPT or self.size > KEPT * LONGEST
+
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.held)
+        self.missed, self.size = [], 0
+
+    def names(self, numbers: np.ndarray) -> pa.Array:
+        """The missed words of these numbers."""
+        each, at = np.unique(numbers, return_inverse=True)
+        return pa.array([self.missed[i].decode() for i in each.tolist()], pa.string()).take(pa.array(at))
+
 
 @dataclass
 class _Laid:
-    """Texts in one row of classes, each after two ends and before one: the words of all texts, and where they stand."""
+    """Texts in one row of classes, each after two ends and before one: the words of all texts, packed, and where they stand."""
 
-    words: list[bytes]
     packed: np.ndarray
     text: np.ndarray  # of each word, the text that it is from
     size: np.ndarray  # of each text
@@ -208,8 +223,8 @@ class _Laid:
         packed, text = classes.of(w), np.repeat(np.arange(len(parts)), size)
         at = np.arange(len(w)) + 3 * text + 2
         row = np.full(len(w) + 3 * len(parts), END, np.int64)
-        row[at] = np.where(packed < 0, -1 - packed, (packed >> PLACE) % CLASSES)
-        return cls(w, packed, text, size, row, at, np.cumsum(size) + 3 * np.arange(len(parts)) + 2)
+        row[at] = np.where(packed < 0, -1 - packed, packed >> PLACE) % CLASSES
+        return cls(packed, text, size, row, at, np.cumsum(size) + 3 * np.arange(len(parts)) + 2)
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -223,77 +238,111 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def gathered(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(key, word, n), from one pass over all texts. Without a word, a key below CLASSES cubed is a class after two others,
-    a text being preceded by two ends; keys beyond are a held word's place and the class before it. With a word, which is
-    one that workers don't hold, the key is the class before it. Words that are classes of their own have only the former."""
+    """(slot, at, n, word, x), from one pass over all texts; parts of a count are summed by those who read it. A key below
+    CLASSES cubed is a class after two others, a text being preceded by two ends; keys beyond are a held word's place and
+    the class before it. Keys are counted by slots of WIDE: at and n hold a slot's keys, without its first, and their
+    counts as 16 and 32 bits. With a word, which is one that workers don't hold, x is n * CLASSES + the class before it.
+    Words that are classes of their own have only keys of classes."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches):
-        classes, keys, held, rare = _Classes(shared.value), [], 0, Counter()
+        classes, keys, rare, held = _Classes(shared.value), [], [], 0
+        schema = pa.schema([("slot", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), ("word", pa.string()), ("x", pa.int64())])
 
-        def made() -> pa.RecordBatch:
+        def slots() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
-            word = pa.array([None] * len(key) + [w.decode() for w, _ in rare], pa.string())
-            out = [pa.array(np.append(key, np.fromiter((v for _, v in rare), np.int64, len(rare)))), word, pa.array(np.append(n, np.fromiter(rare.values(), np.int64, len(rare))))]
+            slot, key = key // WIDE, (key % WIDE).astype(np.uint16)
+            starts = np.flatnonzero(np.diff(slot, prepend=-1))
+            ends = np.append(starts, len(key)).tolist()
+            parts = [slice(*x) for x in zip(ends[:-1], ends[1:], strict=True)]
             keys.clear()
+            out = [pa.array(slot[starts], pa.int32()), *(pa.array([a[x].tobytes() for x in parts], pa.binary()) for a in (key, n.astype(np.uint32)))]
+            return pa.RecordBatch.from_arrays([*out, pa.nulls(len(parts), pa.string()), pa.nulls(len(parts), pa.int64())], schema=schema)
+
+        def missed() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *rare]), return_counts=True)
             rare.clear()
-            return pa.RecordBatch.from_arrays(out, ["key", "word", "n"])
+            none = [pa.nulls(len(key), f.type) for f in list(schema)[:3]]
+            return pa.RecordBatch.from_arrays([*none, classes.names(key // CLASSES), pa.array(n * CLASSES + key % CLASSES)], schema=schema)
 
         for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(0).to_pylist()
             for a, b in _parts(texts):
                 laid = _Laid.of(texts[a:b], classes)
                 p, k, before = np.append(laid.at, laid.ends), laid.row[laid.at], laid.row[laid.at - 1]
-                own = (k >= FREQUENT) & (laid.packed >= 0)
+                own, lacked = (k >= FREQUENT) & (laid.packed >= 0), laid.packed < 0
                 keys.append((laid.row[p - 2] * CLASSES + laid.row[p - 1]) * CLASSES + laid.row[p])
                 keys.append(CLASSES**3 + (laid.packed[own] & ((1 << PLACE) - 1)) * CLASSES + before[own])
-                missed = np.flatnonzero(laid.packed < 0).tolist()
-                rare.update(zip((laid.words[i] for i in missed), before[missed].tolist(), strict=True))
+                rare.append((-1 - laid.packed[lacked]) // CLASSES * CLASSES + before[lacked])
                 held += len(keys[-1]) + len(keys[-2])
-                if held > GATHERED or len(rare) > KEPT:
-                    yield made()
+                if held > GATHERED:
+                    yield slots()
                     held = 0
-        yield made()
+                if classes.full or sum(map(len, rare)) > GATHERED:
+                    yield missed()
+                    classes.forget()
+        yield slots()
+        yield missed()
 
-    return docs.select("text").mapInArrow(count, "key long, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "slot int, at binary, n binary, word string, x long")
 
 
-def following(found: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(word, after) of what ``gathered`` found: of each word that shares its class and occurs LEAST times, how often it
-    follows each class, as (v, n)."""
-    spark = found.sparkSession
-    names = spark.createDataFrame(pa.table({"place": pa.array(range(len(lexicon.held)), pa.int64()), "word": pa.array([w.decode() for w in lexicon.held], pa.string())}))
-    after = lambda rows: rows.agg(F.collect_list(F.struct(F.col("v"), F.col("n"))).alias("after"), F.sum("n").alias("all")).where(F.col("all") >= LEAST)
-    pair = F.col("key") - CLASSES**3
-    held = found.where(F.col("word").isNull() & (F.col("key") >= CLASSES**3)).select(F.floor(pair / CLASSES).alias("place"), F.pmod(pair, F.lit(CLASSES)).cast("int").alias("v"), "n")
-    rare = found.where(F.col("word").isNotNull()).select("word", F.col("key").cast("int").alias("v"), "n")
-    named = after(held.groupBy("place")).join(F.broadcast(names), "place")  # HELD rows at most
-    return named.select("word", "after").unionByName(after(rare.groupBy("word")).select("word", "after"))
+def summed(found: DataFrame) -> DataFrame:
+    """(slot, at, n) of what ``gathered`` found, a row for each slot, with counts of 64 bits."""
 
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if slot not in held:
+                    held[slot] = np.zeros(WIDE, np.int64)
+                held[slot][np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+        for slot, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary())], ["slot", "at", "n"])
 
-def word_vectors(after: DataFrame, before: np.ndarray, expected: np.ndarray) -> DataFrame:
-    """(word, vector) for every row of ``after``: the vector r under which the word's share of its class changes by
-    exp(r . before[v]) after class v. It maximises the Poisson likelihood of the word's counts, of which ``expected`` is
-    the share of each v in its class, with a normal prior; each word is a convex problem of its own, solved by Newton's steps."""
-    outer = (before[:, :, None] * before[:, None, :]).reshape(CLASSES, -1)
+    return found.where("slot is not null").select("slot", "at", "n").repartition("slot").mapInArrow(trimmed(add), "slot int, at binary, n binary")
 
-    def solve(b: dict) -> Iterator[dict]:
-        for at in range(0, len(b["word"]), 2048):
-            w, rows = b["word"][at : at + 2048], b["after"][at : at + 2048]
-            n = np.zeros((len(w), CLASSES))
-            for i, found in enumerate(rows):
-                for x in found:
-                    n[i, x["v"]] = x["n"]
-            due = n.sum(1)[:, None] * expected[[ending_class(x.encode()) for x in w]]
-            r = np.zeros((len(w), WIDTH))
-            for _ in range(5):
-                rate = due * np.exp((r @ before.T).clip(-8, 8))
-                slope = (n - rate) @ before - PRECISION * r
-                curve = (rate @ outer).reshape(-1, WIDTH, WIDTH) + PRECISION * np.eye(WIDTH)
-                r += np.linalg.solve(curve, slope[:, :, None])[:, :, 0].clip(-1, 1)
-            yield {"word": w, "vector": r.astype(np.float32).tolist()}
-
-    return per_batch(after, "word string, vector array<float>", solve)
+
+def word_vectors(found: DataFrame, slots: DataFrame, lexicon: Lexicon, before: np.ndarray, expected: np.ndarray) -> DataFrame:
+    """(word, vector) for every word that shares its class and occurs LEAST times in what ``gathered`` and ``summed`` found:
+    the vector r under which the word's share of its class changes by exp(r . before[v]) after class v. It maximises the
+    Poisson likelihood of how often the word follows each class, of which ``expected`` is the share of each v in its class,
+    with a normal prior; each word is a convex problem of its own, solved by Newton's steps."""
+    outer = (before[:, :, None] * before[:, None, :]).reshape(CLASSES, -1)
+    shared = found.sparkSession.sparkContext.broadcast(list(lexicon.held))
+
+    def solved(w: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+        due = n.sum(1)[:, None] * expected[[ending_class(x) for x in w]]
+        r = np.zeros((len(w), WIDTH))
+        for _ in range(5):
+            rate = due * np.exp((r @ before.T).clip(-8, 8))
+            slope = (n - rate) @ before - PRECISION * r
+            curve = (rate @ outer).reshape(-1, WIDTH, WIDTH) + PRECISION * np.eye(WIDTH)
+            r += np.linalg.solve(curve, slope[:, :, None])[:, :, 0].clip(-1, 1)
+        vectors = pa.ListArray.from_arrays(np.arange(0, r.size + 1, WIDTH, dtype=np.int32), pa.array(r.ravel().astype(np.float32)))
+        return pa.RecordBatch.from_arrays([pa.array([x.decode() for x in w], pa.string()), vectors], ["word", "vector"])
+
+    def of_slots(batches):
+        for batch in batches:
+            for slot, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = np.zeros(WIDE)
+                counts[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.int64)
+                rows = np.flatnonzero((counts := counts.reshape(PLACES, CLASSES)).sum(1) >= LEAST)
+                if len(rows):
+                    yield solved([shared.value[(slot - TRIPLES) * PLACES + i] for i in rows.tolist()], counts[rows])
+
+    def of_words(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
+                after = part.column(1)
+                x, row = after.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), after.value_lengths().to_numpy())
+                n = np.bincount(row * CLASSES + x % CLASSES, x // CLASSES, part.num_rows * CLASSES).reshape(-1, CLASSES)
+                yield solved([w.encode() for w in part.column(0).to_pylist()], n)
+
+    rare = found.where("word is not null").groupBy("word").agg(F.collect_list("x").alias("after"), F.sum(F.floor(F.col("x") / CLASSES)).alias("all")).where(F.col("all") >= LEAST)
+    made = "word string, vector array<float>"
+    return slots.where(F.col("slot") >= TRIPLES).mapInArrow(trimmed(of_slots), made).union(rare.select("word", "after").mapInArrow(trimmed(of_words), made))
 
 
 def log_shares(counts: DataFrame, before: np.ndarray, in_class: np.ndarray) -> np.ndarray:
@@ -329,12 +378,14 @@ def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinea
     are as many as those words and stay with the workers."""
     counts = cut(word_counts(training))
     lexicon = Lexicon.of(counts)
-    pairs = cut(gathered(training, lexicon))
-    found = pairs.where(F.col("word").isNull() & (F.col("key") < CLASSES**3)).select("key", "n").toArrow()
-    cells, n = found["key"].to_numpy(), found["n"].to_numpy()
+    found = cut(gathered(training, lexicon))
+    slots = cut(summed(found))
+    rows = slots.where(F.col("slot") < TRIPLES).toArrow().to_pylist()
+    cells = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["slot"] * WIDE for r in rows)])
+    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["n"], np.int64) for r in rows)])
     order = np.argsort(cells)
     steps = settings.pop("steps", int(STEPS * (1 + np.log2(max(1.0, lexicon.total / TOKENS)))))
-    model = train(cells[order].astype(np.int64), n[order].astype(np.float64), steps=steps, **settings)
+    model = train(cells[order], n[order].astype(np.float64), steps=steps, **settings)
     seen = np.zeros((CLASSES, CLASSES))  # class, class before it
     np.add.at(seen, (cells % CLASSES, cells // CLASSES % CLASSES), n)
     # The vectors of the classes before, without their mean and of unit variance, in their widest directions.
@@ -343,7 +394,7 @@ def fit(training: DataFrame, **settings) -> tuple[DataFrame, Lexicon, LogBilinea
     _, size, axes = np.linalg.svd(centred * np.sqrt(weight)[:, None], full_matrices=False)
     model.before = centred @ axes[:WIDTH].T / np.maximum(size[:WIDTH], 1e-3)
     model.before = model.before / np.maximum(1.0, np.linalg.norm(model.before, axis=1, keepdims=True) / np.sqrt(4 * WIDTH))
-    vectors = word_vectors(following(pairs, lexicon), model.before, seen / np.maximum(1.0, seen.sum(1, keepdims=True)))
+    vectors = word_vectors(found, slots, lexicon, model.before, seen / np.maximum(1.0, seen.sum(1, keepdims=True)))
     counts = cut(counts.join(vectors, "word", "left"))
     model.log_shares = log_shares(counts, model.before, lexicon.in_class)
     return counts, Lexicon.of(counts), model
@@ -378,10 +429,12 @@ def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: LogBiline
             known = tail & (packed >= 0)
             p -= each(model.log_shares[k[tail], v[tail]], tail)
             p += each(np.einsum("ij,ij->i", lexicon.vectors[packed[known] & ((1 << PLACE) - 1)], model.before[v[known]]), known)
-            rare: list[list[dict]] = [[] for _ in size]
-            missed = np.flatnonzero(packed < 0).tolist()
-            for (t, x, y), n in Counter(zip(of[missed].tolist(), (laid.words[i] for i in missed), v[missed].tolist(), strict=True)).items():
-                rare[t].append({"word": x.decode(), "v": y, "n": n})
+            missed, of_all = np.flatnonzero(packed < 0), max(1, len(classes.missed))
+            key, n = np.unique((of[missed] * of_all + (-1 - packed[missed]) // CLASSES) * CLASSES + v[missed], return_counts=True)
+            held = pa.StructArray.from_arrays([classes.names(key // CLASSES % of_all), pa.array(key % CLASSES, pa.int32()), pa.array(n, pa.int64())], ["word", "v", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // (of_all * CLASSES), np.arange(len(size) + 1)), pa.int32()), held)
+            if classes.full:
+                classes.forget()
             yield {
                 "doc_id": b["doc_id"][a:z], "n": size + 1, "known": np.bincount(of[c > 0], minlength=len(size)) + (ends > 0), "base": each(logs) + np.log10(ends + 1.0) - (size + 1) * base_all,
                 "model": p / np.log(10) + each(logs[tail], tail) - each(shares[k[tail]], tail), "rare": rare,

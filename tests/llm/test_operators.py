@@ -295,6 +295,30 @@ def test_language_model_tells_words_of_one_class_apart_by_context(spark):
     assert np.allclose(share / (lexicon.in_class.sum(0)[k] + 1), np.exp(model.log_shares[k]), rtol=1e-3)
 
 
+def test_language_model_gathers_counts_by_slots(spark, monkeypatch):
+    """What the words of many texts give is a row for each slot of keys, and for each rare word and the class before it."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", *(" ".join(f"w{int(x)}" for x in rng.zipf(1.2, 80) % 10**7) + " \u00fcn\u00ef long" + "g" * 99 for _ in range(200))]
+    monkeypatch.setattr(language_model, "HELD", 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    lexicon = language_model.Lexicon.of(language_model.word_counts(docs))
+    found = language_model.gathered(docs, lexicon)
+    names, cl = list(lexicon.held), language_model.CLASSES
+    of = lambda w: (lexicon.held[w] >> language_model.PLACE) % cl if w in lexicon.held else language_model.ending_class(w)
+    want, pairs = Counter(), Counter()
+    for t in texts:
+        row = [language_model.END] * 2 + [of(w) for w in words(t)] + [language_model.END]
+        want.update((row[i - 2] * cl + row[i - 1]) * cl + row[i] for i in range(2, len(row)))
+        pairs.update((w, row[i + 1]) for i, w in enumerate(words(t)) if row[i + 2] >= language_model.FREQUENT)
+    want.update({cl**3 + names.index(w) * cl + v: n for (w, v), n in pairs.items() if w in lexicon.held})
+    got = Counter()
+    for r in language_model.summed(found.repartition(3)).collect():
+        got.update(dict(zip((np.frombuffer(r["at"], np.uint16).astype(int) + r["slot"] * language_model.WIDE).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True)))
+    rare = {(r.word.encode(), r.x % cl): r.x // cl for r in found.where("word is not null").collect()}
+    assert got == want and rare == {k: n for k, n in pairs.items() if k[0] not in lexicon.held} and len(rare) > 100
+    assert found.where("word is null").count() <= language_model.TRIPLES + 2 < len(want) / 10
+
+
 @pytest.mark.parametrize("module, of, held, label, threshold, keeps", [(quality, 5, 0, "quality", 0.3, "predicted = 1"), (toxicity, 3, 1, "toxic", 0.7, "predicted = 0")])
 def test_classifiers(spark, module, of, held, label, threshold, keeps):
     sf = "/root/testdata/sf0.01"
