@@ -258,8 +258,9 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     column = (np.cumsum(held > 1) - 1)[column[held[column] > 1]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = max(1, (1 << 22) // len(sets))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(max(1, (1 << 22) // len(sets)), max(1, columns))
+    for at in range(0, columns, width):
         some = slice(*np.searchsorted(column, (at, at + width)))
         block = np.zeros((len(sets), width), np.float32)
         block[row[some], column[some] - at] = 1
